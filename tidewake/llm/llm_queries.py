@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import exact_dedup, mixing, packing, quality, simhash
+from tidewake.llm import chat_format, exact_dedup, html_text, license_scan, line_dedup, mixing, ngram_lm, packing, quality, simhash
 from tidewake.llm._shared import table
 
 
@@ -16,11 +16,39 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conversations`` without those that begin a longer one, rendered."""
+    return chat_format.collapse(table(spark, sf_dir, "conversations"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` packed into sequences of 512 to 8192 words."""
     return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of ``pages``."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct line of ``documents`` with its class of lines one edit apart."""
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families that each of ``documents`` names."""
+    found = license_scan.scan_documents(table(spark, sf_dir, "documents"))
+    families = F.array_join(F.sort_array(F.array_distinct(F.transform("found", lambda x: x["family"]))), ",")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.size("found").cast("long").alias("n_notices"),
+        families.alias("families"),
+        F.get("found", F.lit(0))["paragraph"].alias("first_paragraph"),
+        F.round(F.array_max(F.transform("found", lambda x: x["similarity"])), 6).alias("similarity"),
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of ``documents`` whose fingerprints differ in at most 4 bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -32,6 +60,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of ``documents`` by unigrams and by the Kneser-Ney model."""
+    return ngram_lm.score_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies among ``documents``."""
     marked = exact_dedup.mark_duplicates(table(spark, sf_dir, "documents"))
@@ -39,7 +72,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op3_packing, op7_simhash, op8_quality, op10_exact_dedup)
+    f.__name__: f
+    for f in (op1_mixing, op2_chat_format, op3_packing, op4_html_extraction, op5_line_dedup, op6_license_scan, op7_simhash, op8_quality, op9_ngram_lm, op10_exact_dedup)
 }
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
@@ -79,6 +113,14 @@ def _duck(text: str) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op2_chat_format": """with o as (select conv_id, role, text, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as p,
+            count(*) over (partition by conv_id) as n from conversations),
+        pre as (select conv_id, p, n, role, text, string_agg(coalesce('=' || role, '-') || chr(1) || coalesce('=' || text, '-'), chr(2)) over (partition by conv_id order by p) as prefix from o),
+        best as (select prefix, first(conv_id order by n desc, conv_id nulls last) as kept_by from pre group by prefix),
+        fate as (select conv_id, n, best.kept_by, conv_id is not distinct from best.kept_by as kept from pre join best using (prefix) where p = n),
+        shown as (select o.conv_id, (p - 1) // 64 as chunk, string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' order by p) as text
+            from o join fate on o.conv_id is not distinct from fate.conv_id and fate.kept group by all)
+        select fate.conv_id, n as n_turns, kept, kept_by, chunk, text from fate left join shown on fate.conv_id is not distinct from shown.conv_id and kept""",
     "op8_quality": _quality_sql(),
     "op10_exact_dedup": """select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
         row_number() over (partition by coalesce(text, '') order by doc_id desc nulls last) = 1 as kept, sha256(coalesce(text, '')) as text_sha256
