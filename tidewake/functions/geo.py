@@ -66,8 +66,20 @@ def _edges(ring: Ring) -> list[tuple[float, float, float, float]]:
     return [(*a, *b) for a, b in zip(ring, [*ring[1:], ring[0]], strict=True) if a != b]
 
 
+#: Rings of more edges are held as an array and walked, instead of written out as one expression.
+INLINE_EDGES = 24
+
+
+def _edge_array(edges: list[tuple[float, float, float, float]]) -> Column:
+    return F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("x1", "y1", "x2", "y2"), e, strict=True)]) for e in edges])
+
+
 def in_ring(lon: Column, lat: Column, ring: Ring) -> Column:
-    """Even-odd rule; the ring's edges become part of the expression, so it stays in generated code."""
+    """Even-odd rule; the edges of a small ring become part of the expression, so it stays in generated code."""
+    if len(ring) > INLINE_EDGES:
+        level = [e for e in _edges(ring) if e[1] != e[3]]
+        hit = F.filter(_edge_array(level), lambda e: ((e["y1"] > lat) != (e["y2"] > lat)) & (lon < (e["x2"] - e["x1"]) * (lat - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]))
+        return F.size(hit) % 2 == 1
     crossings = F.lit(0)
     for x1, y1, x2, y2 in _edges(ring):
         if y1 != y2:
@@ -96,6 +108,15 @@ def ring_distance_km(lon: Column, lat: Column, ring: Ring) -> Column:
     """Distance to a polygon in the metric frame of its middle latitude; 0 inside."""
     mid = sum(y for _, y in ring) / len(ring)
     mx, my = metres_per_degree_at(mid)
+    if len(ring) > INLINE_EDGES:
+
+        def away(e: Column) -> Column:
+            dx, dy = (e["x2"] - e["x1"]) * mx, (e["y2"] - e["y1"]) * my
+            px, py = (lon - e["x1"]) * mx, (lat - e["y1"]) * my
+            t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * dx + py * dy) / (dx * dx + dy * dy)))
+            return F.sqrt(F.pow(px - t * dx, 2.0) + F.pow(py - t * dy, 2.0)) / 1000.0
+
+        return F.when(in_ring(lon, lat, ring), 0.0).otherwise(F.array_min(F.transform(_edge_array(_edges(ring)), away)))
     best: Column | None = None
     for x1, y1, x2, y2 in _edges(ring):
         dx, dy = (x2 - x1) * mx, (y2 - y1) * my

@@ -20,14 +20,14 @@ def traffic(spark: SparkSession, origin: tuple[float, float], release: float, n_
     cos0 = float(np.cos(np.radians(lat0)))
     back = 10.0 * KNOT * 3 * 3600 / 111320 * float(np.sqrt(0.5))
     specs = [
-        (SUSPECT, "SYNTH TANKER A", "tanker", lon0 - back / cos0, lat0 - back, 45.0, 10.0, release - 3 * 3600, 6 * 3600, 120, release - 1200, release + 1200),
-        (DECOY, "SYNTH CARGO B", "cargo", lon0 - back / cos0, lat0 - back + 0.18, 45.0, 12.0, release - 3 * 3600, 6 * 3600, 120, 0.0, 0.0),
+        (SUSPECT, "SYNTH TANKER A", "tanker", lon0 - back / cos0, lat0 - back, 45.0, 10.0, release - 3 * 3600.0, 6 * 3600.0, 120, release - 1200, release + 1200),
+        (DECOY, "SYNTH CARGO B", "cargo", lon0 - back / cos0, lat0 - back + 0.18, 45.0, 12.0, release - 3 * 3600.0, 6 * 3600.0, 120, 0.0, 0.0),
     ]
     for k in range(n_background):
         x, y = rng.uniform(-0.8, 0.8, 2)
         x += 0.5 if abs(x) < 0.25 and abs(y) < 0.25 else 0.0
         kind = str(rng.choice(["cargo", "fishing", "container", "tanker"]))
-        specs.append((BACKGROUND + k, f"SYNTH BG {k}", kind, lon0 + x, lat0 + y, float(rng.uniform(0, 360)), float(rng.uniform(4, 14)), release - 3600 * float(rng.uniform(2, 6)), 3600 * float(rng.uniform(3, 7)), 300, 0.0, 0.0))
+        specs.append((BACKGROUND + k, f"SYNTH BG {k}", kind, float(lon0 + x), float(lat0 + y), float(rng.uniform(0, 360)), float(rng.uniform(4, 14)), release - 3600 * float(rng.uniform(2, 6)), 3600 * float(rng.uniform(3, 7)), 300, 0.0, 0.0))
     table = spark.createDataFrame(specs, "mmsi long, name string, type string, lon double, lat double, course double, knots double, start double, length double, every int, mute_from double, mute_to double")
     t = F.col("start") + F.col("i") * F.col("every")
     rows = table.withColumn("i", F.explode(F.sequence(F.lit(0), F.floor(F.col("length") / F.col("every")).cast("int") - 1))).withColumn("t", t)
