@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewake.config import DEFAULTS
 from tidewake.functions.geo import Ring, cells_outline, metres_per_degree_at, shape_metrics, simplified
+from tidewake.session import settled
 
 TILES = "scene_id string, r0 int, c0 int, h int, w int, pixels array<float>"
 PROBABILITIES = "scene_id string, r0 int, c0 int, h int, w int, p_oil array<float>, p_la array<float>"
@@ -353,16 +354,17 @@ def components(px: DataFrame) -> DataFrame:
         prefix = f"{frame['br'].iloc[0]:08d}-{frame['bc'].iloc[0]:08d}-"
         return frame.assign(label=[f"{prefix}{k:08d}" for k in labels])
 
-    out = keyed.groupBy("scene_id", "class", "br", "bc").applyInPandas(local, schema).cache()
+    out = keyed.groupBy("scene_id", "class", "br", "bc").applyInPandas(local, schema)
+    out = settled(out)
     key = ["scene_id", "class", "row", "col"]
     seam = out.where(((F.col("row") % BLOCK).isin(0, BLOCK - 1)) | ((F.col("col") % BLOCK).isin(0, BLOCK - 1))).select(*key, "label", "br", "bc")
     around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]))
     moved = seam.withColumn("d", around).select("scene_id", "class", (F.col("row") + F.col("d.a")).alias("row"), (F.col("col") + F.col("d.b")).alias("col"), F.col("label").alias("other"), F.col("br").alias("obr"), F.col("bc").alias("obc"))
-    links = seam.join(moved, key).where((F.col("br") != F.col("obr")) | (F.col("bc") != F.col("obc"))).select("scene_id", "class", "label", "other").distinct()
-    names = out.select("scene_id", "class", "label").distinct().withColumn("region", F.col("label")).cache()
+    links = settled(seam.join(moved, key).where((F.col("br") != F.col("obr")) | (F.col("bc") != F.col("obc"))).select("scene_id", "class", "label", "other").distinct())
+    names = settled(out.select("scene_id", "class", "label").distinct().withColumn("region", F.col("label")))
     while True:
         near = links.join(names.select("scene_id", "class", F.col("label").alias("other"), "region"), ["scene_id", "class", "other"]).groupBy("scene_id", "class", "label").agg(F.min("region").alias("n"))
-        new = names.join(near, ["scene_id", "class", "label"], "left").select("scene_id", "class", "label", F.least("region", F.coalesce("n", "region")).alias("region"), (F.coalesce("n", "region") < F.col("region")).alias("moved")).cache()
+        new = settled(names.join(near, ["scene_id", "class", "label"], "left").select("scene_id", "class", "label", F.least("region", F.coalesce("n", "region")).alias("region"), (F.coalesce("n", "region") < F.col("region")).alias("moved")))
         if not new.where("moved").limit(1).count():
             return out.join(new.drop("moved"), ["scene_id", "class", "label"]).drop("br", "bc", "label")
         names = new.drop("moved")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build(master: str | None = None, shuffle_partitions: int | None = None, **settings: str) -> SparkSession:
@@ -16,3 +18,17 @@ def build(master: str | None = None, shuffle_partitions: int | None = None, **se
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def settled(frame: DataFrame) -> DataFrame:
+    """``frame`` written to the folder that ``spark.checkpoint.dir`` names, for loops that would grow their plan.
+
+    Without the setting only a local master gets a temporary folder.
+    """
+    context = frame.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewake-"))
+    return frame.checkpoint(eager=True)
