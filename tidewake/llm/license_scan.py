@@ -86,8 +86,19 @@ def in_order(template: list[str], words: list[str]) -> float:
     return best / len(template)
 
 
+def _own_words() -> dict[str, frozenset[str]]:
+    """For each template, its words that no other family's templates have."""
+    by_family = {f: {w for t in ts for w in tokens(t)} for f, ts in TEMPLATES.items()}
+    return {t: frozenset(w for w in tokens(t) if not any(w in ws for g, ws in by_family.items() if g != f)) for f, ts in TEMPLATES.items() for t in ts}
+
+
+OWN_WORDS = _own_words()
+
+
 def match(family: str, words: list[str]) -> float:
-    return max(in_order(tokens(t), words) for t in TEMPLATES[family])
+    """The best of the family's templates; one whose own words are all missing doesn't count."""
+    held = set(words)
+    return max(in_order(tokens(t), words) if not OWN_WORDS[t] or OWN_WORDS[t] & held else 0.0 for t in TEMPLATES[family])
 
 
 @dataclass
