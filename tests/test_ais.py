@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,6 +134,8 @@ def test_recorder_replay(spark, tmp_path):
         message("PositionReport", 0, Latitude=1.0, Longitude=2.0), message("PositionReport", 2, Latitude=0.0, Longitude=0.0)]))
     (feed / "2.json").write_text(message("ShipStaticData", 1, time="2026-01-01 00:01:00", Name="ONE", Type=81, Dimension={"A": 100, "B": 50}))
     (feed / "3.json").write_text(message("PositionReport", 1, time="2026-01-01 00:02:00", Latitude=1.1, Longitude=2.0, Sog=9.0, Cog=10.0, TrueHeading=11))
+    for n in (1, 2, 3):  # files are taken by age
+        os.utime(feed / f"{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))
     got = recorder.record(spark, str(feed), str(tmp_path / "out"), str(tmp_path / "cp"))
     rows = got["positions_frame"].orderBy("ts").collect()
     assert (got["positions"], got["vessels"], got["static_vessels"]) == (2, 1, 1)

@@ -34,7 +34,7 @@ def test_whole_case(case):
     e.review(c, slick={"slick_id": slick["id"], "status": "confirmed"}, candidate={"mmsi": 419001001, "status": "investigate", "note": "x"}, notes="seen")
     got = e.get_case(c)
     assert got["slicks"]["features"][0]["properties"]["review_status"] == "confirmed" and got["notes"] == "seen"
-    assert e.attribution(c)["candidates"][0]["review_status"] == "investigate"
+    assert {x["mmsi"]: x["review_status"] for x in e.attribution(c)["candidates"]}[419001001] == "investigate"
     with pytest.raises(ValueError):
         e.review(c, slick={"slick_id": slick["id"], "status": "maybe"})
     layers = {f["properties"]["layer"] for f in e.export(c, "geojson")["features"]}

@@ -105,10 +105,11 @@ class Engine:
         return case
 
     def synthetic_demo(self, name: str = "Synthetic demonstration", size: int = 400) -> str:
-        """A case with a planted slick and planted traffic; returns its id."""
+        """A case with a planted slick, and planted traffic through where the default constant
+        current and wind had it six hours before; returns its id."""
         case_id = self.create_case(name, "synthetic")
         self.ingest_scene(case_id, "synthetic_20260901T010000_vv.tif", synthetic.radar_scene(size), [71.6, 18.2, 72.1, 18.7], detect={"min_area_km2": 0.5})
-        self.synthetic_traffic(case_id, (71.875, 18.45), epoch("2026-08-31T19:00:00Z"))
+        self.synthetic_traffic(case_id, (71.811, 18.434), epoch("2026-08-31T19:00:00Z"))
         return case_id
 
     # ------------------------------------------------------------ scenes

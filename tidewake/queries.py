@@ -379,17 +379,17 @@ def hdr_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("ix", "iy", "n", (F.col("before") < 0.5).alias("in_50"), (F.col("before") < 0.7).alias("in_70"), F.lit(True).alias("in_90"))
 
 
-_DAYS = 24
+_STEPS = 8  # of three days
 
 
 def _ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days of the month as steps, vessels dealt to five members and a control run."""
+    """Three days of the month as a step, vessels dealt to five members and a control run."""
     rows = fixes(spark, sf_dir)
-    step = F.floor((F.col("ts_epoch") - 1704067200.0) / 86400).cast("int")
-    return rows.select((F.col("mmsi") % 6 - 1).cast("int").alias("member"), F.col("seq").alias("particle"), step.alias("step"), (F.lit(1704067200.0) + step * 3600.0).alias("epoch"), "lon", "lat", F.lit(False).alias("stranded")).where(F.col("step") < _DAYS)
+    step = F.floor((F.col("ts_epoch") - 1704067200.0) / 259200).cast("int")
+    return rows.select((F.col("mmsi") % 6 - 1).cast("int").alias("member"), F.col("seq").alias("particle"), step.alias("step"), (F.lit(1704067200.0) + step * 3600.0).alias("epoch"), "lon", "lat", F.lit(False).alias("stranded")).where(F.col("step") < _STEPS)
 
 
-_ENS_SQL = f"p as (select cast(mmsi % 6 - 1 as int) as member, cast(floor((ts_epoch - 1704067200.0::double) / 86400) as int) as step, lon, lat from ais where floor((ts_epoch - 1704067200.0::double) / 86400) < {_DAYS})"
+_ENS_SQL = f"p as (select cast(mmsi % 6 - 1 as int) as member, cast(floor((ts_epoch - 1704067200.0::double) / 259200) as int) as step, lon, lat from ais where floor((ts_epoch - 1704067200.0::double) / 259200) < {_STEPS})"
 _CONV_SQL = f"""{_ENS_SQL}, mm as (select step, member, avg(lon) as cx, avg(lat) as cy from p where member <> -1 group by all), mid as (select step, avg(cx) as mx, avg(cy) as my, count(*) as members from mm group by step),
     sp as (select mm.step, my, members, avg(sqrt(power((cx - mx) * {_MLON.format('my')}, 2) + power((cy - my) * {_MLAT.format('my')}, 2)) / 1000) as spread_km from mm join mid using (step) group by all),
     co as (select step, var_samp(lon) as vx, var_samp(lat) as vy, covar_samp(lon, lat) as vxy from p where member = -1 group by step),
