@@ -57,8 +57,12 @@ def test_simhash_against_all_pairs(spark, docs):
     least = defaultdict(list)
     for i, f in rows:
         least[sets.find(f)] += [i] if i is not None else []
-    got = sorted((r["id"] or -1, r["fp"] % 2**64, r["component"] or -1) for r in simhash.near_duplicates(docs).collect())
-    assert got == sorted((i or -1, f, min(least[sets.find(f)], default=-1)) for i, f in rows)
+
+    def known(x):
+        return -1 if x is None else x
+
+    got = sorted((known(r["id"]), r["fp"] % 2**64, known(r["component"])) for r in simhash.near_duplicates(docs).collect())
+    assert got == sorted((known(i), f, min(least[sets.find(f)], default=-1)) for i, f in rows)
 
 
 def test_golay_keys_find_every_pair_within_four_bits():
@@ -126,9 +130,11 @@ def test_exact_copies(docs):
 
 def test_filter_has_no_false_negatives_and_few_false_positives(spark):
     rows = spark.range(20000).select(F.xxhash64("id").alias("h")).union(spark.range(500).select(F.xxhash64("id").alias("h")))
-    test = exact_dedup.repeat_test(rows, rows.count())
+    test = exact_dedup.bloom_test(rows, rows.count())
     assert spark.range(500).where(test(F.xxhash64("id"))).count() == 500
     assert spark.range(500, 20000).where(test(F.xxhash64("id"))).count() < 20000 * 0.05
+    once = exact_dedup.bloom_test(rows, rows.count(), least=1)
+    assert spark.range(20000).where(once(F.xxhash64("id"))).count() == 20000 and spark.range(20000, 40000).where(once(F.xxhash64("id"))).count() < 20000 * 0.05
 
 
 def test_components(spark):

@@ -52,24 +52,32 @@ def _occupied(bits: int):
     return run
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bitmap a segment of the bits that two rows or more set."""
-    once: dict[int, np.ndarray] = {}
-    twice: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for s, places, several in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            local = np.frombuffer(places, np.uint32)
-            if s not in once:
-                once[s], twice[s] = np.zeros(SEGMENT_BITS, bool), np.zeros(SEGMENT_BITS, bool)
-            many = np.unpackbits(np.frombuffer(several, np.uint8), count=len(local)).astype(bool)
-            twice[s][local[once[s][local] | many]] = True
-            once[s][local] = True
-    for s, seen in twice.items():
-        yield pa.record_batch([pa.array([s]), pa.array([np.packbits(seen).tobytes()])], names=["segment", "bits"])
-
-
-def repeat_test(hashes: DataFrame, n_rows: int):
-    """Column function: may another row have this hash?  ``hashes`` has one long column."""
+def _merged(least: int):
+    """One bitmap a segment of the bits that ``least`` rows or more set, one or two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once: dict[int, np.ndarray] = {}
+        twice: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for s, places, several in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                local = np.frombuffer(places, np.uint32)
+                if s not in once:
+                    once[s], twice[s] = np.zeros(SEGMENT_BITS, bool), np.zeros(SEGMENT_BITS, bool)
+                many = np.unpackbits(np.frombuffer(several, np.uint8), count=len(local)).astype(bool)
+                twice[s][local[once[s][local] | many]] = True
+                once[s][local] = True
+        for s, seen in (once if least == 1 else twice).items():
+            yield pa.record_batch([pa.array([s]), pa.array([np.packbits(seen).tobytes()])], names=["segment", "bits"])
+
+    return run
+
+
+def bloom_test(hashes: DataFrame, n_rows: int, least: int = 2):
+    """Column function: may ``least`` rows of ``hashes``, one or two, have this hash?
+
+    ``hashes`` has one long column.  The filter grows with ``n_rows`` up to
+    MAX_FILTER_BYTES, which is what the driver collects and broadcasts at most.
+    """
     spark = hashes.sparkSession
     most = MAX_FILTER_BYTES * 8
     bits = SEGMENT_BITS
@@ -77,7 +85,7 @@ def repeat_test(hashes: DataFrame, n_rows: int):
         bits *= 2
     blocks = hashes.mapInArrow(_occupied(bits), "segment long, places binary, several binary")
     n = max(1, min(bits // SEGMENT_BITS, partitions(spark)))
-    found = blocks.repartition(n, "segment").mapInArrow(_merged, "segment long, bits binary")
+    found = blocks.repartition(n, "segment").mapInArrow(_merged(least), "segment long, bits binary")
     filled = np.zeros(bits // 8, np.uint8)
     for row in found.toLocalIterator():
         at = row["segment"] * SEGMENT_BITS // 8
@@ -110,7 +118,7 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives an empty one.
     """
     rows = settled(_digests(docs, id_col, F.coalesce(F.col(text_col), F.lit(""))).withColumn("rid", F.monotonically_increasing_id()))
-    maybe = repeat_test(rows.select("h"), rows.count())
+    maybe = bloom_test(rows.select("h"), rows.count())
     flagged = settled(rows.withColumn("maybe", maybe("h")).drop("h"))
     alone = flagged.where("not maybe").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     possible = flagged.where("maybe").withColumn("salt", _salt("id"))
@@ -133,7 +141,7 @@ def keep_unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     hashes = settled(docs.select(F.xxhash64(text).alias("h")))
-    maybe = repeat_test(hashes, hashes.count())
+    maybe = bloom_test(hashes, hashes.count())
     tested = docs.withColumn("__maybe", maybe(F.xxhash64(text)))
     alone = tested.where("not __maybe").drop("__maybe")
     possible = tested.where("__maybe").drop("__maybe")

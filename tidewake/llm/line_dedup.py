@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tidewake.llm._shared import partitions, settled
 from tidewake.llm.components import connected_components
+from tidewake.llm.exact_dedup import bloom_test
 
 MAX_EDITS = 1
 #: Shorter lines are compared for equality only.
@@ -53,8 +54,20 @@ def _keys(lines: DataFrame, segments: int) -> DataFrame:
 
     places = F.sequence(F.lit(0), F.lit(segments - 1))
     keys = F.concat(F.transform(places, lambda i: key(i, 0)), F.transform(places, lambda i: key(i, 1)))
-    found = lines.where(n >= LEAST_CHARS).select("id", F.explode(keys).alias("key")).where("key.any or key.role = 1")
-    return found.select("key.k", "id", "key.role").distinct()
+    some = lines.where(n >= LEAST_CHARS).select("id", "line").mapInArrow(_first_in_task, "id long, line string")
+    found = some.select("id", F.explode(keys).alias("key")).where("key.any or key.role = 1")
+    return found.select("key.k", "id", "key.role")
+
+
+def _first_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows without those whose id the task has given before, so a very common line is a row a task."""
+    seen = np.zeros(0, np.int64)
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        new, at = np.unique(ids, return_index=True)
+        at = at[~np.isin(new, seen, assume_unique=True)]
+        seen = np.union1d(seen, new)
+        yield batch.take(pa.array(np.sort(at)))
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], most: float = GROUP_LINES) -> Iterator[pa.RecordBatch]:
@@ -65,6 +78,8 @@ def _candidates(batches: Iterator[pa.RecordBatch], most: float = GROUP_LINES) ->
     def pairs(k: np.ndarray, i: np.ndarray, r: np.ndarray, goes_on: bool) -> Iterator[pa.RecordBatch]:
         if not len(k):
             return
+        new = np.concatenate([[True], (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (r[1:] != r[:-1])])
+        k, i, r = k[new], i[new], r[new]  # one row of each task that has the line
         cuts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         size = np.repeat(np.diff(np.concatenate([cuts, [len(k)]])), np.diff(np.concatenate([cuts, [len(k)]])))
         big = size > most
@@ -96,7 +111,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], most: float = GROUP_LINES) ->
             large = False
             goes_on = False
         hold = (k[last:], i[last:], r[last:])
-        if len(hold[0]) > most:  # let its rows go, but remember the group by one of them
+        if len(hold[0]) > most and len(np.unique(hold[1])) > most:  # let its rows go, but remember the group by one of them
             yield from pairs(*hold, True)
             hold, large = tuple(x[-1:] for x in hold), True
         elif first is not None and not last:
@@ -170,8 +185,14 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, line) of the distinct lines whose ids are asked for."""
-    return lines.select("id", "line").join(ids, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
+    """(id, line) of the distinct lines whose ids are asked for.
+
+    A Bloom filter of the ids keeps most other lines from being shuffled.
+    """
+    ids = settled(ids)
+    asked = bloom_test(ids, ids.count(), least=1)
+    some = lines.select("id", "line").where(asked("id")).groupBy("id").agg(F.min("line").alias("line"))
+    return some.join(ids, "id", "left_semi")
 
 
 def line_links(lines: DataFrame) -> DataFrame:
@@ -179,11 +200,11 @@ def line_links(lines: DataFrame) -> DataFrame:
     n = max(1, partitions(lines.sparkSession))
     segments, keyed, candidates, last = MAX_EDITS + 1, lines, None, False
     while True:
-        dealt = _keys(keyed, segments).repartition(n, "k").sortWithinPartitions("k")
+        dealt = _keys(keyed, segments).repartition(n, "k").sortWithinPartitions("k", "id", "role")
         found = settled(dealt.mapInArrow(partial(_candidates, most=inf if last else GROUP_LINES), "a long, b long"))
         some = found.where("b is not null")
         candidates = some if candidates is None else candidates.union(some)
-        crowded = settled(found.where("b is null").select(F.col("a").alias("id")).distinct())
+        crowded = found.where("b is null").select(F.col("a").alias("id")).distinct()
         if crowded.limit(1).count() == 0:
             break
         segments *= FINER
@@ -207,7 +228,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gives an empty one, other columns are not read.
     """
     lines = _lines(docs, id_col, text_col)
-    distinct = settled(lines.groupBy("id").agg(F.count(F.lit(1)).alias("n_rows"), F.min(F.struct("doc", "line_no")).alias("first"), F.max(F.length("line")).alias("n_chars")))
+    distinct = lines.groupBy("id").agg(F.count(F.lit(1)).alias("n_rows"), F.min(F.struct("doc", "line_no")).alias("first"), F.max(F.length("line")).alias("n_chars"))
     links = line_links(lines)
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     roots = connected_components(links).withColumnRenamed("node", "id")
