@@ -317,3 +317,14 @@ def test_queries_match_sql(spark, name):
     assert sorted(columns) == sorted(df.columns)
     order = sorted(columns)
     assert sorted(map(str, (tuple(r[c] for c in order) for r in df.collect()))) == sorted(map(str, (tuple(r[columns.index(c)] for c in order) for r in cur.fetchall())))
+
+
+# ---------------------------------------------------------------- empty tables and tables without words
+
+
+def test_nothing_to_mix_or_pack(spark, docs):
+    blank = docs.where("doc_id in (900001, 900002)")
+    assert mixing.mix(docs.limit(0)).count() == mixing.mixed(docs.limit(0)).count() == packing.pack(docs.limit(0)).count() == 0
+    assert [(r["size"], r["taken"], r["target"]) for r in mixing.mix(blank).collect()] == [(0, 0, 0.0)] * 2
+    assert mixing.mixed(blank).count() == 0 and [r["bin"] for r in packing.pack(blank).collect()] == [None, None]
+    assert html_text.extract(spark.createDataFrame([(None, None, None)], "page_id long, url string, html string")).first()["n_chars"] == 0
