@@ -209,8 +209,12 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     back as given; an empty table trains on templates alone; other columns are
     not read.
     """
-    paragraphs = docs.select(F.col(id_col).alias("i"), F.explode(F.split(F.col(text_col), "\n")).alias("p"))
-    sample = paragraphs.where(F.length("p").between(1, SAMPLE_CHARS)).orderBy(F.xxhash64("p", "i"), "p").limit(SAMPLE_PARAGRAPHS)
+    paragraphs = docs.select(F.col(id_col).alias("i"), F.explode(F.split(F.col(text_col), "\n")).alias("p")).where(F.length("p").between(1, SAMPLE_CHARS))
+    # Hashes below this hold several times the sample; so each task sends few rows to be ordered.
+    share = min(1.0, 4 * SAMPLE_PARAGRAPHS / max(paragraphs.count(), 1))
+    if share < 1:
+        paragraphs = paragraphs.where(F.xxhash64("p", "i") <= int(share * 2**64) - 2**63)
+    sample = paragraphs.orderBy(F.xxhash64("p", "i"), "p").limit(SAMPLE_PARAGRAPHS)
     classifier = fit(list(dict.fromkeys(r["p"] for r in sample.select("p").collect())))
     anchors = classifier.anchors
 
