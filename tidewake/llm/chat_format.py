@@ -19,23 +19,26 @@ SPAN = 256
 
 
 def _numbered(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text, place, p1, p2): place in the conversation and hash of it so far.
+    """(rid, conv_id, place, p1, p2): number of the row, its place in the conversation and hash of it so far.
 
     Places and hashes are first made within spans of turn numbers and then
     carried over the spans before, so one very long conversation is many tasks'
     work.  The hash is the exclusive or of 128 bits for each place and turn.
+    Texts are only hashed here, so none is shuffled.
     """
+    text = F.col("text").cast("string")
     rows = turns.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")
+        F.monotonically_increasing_id().alias("rid"), F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"),
+        text.isNull().alias("mute"), F.xxhash64(F.lit(1), text).alias("t1"), F.xxhash64(F.lit(2), text).alias("t2"),
     ).withColumn("span", F.floor(F.col("turn") / SPAN))
-    inside = Window.partitionBy("conv_id", "span").orderBy("turn", "role", "text")
+    inside = Window.partitionBy("conv_id", "span").orderBy("turn", "role", F.desc("mute"), "t1", "t2")
     rows = rows.withColumn("in_span", F.row_number().over(inside))
     before = Window.partitionBy("conv_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     spans = rows.groupBy("conv_id", "span").agg(F.count(F.lit(1)).alias("n"))
     spans = spans.select(F.col("conv_id").alias("c"), F.col("span").alias("s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
     same = F.col("conv_id").eqNullSafe(F.col("c")) & F.col("span").eqNullSafe(F.col("s"))
     rows = rows.join(spans, same).withColumn("place", F.col("in_span") + F.col("skip")).drop("c", "s", "skip")
-    parts = [F.col("place"), F.col("role").isNull(), "role", F.col("text").isNull(), "text"]
+    parts = [F.col("place"), F.col("role").isNull(), "role", "mute", "t1", "t2"]
     rows = rows.withColumn("h1", F.xxhash64(F.lit(1), *parts)).withColumn("h2", F.xxhash64(F.lit(2), *parts))
     to_here = Window.partitionBy("conv_id", "span").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("x1", F.bit_xor("h1").over(to_here)).withColumn("x2", F.bit_xor("h2").over(to_here))
@@ -43,7 +46,7 @@ def _numbered(turns: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
     whole = whole.select(F.col("conv_id").alias("c"), F.col("span").alias("s"), F.coalesce(F.bit_xor("t1").over(before_by("conv_id", "span")), zero).alias("b1"), F.coalesce(F.bit_xor("t2").over(before_by("conv_id", "span")), zero).alias("b2"))
     rows = rows.join(whole, same)
-    return rows.select("conv_id", "turn", "role", "text", "place", F.col("x1").bitwiseXOR(F.col("b1")).alias("p1"), F.col("x2").bitwiseXOR(F.col("b2")).alias("p2"))
+    return rows.select("rid", "conv_id", "place", F.col("x1").bitwiseXOR(F.col("b1")).alias("p1"), F.col("x2").bitwiseXOR(F.col("b2")).alias("p2"))
 
 
 def before_by(key: str, order: str):
@@ -64,10 +67,12 @@ def collapse(turns: DataFrame) -> DataFrame:
     the one with the smallest conv_id.  Of equal conversations the smallest
     conv_id is kept.
 
-    Turns are ordered by turn, role and text, nulls first; repeated turns and
-    null roles, texts and turns are turns like others; rows with a null conv_id
-    are one conversation, which comes after all ids.  Other columns are not
-    read; an empty table gives an empty one.
+    Turns are ordered by turn, role and the text's hash, nulls first; repeated
+    turns and null roles, texts and turns are turns like others; rows with a
+    null conv_id are one conversation, which comes after all ids.  Other columns
+    are not read; an empty table gives an empty one.  ``turns`` is read twice
+    and must give its rows in the same partitions both times, as a Parquet table
+    does.
     """
     rows = settled(_numbered(turns))
     lengths = rows.groupBy("conv_id").agg(F.max("place").alias("n_turns")).withColumnRenamed("conv_id", "c")
@@ -79,7 +84,9 @@ def collapse(turns: DataFrame) -> DataFrame:
     fate = whole.join(prefixes, ["place", "p1", "p2"]).select("conv_id", "n_turns", (-F.col("top.back")).alias("kept_by"))
     fate = settled(fate.withColumn("kept", F.col("conv_id").eqNullSafe(F.col("kept_by"))))
     gone = fate.where("not kept").select(F.col("conv_id").alias("c"))
-    stay = rows.join(gone, F.col("conv_id").eqNullSafe(F.col("c")), "left_anti")
+    places = rows.select("rid", "conv_id", "place").join(gone, F.col("conv_id").eqNullSafe(F.col("c")), "left_anti")
+    said = turns.select(F.monotonically_increasing_id().alias("rid"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    stay = said.join(places, "rid")
     chunk = F.floor((F.col("place") - 1) / CHUNK_TURNS)
     parts = stay.groupBy("conv_id", chunk.alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("place", rendered(F.col("role"), F.col("text")).alias("t")))).alias("parts"))
     parts = parts.select(F.col("conv_id").alias("c"), "chunk", F.array_join(F.transform("parts", lambda x: x["t"]), "").alias("text"))
