@@ -249,6 +249,20 @@ def test_verdicts(spark, docs):
     assert quality.judged(docs.limit(0)).count() == 0 and quality.judged(docs.where("doc_id = 900002")).first()["kept"] is False
 
 
+def plain_text(k, n=120):
+    return "\n".join(" ".join(f"word{k * 7919 % 997}{chr(97 + (k + i + j) % 26)}{i + j}" for j in range(12)) for i in range(0, n, 12))
+
+
+def test_rows_of_small_strata_are_judged_by_all_rows_of_their_language(spark):
+    junk = " ".join(f"#{i}#$" for i in range(100))
+    rows = [(k, plain_text(k), "en", "big") for k in range(300)]
+    rows += [(1001, junk, "en", "new"), (1002, junk, "en", None), (1003, junk, None, None), (1004, junk, "rare", "big")]
+    rows += [(2001, plain_text(11), "en", "other"), (2002, plain_text(12), None, None)]
+    got = {r["doc_id"]: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(got) == len(rows) and not any(r["base_failed"] for r in got.values())
+    assert {i for i, r in got.items() if not r["kept"]} == {1001, 1002, 1003, 1004}
+
+
 # ---------------------------------------------------------------- language model
 
 

@@ -102,6 +102,20 @@ def sql_strata(vectors: str) -> str:
         from (select s3, s2, n3, sum(n3) over (partition by s2) as n2 from (select s3, s2, count(*) as n3 from {vectors} group by s3, s2) a) b"""
 
 
+def sql_groups(vectors: str) -> str:
+    """For each language and source, the stratum that judges it and all strata whose estimates its rows take part in.
+
+    A language's estimate is made of all its rows, the one of all rows of all,
+    but only if some language and source is judged by it.
+    """
+    counts = f"select s3, s2, count(*) as n3 from {vectors} group by s3, s2"
+    judged_by = f"""select s3, s2, case when n3 >= {LEAST_ROWS} then concat('source ', s3) when n2 >= {LEAST_ROWS} then concat('lang ', s2) else 'all' end as stratum
+        from (select s3, s2, n3, sum(n3) over (partition by s2) as n2 from ({counts}) a) b"""
+    return f"""with g as ({judged_by}) select s3, s2, stratum, filter(array(
+            case when stratum like 'source %' then stratum end, case when max(stratum = concat('lang ', s2)) over (partition by s2) then concat('lang ', s2) end, case when of_all then 'all' end), x -> x is not null) as strata
+        from g cross join (select count(*) > 0 as of_all from g where stratum = 'all') h"""
+
+
 def sql_first_distance(vectors: str, centres: str) -> str:
     """Distance from the middle of the densest cells, in least standard deviations."""
     d = " + ".join(f"({x} - {x}m) / {sd * UNIT!r}D * (({x} - {x}m) / {sd * UNIT!r}D)" for x, (_, sd) in COORDINATES.items())
@@ -163,7 +177,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     by concentration steps from the coordinates' medians: the nearest CORE of
     the rows give mean and covariance, these the distances, and so on.  Rows
     beyond CUTOFF are rejected.  A stratum of under LEAST_ROWS rows is judged
-    by its language's estimate, or by that of all rows.
+    by the estimate of all its language's rows, or by that of all rows.
 
     Null language and source are strata like any other; null texts count as
     empty and fail.  Repeated rows count as often as they are given.  A table
@@ -178,16 +192,17 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def run(text: str, **frames: DataFrame) -> DataFrame:
         return spark.sql(text, **frames)
 
-    vectors = run(sql_vectors("{stats}"), stats=stats.select("__row", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "lang", "source", "base_failed")).select("__row", "s2", "s3", *_NAMES)
-    strata = run(sql_strata("{v}"), v=vectors)
-    vectors = settled(vectors.join(strata, "s3").select("__row", "stratum", *_NAMES))
-    centres = run(sql_centres("{v}"), v=vectors)
-    d = run(sql_first_distance("{v}", "{c}"), v=vectors, c=centres)
+    one = run(sql_vectors("{stats}"), stats=stats.select("__row", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "lang", "source", "base_failed")).select("__row", "s2", "s3", *_NAMES)
+    groups = run(sql_groups("{v}"), v=one)
+    vectors = settled(one.join(groups, ["s2", "s3"]).select("__row", "stratum", "strata", *_NAMES))
+    members = vectors.select("__row", F.explode("strata").alias("stratum"), *_NAMES)
+    centres = run(sql_centres("{v}"), v=members)
+    d = run(sql_first_distance("{v}", "{c}"), v=members, c=centres)
     for _ in range(C_STEPS):
         core = run(sql_core("{d}"), d=d)
         estimate = settled(run(sql_estimate("{d}", "{k}", "decimal(20, 0)"), d=d, k=core))
-        d = run(sql_distance("{v}", "{e}"), v=vectors, e=estimate)
-    verdict = d.select("__row", F.col("d2").alias("distance2"))
+        d = run(sql_distance("{v}", "{e}"), v=members, e=estimate)
+    verdict = run(sql_distance("{v}", "{e}"), v=vectors.drop("strata"), e=estimate).select("__row", F.col("d2").alias("distance2"))
     out = stats.join(verdict, "__row", "left")
     kept = ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= CUTOFF)
     return out.select(F.col("__key").alias(id_col), "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", kept.alias("kept"))
