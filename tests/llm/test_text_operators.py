@@ -178,6 +178,19 @@ def test_extraction_of_small_pages(page, want):
         assert got == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body><div id=content><p>{words(1, 80)}<p>{words(2, 80)}<p>{words(3, 80)}</div><div><article><p>{words(4, 5)}</article></div></body>", f"{words(1, 80)}\n{words(2, 80)}\n{words(3, 80)}"),
+        (f"<body><article><p>{words(1)}<p>{words(2)}<p>{words(3)}</article><article><p>{words(4)}<p>{words(5)}</article></body>", "\n".join(words(k) for k in range(1, 6))),
+        (f"<body><div><h2>T</h2><article><p>{words(1, 80)}<p>{words(2, 80)}</article></div></body>", f"{words(1, 80)}\n{words(2, 80)}"),
+    ],
+)
+def test_articles_dont_overrule_the_density(page, want):
+    got = html_text.main_text(page).split("\n")
+    assert set(want.split("\n")) <= set(got)
+
+
 def test_odd_pages_end():
     for page in ("<div>" * 5000 + "x", "<a href='" * 2000, "<!--" * 1000, "&" * 5000, "</p>" * 5000, "<p" * 3000):
         html_text.main_text(page)

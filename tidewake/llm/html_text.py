@@ -162,8 +162,8 @@ def parse(page: str) -> _Tree:
     return tree
 
 
-def _densities(tree: _Tree) -> tuple[list[float], list[float]]:
-    """Composite density and sum of child densities of every node; cut-off nodes have none."""
+def _densities(tree: _Tree) -> tuple[list[float], list[float], list[int]]:
+    """Composite density, sum of child densities and characters of every node; cut-off nodes have none."""
     n = len(tree.tag)
     chars, linked, tags, links = [0] * n, [0] * n, [0] * n, [0] * n
     for i in range(n - 1, -1, -1):
@@ -190,12 +190,12 @@ def _densities(tree: _Tree) -> tuple[list[float], list[float]]:
             density[i] = max(density[i], 0.0)
         if i:
             total[tree.parent[i]] += density[i]
-    return density, total
+    return density, total, chars
 
 
 def _content(tree: _Tree) -> list[bool]:
     """Which nodes are roots of main text."""
-    density, total = _densities(tree)
+    density, total, chars = _densities(tree)
     n = len(tree.tag)
     best = list(range(n))  # the node of the largest sum in each subtree, the outer one of equals
     for i in range(n - 1, 0, -1):
@@ -209,18 +209,25 @@ def _content(tree: _Tree) -> list[bool]:
         if density[i] > 0:
             threshold = min(threshold, density[i])
         i = tree.parent[i]
-    # The article that the densest part stands in, or that stands alone in it, is main text as a whole.
-    outer, i = -1, top
-    while i >= 0:
-        if tree.tag[i] in ARTICLE_TAGS:
-            outer = i
-        i = tree.parent[i]
-    if outer < 0:
-        inner = [i for i in range(n) if tree.tag[i] in ARTICLE_TAGS and not tree.side[i] and tree.tag[tree.parent[i]] not in ARTICLE_TAGS]
-        if len(inner) == 1:
-            outer = inner[0]
-    if outer >= 0:
-        roots[outer] = True
+    # For each node the outermost article around it, whether it is cut off, and whether the densest node is around it.
+    outer, cut, within = [-1] * n, list(tree.side), [False] * n
+    for i in range(n):
+        up = tree.parent[i]
+        if i:
+            outer[i], cut[i], within[i] = outer[up], cut[i] or cut[up], within[up]
+        within[i] |= i == top
+        if outer[i] < 0 and tree.tag[i] in ARTICLE_TAGS:
+            outer[i] = i
+    articles = [i for i in range(n) if outer[i] == i and not cut[i]]
+    # The article that the densest part stands in is main text as a whole, and so are others as dense as the threshold.
+    if outer[top] >= 0:
+        for i in articles:
+            roots[i] = i == outer[top] or 0 < density[i] >= threshold
+        return roots
+    # So is the one that stands alone in the densest part, if it holds most of its text.
+    inside = [i for i in articles if within[i]]
+    if len(inside) == 1 and 2 * chars[inside[0]] > chars[top]:
+        roots[inside[0]] = True
         return roots
     for i in range(n):
         if not tree.side[i] and density[i] > 0 and density[i] >= threshold:
