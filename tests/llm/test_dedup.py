@@ -208,6 +208,18 @@ def test_edit_distance_up_to_three():
         assert line_dedup.edits_within(a, b, most).tolist() == [distance(x, y) <= most for x, y in zip(a, b, strict=True)]
 
 
+def test_short_lines_are_linked(spark):
+    rng = np.random.default_rng(3)
+    lines = {"".join(rng.choice(list("ab1é"), rng.integers(1, 10))) for _ in range(500)} | {"Page 1", "Page 2", "Page 12", "Page 123", "Page 1234", "1234567", "12345678", "123456789"}
+    lines |= {"Page " + chr(200 + i) for i in range(60)}
+    got = {(r["a"], r["b"]) for r in line_dedup.line_links(spark.createDataFrame([(x,) for x in lines], "line string").withColumn("id", F.xxhash64("line"))).collect()}
+    ids = {x: xxhash.xxh64_intdigest(x.encode(), 42) for x in lines}
+    ids = {x: i - (1 << 64) if i >> 63 else i for x, i in ids.items()}
+    pairs = [(x, y) for x in lines for y in lines if ids[x] < ids[y]]
+    near = line_dedup.edits_within([x for x, _ in pairs], [y for _, y in pairs])
+    assert got == {(ids[x], ids[y]) for (x, y), ok in zip(pairs, near, strict=True) if ok}
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert simhash.near_duplicates(none).count() == exact_dedup.mark_duplicates(none).count() == exact_dedup.keep_unique(none).count() == line_dedup.line_classes(none).count() == 0

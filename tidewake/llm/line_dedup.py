@@ -8,6 +8,10 @@ bit-parallel edit distance.
 A half that very many lines share would make too many candidates.  Lines of
 such a group are indexed again with more, smaller segments, all but one of
 which must agree, down to single characters; no pair is lost by it.
+
+Halves of short lines are shared by too many.  These are indexed whole and
+without each of their characters, and probe without each; so all that meet are
+within one edit.
 """
 
 from __future__ import annotations
@@ -26,8 +30,10 @@ from tidewake.llm.components import connected_components
 from tidewake.llm.exact_dedup import bloom_test
 
 MAX_EDITS = 1
-#: Shorter lines are compared for equality only.
-LEAST_CHARS = 8
+#: Shorter lines take part as well.
+LEAST_CHARS = 1
+#: Up to so many characters lines are indexed by characters, not by segments.
+SHORT_CHARS = 7
 #: A group of more lines is split by smaller segments.
 GROUP_LINES = 32
 #: Each time by so many.
@@ -54,6 +60,19 @@ def _keys(lines: DataFrame, segments: int) -> DataFrame:
 
     places = F.sequence(F.lit(0), F.lit(segments - 1))
     keys = F.concat(F.transform(places, lambda i: key(i, 0)), F.transform(places, lambda i: key(i, 1)))
+
+    def without(i: Column) -> tuple[Column, Column]:
+        return F.substring("line", F.lit(1), i), F.substring("line", i + 2, n)
+
+    def struct(k: Column, role: int) -> Column:
+        return F.struct(k.alias("k"), F.lit(role).cast("byte").alias("role"), F.lit(True).alias("any"))
+
+    chars = F.sequence(F.lit(0), n - 1)
+    replaced = F.transform(chars, lambda i: struct(F.xxhash64(n, F.lit(-1), i, *without(i)), 0))
+    whole = F.array(struct(F.xxhash64(F.lit(-2), "line"), 0))
+    deleted = F.transform(chars, lambda i: struct(F.xxhash64(F.lit(-2), F.concat(*without(i))), 1))
+    # A line one longer than the short ones has to meet both kinds.
+    keys = F.when(n > SHORT_CHARS + 1, keys).when(n > SHORT_CHARS, F.concat(keys, deleted)).when(n > 1, F.concat(replaced, whole, deleted)).otherwise(F.concat(replaced, whole))
     some = lines.where(n >= LEAST_CHARS).select("id", "line").mapInArrow(_first_in_task, "id long, line string")
     found = some.select("id", F.explode(keys).alias("key")).where("key.any or key.role = 1")
     return found.select("key.k", "id", "key.role")
@@ -196,7 +215,7 @@ def _texts(lines: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def line_links(lines: DataFrame) -> DataFrame:
-    """(a, b), a < b, for all distinct lines of LEAST_CHARS or more within MAX_EDITS edits."""
+    """(a, b), a < b, for all distinct lines within MAX_EDITS edits."""
     n = max(1, partitions(lines.sparkSession))
     segments, keyed, candidates, last = MAX_EDITS + 1, lines, None, False
     while True:
