@@ -215,6 +215,24 @@ def test_licences_held_out(docs):
     assert license_scan.scan(None, c, c.anchors) == license_scan.scan("", c, c.anchors) == []
 
 
+def test_wrapped_and_several_licences(docs):
+    lines = sorted({p for r in docs.collect() for p in (r["text"] or "").split("\n") if p})
+    c = license_scan.fit(lines[:600])
+
+    def found(text):
+        return [(g["paragraph"], g["family"]) for g in license_scan.scan(text, c, c.anchors)]
+
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that"
+    assert found(f"title\n\n{bsd}\n") == [(2, "bsd")]
+    filler = " ".join(f"thing{i}" for i in range(80))
+    names = ["Released under the MIT License", "licensed under the Apache License, Version 2.0", "released under the GNU GPL version 3", "licensed under CC BY-NC 4.0", "licensed under the Mozilla Public License version 2.0"]
+    assert found(f" {filler} ".join(names)) == [(0, f) for f in ("mit", "apache-2.0", "gpl-3.0", "cc-by-nc-4.0", "mpl-2.0")]
+    assert found("Released under the MIT License and the Apache License 2.0") == [(0, "mit"), (0, "apache-2.0")]
+    assert found("Licensed under the\nMIT license\nLicensed under the MIT\nlicense") == [(0, "mit"), (2, "mit")]
+    assert found("This work is licensed under the GNU Lesser General Public License, version 3.") == [(0, "lgpl-3.0")]
+    assert found("Licensed under the GNU Affero General Public License version 3") == [(0, "agpl-3.0")]
+
+
 def test_skipped_paragraphs_have_no_feature(docs):
     """The search by anchors gives what scoring every paragraph gives."""
     c = license_scan.fit(["some words of text", "other words here"])

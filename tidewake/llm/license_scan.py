@@ -5,9 +5,11 @@ holds, so a paragraph without any has the score of its class biases and needs
 no further work.  The classifier is multinomial logistic regression over the
 families and "none", trained here on varied templates and on a bounded sample
 of paragraphs; its probabilities are calibrated by a temperature fitted on
-held-out examples.  A family that the classifier finds likely is reported only
-if the paragraph holds most of one of its templates in order; else the
-paragraph is "unknown": like a licence, but none that is known.
+held-out examples.  Lines up to the next without a word are one paragraph, so a
+notice may be wrapped anywhere.  Every family is reported at each place that
+holds most of one of its templates in order and that the classifier finds like
+a notice.  A line without such a place that is like a notice, by itself or with
+the next line, is "unknown": like a licence, but none that is known.
 """
 
 from __future__ import annotations
@@ -181,22 +183,118 @@ def fit(negatives: list[str], rounds: int = 300) -> Classifier:
     return Classifier(features, w.astype(np.float64), b.astype(np.float64), float(grid[int(np.argmin(loss))]))
 
 
+#: Each template's family, words, and those that may begin it.
+_SEARCHED = [(f, t, tokens(t), frozenset(tokens(t)[: len(tokens(t)) // 4 + 1])) for f in sorted(TEMPLATES) for t in TEMPLATES[f]]
+
+
+@dataclass
+class Place:
+    """A stretch of words that holds most of a template."""
+
+    family: str
+    template: frozenset[str]
+    first: int
+    last: int
+    similarity: float
+    n: int
+    probability: float = 0.0
+
+
+def _best_from(template: list[str], words: list[str], at: int, span: int) -> tuple[int, int]:
+    """How many of the template's words stand in order from ``at`` on, and the end of the shortest stretch that holds them."""
+    row, most, end = [0] * (len(template) + 1), 0, at
+    for k in range(at, min(at + span, len(words))):
+        left = 0
+        for j, t in enumerate(template):
+            up = row[j + 1]
+            row[j + 1] = left + 1 if words[k] == t else max(up, row[j])
+            left = up
+        if row[-1] > most:
+            most, end = row[-1], k
+            if most == len(template):
+                break
+    return most, end
+
+
+def places(words: list[str], classifier: Classifier) -> list[Place]:
+    """Where templates stand in a paragraph, in order; what a better place of another family explains is left out."""
+    hot = np.array([i for i in range(len(words) - 1) if f"{words[i]} {words[i + 1]}" in classifier.features])
+    if not len(hot):
+        return []
+    held, found = set(words), []
+    for family, text, template, opening in _SEARCHED:
+        own = OWN_WORDS[text]
+        if own and own.isdisjoint(held) or len(held.intersection(template)) < LEAST_MATCH * len(set(template)) - 1:
+            continue
+        span = len(template) + len(template) // 2
+        at = 0
+        best: Place | None = None
+        while at < len(words):
+            if best and at > best.last:
+                found.append(best)
+                best = None
+            near = int(np.searchsorted(hot, at))
+            if near == len(hot):
+                break
+            if hot[near] >= at + span:
+                at = int(hot[near]) - span + 1
+                continue
+            if words[at] in opening:
+                n, last = _best_from(template, words, at, span)
+                if n >= LEAST_MATCH * len(template) and (not own or not own.isdisjoint(words[at : last + 1])):
+                    if not best or n > best.n or n == best.n and last - at < best.last - best.first:
+                        best = Place(family, frozenset(template), at, last, n / len(template), n)
+            at += 1
+        if best:
+            found.append(best)
+    found.sort(key=lambda p: (-p.similarity, -p.n, p.first, p.family))
+    kept: list[Place] = []
+    for p in found:
+        mine = p.template.intersection(words[p.first : p.last + 1])
+        if any(q.first <= p.last and p.first <= q.last and (p.family == q.family or mine <= q.template) for q in kept):
+            continue
+        p.probability = float(1 - classifier.probabilities(words[p.first : p.last + 1])[NONE])
+        if p.probability >= LEAST_PROBABILITY:
+            kept.append(p)
+    return sorted(kept, key=lambda p: (p.first, p.last, p.family))
+
+
 def scan(text: str | None, classifier: Classifier, anchors: frozenset[str]) -> list[dict]:
-    """Notices of one document, in order: paragraph number, family, probability and match."""
-    found = []
+    """Notices of one document, in order: number of the line where it begins, family, probability and match."""
+    found: list[dict] = []
     if not text:
         return found
-    for number, paragraph in enumerate(text.split("\n")):
-        if anchors.isdisjoint(words := tokens(paragraph)):
-            continue
+    block: list[tuple[int, list[str]]] = []
+
+    def unknown(number: int, words: list[str]) -> bool:
+        if anchors.isdisjoint(words):
+            return False
         p = classifier.probabilities(words)
-        if 1 - p[NONE] < LEAST_PROBABILITY:
-            continue
-        ranked = [FAMILIES[k] for k in np.argsort(-p[:NONE])[:3]]
-        confirmed = [(m, f) for f in ranked if (m := match(f, words)) >= LEAST_MATCH]
-        m, family = max(confirmed, key=lambda c: c[0]) if confirmed else (match(ranked[0], words), "unknown")
-        found.append({"paragraph": number, "family": family, "probability": float(1 - p[NONE]), "similarity": m})
-    return found
+        if like := 1 - p[NONE] >= LEAST_PROBABILITY:
+            found.append({"paragraph": number, "family": "unknown", "probability": float(1 - p[NONE]), "similarity": match(FAMILIES[int(np.argmax(p[:NONE]))], words)})
+        return bool(like)
+
+    def close() -> None:
+        words = [w for _, ws in block for w in ws]
+        if not anchors.isdisjoint(words):
+            line_of = [k for k, (_, ws) in enumerate(block) for _ in ws]
+            taken: set[int] = set()
+            for p in places(words, classifier):
+                taken.update(range(line_of[p.first], line_of[p.last] + 1))
+                found.append({"paragraph": block[line_of[p.first]][0], "family": p.family, "probability": p.probability, "similarity": p.similarity})
+            taken.update([k for k, (number, ws) in enumerate(block) if k not in taken and unknown(number, ws)])
+            for k in range(len(block) - 1):
+                if k not in taken and k + 1 not in taken and unknown(block[k][0], block[k][1] + block[k + 1][1]):
+                    taken.update((k, k + 1))
+        block.clear()
+
+    for number, line in enumerate(text.split("\n")):
+        if words := tokens(line):
+            block.append((number, words))
+        else:
+            close()
+    close()
+    return sorted(found, key=lambda x: x["paragraph"])
 
 
 FOUND = "array<struct<paragraph: long, family: string, probability: double, similarity: double>>"
@@ -205,7 +303,7 @@ FOUND = "array<struct<paragraph: long, family: string, probability: double, simi
 def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, found) of every row; ``found`` is empty if a text has no notice.
 
-    Paragraphs are lines.  Null texts have none; null ids and repeated rows come
+    The classifier's sample is of lines.  Null texts have no notice; null ids and repeated rows come
     back as given; an empty table trains on templates alone; other columns are
     not read.
     """
