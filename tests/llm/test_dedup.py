@@ -173,14 +173,13 @@ def test_lines_against_all_pairs(spark):
     got = {r["line_id"]: r for r in line_dedup.line_classes(docs).collect()}
 
     def key(x):
-        v = xxhash.xxh64_intdigest(x.encode(), 42)
-        return v - 2**64 if v >= 2**63 else v
+        return hashlib.sha256(x.encode()).hexdigest()[:32]
 
     distinct = sorted({x for r in docs.collect() for x in (r["text"] or "").split("\n") if x.strip(" \t\x0b\x0c\r")})
     sets, links = Sets(), defaultdict(int)
     for i, x in enumerate(distinct):
         for y in distinct[:i]:
-            if min(len(x), len(y)) >= line_dedup.LEAST_CHARS and within_one(x, y):
+            if within_one(x, y):
                 sets.join(key(x), key(y))
                 links[x] += 1
                 links[y] += 1
@@ -189,35 +188,61 @@ def test_lines_against_all_pairs(spark):
         assert (got[key(x)]["n_links"], got[key(x)]["class_id"]) == (links[x], sets.find(key(x)))
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
 def test_edit_distance_up_to_three():
     import random
 
     random.seed(4)
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
     a = ["".join(random.choice("ab") for _ in range(random.randrange(12))) for _ in range(600)]
     b = ["".join(random.choice("ab") for _ in range(random.randrange(12))) for _ in range(600)]
     for most in (1, 2, 3):
-        assert line_dedup.edits_within(a, b, most).tolist() == [distance(x, y) <= most for x, y in zip(a, b, strict=True)]
+        assert line_dedup.edits_within(a, b, most).tolist() == [edits(x, y) <= most for x, y in zip(a, b, strict=True)]
+
+
+def linked(spark, lines, most, **limits):
+    lines = sorted(lines)
+    table = spark.createDataFrame(list(enumerate(lines)), "no long, line string")
+    return lines, {(r["a"], r["b"]) for r in line_dedup.line_links(table, most, **limits).collect()}
 
 
-def test_short_lines_are_linked(spark):
+@pytest.mark.parametrize(("most", "limits"), [(1, {}), (1, {"group_rows": 8, "held_rows": 20}), (2, {}), (3, {})])
+def test_links_of_any_threshold_and_group_size(spark, most, limits):
+    """Small limits make groups split in tasks and between tasks."""
     rng = np.random.default_rng(3)
-    lines = {"".join(rng.choice(list("ab1é"), rng.integers(1, 10))) for _ in range(500)} | {"Page 1", "Page 2", "Page 12", "Page 123", "Page 1234", "1234567", "12345678", "123456789"}
+    lines = {"".join(rng.choice(list("ab1é"), rng.integers(1, 10))) for _ in range(150)} | {"Page 1", "Page 2", "Page 12", "Page 123", "Page 1234", "1234567", "12345678", "123456789"}
     lines |= {"Page " + chr(200 + i) for i in range(60)}
-    got = {(r["a"], r["b"]) for r in line_dedup.line_links(spark.createDataFrame([(x,) for x in lines], "line string").withColumn("id", F.xxhash64("line"))).collect()}
-    ids = {x: xxhash.xxh64_intdigest(x.encode(), 42) for x in lines}
-    ids = {x: i - (1 << 64) if i >> 63 else i for x, i in ids.items()}
-    pairs = [(x, y) for x in lines for y in lines if ids[x] < ids[y]]
-    near = line_dedup.edits_within([x for x, _ in pairs], [y for _, y in pairs])
-    assert got == {(ids[x], ids[y]) for (x, y), ok in zip(pairs, near, strict=True) if ok}
+    hot = "the quick brown fox jumps over the lazy dog"
+    for _ in range(60):
+        x = hot
+        for _ in range(rng.integers(1, 4)):
+            i = rng.integers(0, len(x) + 1)
+            x = x[:i] + rng.choice(list("xyz"))[0] * rng.integers(0, 2) + x[i + rng.integers(0, 2) :]
+        lines.add(x)
+    lines, got = linked(spark, lines, most, **limits)
+    assert got == {(i, j) for j, y in enumerate(lines) for i, x in enumerate(lines[:j]) if abs(len(x) - len(y)) <= most and edits(x, y) <= most}
+
+
+def test_very_long_lines_are_linked(spark):
+    rng = np.random.default_rng(8)
+    base = "".join(rng.choice(list("abcdef "), 200_000))
+    lines = {base, base[:70_000] + "Z" + base[70_001:], base[:-1], base[:100] + base[101:], "Q" + base, base[:50] + "ZZ" + base[52:]}
+    lines, got = linked(spark, lines, 1)
+    assert got == {(i, j) for j, y in enumerate(lines) for i, x in enumerate(lines[:j]) if within_one(x, y)}
+
+
+def test_line_classes_of_odd_tables(spark):
+    rows = [(1, "same\nother one", "x", 3), (1, "same\nother one", "x", 3), (None, "same", None, None), (2, None, "y", 1), (3, "", "y", 1), (4, " \t", None, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, line string, no int")
+    got = sorted((r["first_doc"] or 0, r["first_line"], r["n_rows"], r["n_links"]) for r in line_dedup.line_classes(docs).collect())
+    assert got == [(0, 0, 3, 0), (1, 1, 2, 0)]
 
 
 def test_empty_tables(spark, docs):

@@ -121,6 +121,20 @@ ORACLES: dict[str, str] = {
         shown as (select o.conv_id, (p - 1) // 64 as chunk, string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' order by p) as text
             from o join fate on o.conv_id is not distinct from fate.conv_id and fate.kept group by all)
         select fate.conv_id, n as n_turns, kept, kept_by, chunk, text from fate left join shown on fate.conv_id is not distinct from shown.conv_id and kept""",
+    "op5_line_dedup": r"""with recursive d as (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null),
+        l as (select doc_id, unnest(ls) as line, unnest(range(len(ls))) as line_no from d),
+        u as (select left(sha256(line), 32) as id, line, length(line) as n, count(*) as n_rows, first(doc_id order by doc_id nulls first, line_no) as first_doc, first(line_no order by doc_id nulls first, line_no) as first_line
+            from l where not regexp_full_match(line, '[\x20\x09\x0B-\x0D]*') group by line),
+        k as (select id, n as size, 0 as role, 'before' as part, left(line, n // 2) as piece from u union all select id, n, 0, 'after', substr(line, n // 2 + 1) from u
+            union all select id, n - 1, 1, 'before', left(line, (n - 1) // 2) from u union all select id, n - 1, 1, 'after', substr(line, (n - 1) // 2 + 2) from u),
+        met as (select distinct a.id as a, b.id as b from k a join k b on a.size = b.size and a.part = b.part and a.piece = b.piece and a.role = 0 and (b.role = 1 or a.id < b.id)),
+        couple as (select a, b, x.line as s, y.line as t, x.n as m, y.n as n from met join u x on x.id = a join u y on y.id = b),
+        same as (select *, coalesce(list_position(list_transform(range(1, m + 1), lambda i: s[i] is distinct from t[i]), true) - 1, m) as p from couple),
+        links as (select a, b from same where case when m = n then substr(s, p + 2) = substr(t, p + 2) else substr(s, p + 1) = substr(t, p + 2) end),
+        ends as (select a, b from links union select b, a from links),
+        reach as (select a, b from ends union select r.a, e.b from reach r join ends e on r.b = e.a),
+        class as (select a, min(b) as least from reach group by a), degree as (select a, count(*) as n_links from ends group by a)
+        select id as line_id, first_doc, first_line, n as n_chars, n_rows, coalesce(n_links, 0) as n_links, coalesce(least, id) as class_id from u left join class on class.a = id left join degree on degree.a = id""",
     "op8_quality": _quality_sql(),
     "op10_exact_dedup": """select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
         row_number() over (partition by coalesce(text, '') order by doc_id desc nulls last) = 1 as kept, sha256(coalesce(text, '')) as text_sha256
