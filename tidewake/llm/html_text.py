@@ -22,7 +22,12 @@ from pyspark.sql import functions as F
 
 # Element and class names of HTML and of common page templates.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math object select button".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
+#: Inside these a slash ends an empty element; elsewhere it means nothing.
+FOREIGN = frozenset("svg math".split())
+#: Controls without blocks inside: a block's start tag ends one that was left open.
+CONTROLS = frozenset("button select".split())
+IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -43,7 +48,7 @@ CLOSES = {
     "option": ({"option"}, {"select"}),
     "body": ({"head"}, set()),
 }
-SIDE_TAGS = frozenset("nav footer aside form dialog head menu".split())
+SIDE_TAGS = frozenset("nav footer aside form dialog head menu button select option datalist".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 SIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising advertorial adsense adbox adslot banner sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice "
@@ -52,7 +57,17 @@ SIDE_WORDS = frozenset(
 )
 #: These name a page's head, unless they stand inside the article.
 HEAD_WORDS = frozenset("header masthead topbar".split())
+#: A name with other words besides (search-methods, related-work) is not a side element's.
+PLAIN_WORDS = frozenset(
+    "a and area at bar bg block body bottom box btn buttons card class col column container content div el element feed fixed float form global group hidden holder id inner in item items js "
+    "large left link links list local main media menu middle mobile module my new of on outer page panel part post primary right row secondary section site slot small stack sticky story style sub "
+    "tabs text the to top ui unit us user view web with wrap wrapper zone".split()
+)
+#: Said of a paragraph, these may just as well mark its text.
+SOFT_WORDS = frozenset("alert banner menu notice popup promo recommended related search share skip widget".split())
 ARTICLE_TAGS = frozenset("article main".split())
+#: Only these can be the subtree of the largest sum: a text's own blocks can't stand for all of it.
+CONTAINERS = frozenset("html body main article section div center table tbody tr td".split())
 
 MARKUP = re.compile(
     r"""<!--(?:>|->|(?P<comment>.*?)(?:--!?>|\Z))|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?/][^>]*+(?:>|\Z)""",
@@ -73,6 +88,18 @@ class _Tree:
         self.side = [False]
 
 
+def _names_side(name: str, value: str, inside_article: bool) -> bool:
+    """Whether a class or an id tells that an element is no main text."""
+    for part in value.lower().split():
+        words = set(NAME_PART.findall(part))
+        side = words & SIDE_WORDS if inside_article else words & (SIDE_WORDS | HEAD_WORDS)
+        if name == "p":
+            side -= SOFT_WORDS
+        if side and words - side <= PLAIN_WORDS | SIDE_WORDS | HEAD_WORDS:
+            return True
+    return False
+
+
 def _is_side(name: str, attrs: str, inside_article: bool) -> bool:
     if name in SIDE_TAGS:
         return True
@@ -83,87 +110,98 @@ def _is_side(name: str, attrs: str, inside_article: bool) -> bool:
     for key, *values in ATTRIBUTE.findall(attrs):
         key, value = key.lower(), "".join(values)
         if key in ("class", "id"):
-            for part in value.lower().split():
-                words = NAME_PART.findall(part)
-                if not SIDE_WORDS.isdisjoint(words) or not inside_article and not HEAD_WORDS.isdisjoint(words):
-                    return True
+            if _names_side(name, value, inside_article):
+                return True
         elif key == "role" and value.lower() in SIDE_ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and HIDDEN.search(value):
             return True
     return False
 
 
+class _Open:
+    """The open elements, with their number by name, so that a search that can't succeed isn't begun."""
+
+    def __init__(self, tree: _Tree) -> None:
+        self.tag, self.stack, self.count = tree.tag, [0], {"html": 1}
+
+    def push(self, node: int) -> None:
+        self.stack.append(node)
+        name = self.tag[node]
+        self.count[name] = self.count.get(name, 0) + 1
+
+    def pop_to(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            self.count[self.tag[self.stack.pop()]] -= 1
+
+    def has(self, names: frozenset[str] | set[str]) -> int:
+        return sum(self.count.get(n, 0) for n in names)
+
+    def close(self, shut: set[str] | frozenset[str], walls: set[str] | frozenset[str], outermost: bool) -> None:
+        """Closes the innermost or outermost open element of ``shut`` that no element of ``walls`` stands before."""
+        left, lowest = self.has(shut), 0
+        for depth in range(len(self.stack) - 1, 0, -1):
+            if not left:
+                break
+            t = self.tag[self.stack[depth]]
+            if t in shut:
+                lowest, left = depth, left - 1
+                if not outermost:
+                    break
+            elif t in walls:
+                break
+        if lowest:
+            self.pop_to(lowest)
+
+
 def parse(page: str) -> _Tree:
-    """The page's tree, with open paragraphs, list items and cells closed as browsers do."""
+    """The page's tree, with open paragraphs, list items, cells and controls closed as browsers do."""
     tree = _Tree()
     tag, parent, parts, side = tree.tag, tree.parent, tree.parts, tree.side
-    stack, articles, at, end = [0], 0, 0, len(page)
-
-    def pop_to(depth: int) -> None:
-        nonlocal articles
-        while len(stack) > depth:
-            articles -= tag[stack.pop()] in ARTICLE_TAGS
-
+    still, at, end, body = _Open(tree), 0, len(page), False
     while at < end:
         found = MARKUP.search(page, at)
         stop = found.start() if found else end
         if stop > at:
-            parts[stack[-1]].append(html.unescape(page[at:stop]))
+            parts[still.stack[-1]].append(html.unescape(page[at:stop]))
         if not found:
             break
         at = found.end()
         if (text := found["cdata"]) is not None:
-            parts[stack[-1]].append(text)
+            parts[still.stack[-1]].append(text)
         if not (name := found["name"]):
             continue
         name = name.lower()
         if found["close"]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if tag[stack[depth]] == name:
-                    pop_to(depth)
-                    break
-                if name not in BLOCK and tag[stack[depth]] in BLOCK:
-                    break
+            still.close({name}, frozenset() if name in BLOCK else BLOCK, False)
             continue
         attrs = found["attrs"]
-        if name in RAW and not attrs.endswith("/"):
+        if name in RAW:
             closed = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
             at = closed.end() if closed else end
             continue
+        if name not in IN_HEAD and still.has({"head"}):
+            still.close({"head"}, frozenset(), False)
         if name in CLOSES_P:
-            for depth in range(len(stack) - 1, 0, -1):
-                t = tag[stack[depth]]
-                if t == "p":
-                    pop_to(depth)
-                    break
-                if t in BLOCK:
-                    break
+            still.close({"p"}, BLOCK - {"p"}, False)
+        if name in BLOCK and name != "option" and still.has(CONTROLS):
+            still.close(CONTROLS, frozenset(), True)
         if name in CLOSES:
-            shut, walls = CLOSES[name]
-            lowest = 0
-            for depth in range(len(stack) - 1, 0, -1):
-                t = tag[stack[depth]]
-                if t in walls:
-                    break
-                if t in shut:
-                    lowest = depth
-            if lowest:
-                pop_to(lowest)
-        if name in ("html", "body") and (name == "html" or "body" in tag):
+            still.close(*CLOSES[name], True)
+        if name == "html" or name == "body" and body:
             continue
+        body |= name == "body"
         node = len(tag)
         tag.append(name)
-        parent.append(stack[-1])
+        parent.append(still.stack[-1])
         parts.append([])
-        side.append(_is_side(name, attrs, articles > 0))
-        parts[stack[-1]].append(node)
-        if name not in VOID and not attrs.endswith("/"):
-            stack.append(node)
-            articles += name in ARTICLE_TAGS
+        side.append(_is_side(name, attrs, still.has(ARTICLE_TAGS) > 0))
+        parts[still.stack[-1]].append(node)
+        if name not in VOID and not (attrs.endswith("/") and still.has(FOREIGN)):
+            still.push(node)
     return tree
 
 
-def _densities(tree: _Tree) -> tuple[list[float], list[float], list[int]]:
-    """Composite density, sum of child densities and characters of every node; cut-off nodes have none."""
+def _densities(tree: _Tree) -> tuple[list[float], list[float]]:
+    """Composite density and sum of child densities of every node; cut-off nodes have none."""
     n = len(tree.tag)
     chars, linked, tags, links = [0] * n, [0] * n, [0] * n, [0] * n
     for i in range(n - 1, -1, -1):
@@ -190,17 +228,17 @@ def _densities(tree: _Tree) -> tuple[list[float], list[float], list[int]]:
             density[i] = max(density[i], 0.0)
         if i:
             total[tree.parent[i]] += density[i]
-    return density, total, chars
+    return density, total
 
 
 def _content(tree: _Tree) -> list[bool]:
     """Which nodes are roots of main text."""
-    density, total, chars = _densities(tree)
+    density, total = _densities(tree)
     n = len(tree.tag)
-    best = list(range(n))  # the node of the largest sum in each subtree, the outer one of equals
+    best = list(range(n))  # the container of the largest sum in each subtree, the outer one of equals
     for i in range(n - 1, 0, -1):
         up = tree.parent[i]
-        if not tree.side[i] and total[best[i]] > total[best[up]]:
+        if not tree.side[i] and tree.tag[best[i]] in CONTAINERS and (tree.tag[best[up]] not in CONTAINERS or total[best[i]] > total[best[up]]):
             best[up] = best[i]
     roots = [False] * n
     top = best[0]
@@ -209,26 +247,6 @@ def _content(tree: _Tree) -> list[bool]:
         if density[i] > 0:
             threshold = min(threshold, density[i])
         i = tree.parent[i]
-    # For each node the outermost article around it, whether it is cut off, and whether the densest node is around it.
-    outer, cut, within = [-1] * n, list(tree.side), [False] * n
-    for i in range(n):
-        up = tree.parent[i]
-        if i:
-            outer[i], cut[i], within[i] = outer[up], cut[i] or cut[up], within[up]
-        within[i] |= i == top
-        if outer[i] < 0 and tree.tag[i] in ARTICLE_TAGS:
-            outer[i] = i
-    articles = [i for i in range(n) if outer[i] == i and not cut[i]]
-    # The article that the densest part stands in is main text as a whole, and so are others as dense as the threshold.
-    if outer[top] >= 0:
-        for i in articles:
-            roots[i] = i == outer[top] or 0 < density[i] >= threshold
-        return roots
-    # So is the one that stands alone in the densest part, if it holds most of its text.
-    inside = [i for i in articles if within[i]]
-    if len(inside) == 1 and 2 * chars[inside[0]] > chars[top]:
-        roots[inside[0]] = True
-        return roots
     for i in range(n):
         if not tree.side[i] and density[i] > 0 and density[i] >= threshold:
             found = best[i]
