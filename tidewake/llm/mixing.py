@@ -6,9 +6,10 @@ its awards so far.  Stopped at the quotient 2B, each source has t / B rounded
 half up, so quotas have a closed form; and the award with number q comes at
 the part (q + 1/2) B / t of the whole, which gives the quota of every shard.
 
-Each source's rows lie in seeded order on a ring of its words, and its blocks
-are cut one after another from a seeded block of the ring.  A target of up to
-twice the source goes round the ring twice at most.
+Each source's rows lie in seeded order on a ring of its words, which is cut into
+blocks; even stretches of blocks are its shards.  A shard takes each of its
+blocks as often as its quota goes round, and of the rest the blocks from a
+seeded one on.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ SHARE = 1.5
 MOST_REPEATS = 2
 #: A block is a power of two of words, at most MOST_BLOCK and a 64th of the smallest target.
 MOST_BLOCK, BLOCKS_LEAST = 1024, 64
-#: Each source's ring is summed up in so many arcs.
-ARCS = 1024
+#: A source has so many shards, or fewer of so many blocks.
+SHARDS, SHARD_BLOCKS = 16, 64
+#: Each source's ring is summed up in so many arcs, or in more, of about ARC_ROWS rows of all sources.
+ARCS, ARC_ROWS = 1024, 1 << 15
 SEED = 17
 
 
@@ -53,32 +56,53 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return two.select("no", "source", "source_size", "weight", target.alias("target"))
 
 
-def quotas(targets: DataFrame, shards: int = 16) -> DataFrame:
-    """``targets`` with block, quota (blocks) and shard_quotas, an array of integers that add up to quota."""
+def quotas(targets: DataFrame, shards: int = SHARDS, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+    """``targets`` with block, blocks (of the source), quota (blocks to take), shard_starts and shard_quotas.
+
+    Shard k begins with block shard_starts[k]; its quota is what Sainte-Laguë
+    awards on the shard's part of the way, at most MOST_REPEATS times its
+    blocks.  The shards' quotas add up to the source's.
+    """
     least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(Window.partitionBy(F.lit(0)))
     fit = F.floor(F.log2(F.coalesce(least, F.lit(1.0)) / BLOCKS_LEAST))
     block = F.greatest(F.lit(1), F.least(F.lit(MOST_BLOCK), F.pow(F.lit(2.0), fit))).cast("long")
-    due = F.col("target") / F.col("block")
+    with_block = targets.withColumn("block", block).withColumn("blocks", F.greatest(F.ceil(F.col("source_size") / F.col("block")), F.lit(1)).cast("long"))
+    with_block = with_block.withColumn("shards", F.greatest(F.lit(1), F.least(F.lit(shards), F.floor(F.col("blocks") / shard_blocks))).cast("int"))
+    due = F.least(F.col("target") / F.col("block"), F.col("blocks") * float(MOST_REPEATS))
+
+    def start(k: Column) -> Column:
+        return F.floor(F.col("blocks") * k / F.col("shards")).cast("long")
 
-    def by(k: Column) -> Column:
-        return F.floor(due * k / shards + 0.5).cast("long")
+    def awarded(k: Column) -> Column:
+        return F.floor(due * start(k) / F.col("blocks") + 0.5).cast("long")
 
-    per_shard = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda k: by(k) - by(k - 1))
-    return targets.withColumn("block", block).withColumn("quota", by(F.lit(shards))).withColumn("shard_quotas", per_shard)
+    of_shards = F.sequence(F.lit(0), F.col("shards") - 1)
+    per_shard = F.transform(of_shards, lambda k: awarded(k + 1) - awarded(k))
+    return with_block.withColumn("quota", awarded(F.col("shards"))).withColumn("shard_starts", F.transform(of_shards, start)).withColumn("shard_quotas", per_shard)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, seed: int) -> DataFrame:
     size = n_words(F.col(text_col))
-    key = F.xxhash64(F.lit(seed), F.col(id_col).cast("long"))
+    key = F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.col(text_col))
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col("source").cast("string").alias("source"), size.alias("size"), key.alias("key"))
 
 
+def block_times(j: Column, seed: int) -> Column:
+    """How often block ``j`` of a source is taken."""
+    shards = F.col("shards")
+    k = F.floor((j * shards + shards - 1) / F.col("blocks")).cast("int")  # the last shard that begins at j or before
+    first, after = F.get("shard_starts", k), F.coalesce(F.get("shard_starts", k + 1), F.col("blocks"))
+    n, quota = after - first, F.get("shard_quotas", k)
+    place = F.pmod(j - first - F.pmod(F.xxhash64(F.lit(seed), F.col("no"), k), n), n)
+    return F.floor(quota / n) + (place < F.pmod(quota, n)).cast("long")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
     """One row for each row of ``docs``: row, id, size, source_size, target, taken and its pieces.
 
     ``pieces`` is an array of (pass, first, last): words ``first`` up to but
-    not including ``last``, once for every time the ring's cut covers the row.
-    ``taken`` is their total.
+    not including ``last``, once for every run of blocks taken that covers
+    them.  ``taken`` is their total.
 
     Null text has size 0 and gives no piece; null source is a source of its own,
     null ids are ordered like any id.  Repeated rows are rows of their own with
@@ -86,28 +110,37 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: i
     Columns other than id, text and ``source`` are not read.
     """
     rows = settled(_rows(docs, id_col, text_col, seed))
+    arcs_of_ring = max(ARCS, rows.count() // ARC_ROWS)
     plan = settled(quotas(source_targets(rows.select("source", "size")))).withColumnRenamed("source", "__source")
-    rows = rows.join(plan.select("__source", "no"), F.col("source").eqNullSafe(F.col("__source"))).select("row", "id", "no", "size", "key", F.pmod("key", F.lit(ARCS)).alias("arc"))
+    rows = rows.join(plan.select("__source", "no"), F.col("source").eqNullSafe(F.col("__source"))).select("row", "id", "no", "size", "key", F.pmod("key", F.lit(arcs_of_ring)).alias("arc"))
     arcs = rows.groupBy("no", "arc").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("no").orderBy("arc").rowsBetween(Window.unboundedPreceding, -1)
     arcs = arcs.select("no", "arc", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("arc_at"))
     inside = Window.partitionBy("no", "arc").orderBy("key", "id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("in_arc", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(arcs, ["no", "arc"]).withColumn("at", F.col("arc_at") + F.col("in_arc"))
-    placed = placed.join(plan.drop("__source", "weight", "shard_quotas"), "no")
-    s, b = F.col("source_size"), F.col("block")
-    blocks = F.greatest(F.ceil(s / b), F.lit(1))
-    start = F.pmod(F.xxhash64(F.lit(seed), F.col("no")), blocks) * b
-    end = start + F.least(F.col("quota") * b, s * MOST_REPEATS)
-
-    def piece(k: Column) -> Column:
-        zero = F.col("at") + k * s
-        first, last = F.greatest(start, zero) - zero, F.least(end, zero + F.col("size")) - zero
-        return F.struct(k.alias("pass"), first.cast("long").alias("first"), last.cast("long").alias("last"))
-
-    pieces = F.filter(F.transform(F.sequence(F.lit(0), F.lit(MOST_REPEATS)), piece), lambda p: p["last"] > p["first"])
+    placed = placed.join(plan.drop("__source", "weight", "quota"), "no")
+    at, b, end = F.col("at"), F.col("block"), F.col("at") + F.col("size")
+    covered = F.when(F.col("size") > 0, F.sequence(F.floor(at / b).cast("long"), F.floor((end - 1) / b).cast("long"))).otherwise(F.array().cast("array<long>"))
+    placed = placed.withColumn("__blocks", F.transform(covered, lambda j: F.struct(j.alias("j"), block_times(j, seed).alias("times"))))
+    pass_type = "array<struct<pass:int,first:bigint,last:bigint>>"
+
+    def pieces(k: int) -> Column:
+        """Runs of blocks taken more than k times, within the row."""
+
+        def step(runs: Column, x: Column) -> Column:
+            first, last = F.greatest(x["j"] * b, at) - at, F.least((x["j"] + 1) * b, end) - at
+            open_run = F.element_at(runs, -1)
+            goes_on = (F.size(runs) > 0) & (open_run["last"] == first)
+            longer = F.concat(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), F.array(F.struct(F.lit(k).alias("pass"), open_run["first"].alias("first"), last.cast("long").alias("last"))))
+            another = F.concat(runs, F.array(F.struct(F.lit(k).alias("pass"), first.cast("long").alias("first"), last.cast("long").alias("last"))))
+            return F.when(x["times"] <= k, runs).when(goes_on, longer.cast(pass_type)).otherwise(another.cast(pass_type))
+
+        return F.aggregate("__blocks", F.array().cast(pass_type), step)
+
+    found = placed.withColumn("pieces", F.concat(*[pieces(k) for k in range(MOST_REPEATS)]))
     taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["last"] - p["first"])
-    return placed.withColumn("pieces", pieces).select("row", "id", "size", "source_size", "target", taken.alias("taken"), "pieces")
+    return found.select("row", "id", "size", "source_size", "target", taken.alias("taken"), "pieces")
 
 
 WORD_EDGE = r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"
