@@ -47,6 +47,20 @@ def metres_per_degree(lat: Column) -> tuple[Column, Column]:
     return mlon, mlat
 
 
+def utm_xy(lon: Column, lat: Column, epsg: Column) -> tuple[Column, Column]:
+    """East and north in metres, by the same series as ``to_utm``, inside generated code."""
+    e = sqrt(E2)
+    s = F.sin(F.radians(lat))
+    t = F.sinh(F.atanh(s) - e * F.atanh(e * s))
+    dl = F.radians(lon - (F.pmod(epsg, F.lit(100)) * 6 - 183))
+    xi, eta = F.atan2(t, F.cos(dl)), F.atanh(F.sin(dl) / F.sqrt(1 + t * t))
+    x, y = eta, xi
+    for j, a in enumerate(_ALPHA, 1):
+        x = x + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+        y = y + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+    return 500000 + _K0 * _A * x, F.when(epsg.between(32701, 32799), 10_000_000).otherwise(0) + _K0 * _A * y
+
+
 def utm_epsg(lon: Column, lat: Column) -> Column:
     zone = F.greatest(F.lit(1), F.least(F.lit(60), (F.floor((lon + 180.0) / 6.0) + 1).cast("int")))
     return zone + F.when(lat >= 0, 32600).otherwise(32700)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,7 +22,7 @@ Land = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def seed_points(ring: Ring, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """n points in the polygon, the same for a seed; a polygon too thin to hit gives its first vertex."""
+    """n points in the polygon, the same for a seed; a polygon too thin to hit gives the mean of its vertices."""
     xs, ys = np.array([p[0] for p in ring]), np.array([p[1] for p in ring])
     rng = np.random.default_rng(seed)
     lon, lat = np.zeros(0), np.zeros(0)
@@ -102,6 +104,22 @@ def integrate(spark: SparkSession, ring: Ring, field: Grid, t0: float, p: DriftP
     return members(spark, p).repartition(p.ensemble_members + 1, "member").mapInPandas(run, PARTICLES)
 
 
+def windage_sweep(spark: SparkSession, ring: Ring, field: Grid, t0: float, p: DriftParams, ranges: list[tuple[float, float]], land: Land | None = None) -> DataFrame:
+    """``integrate`` for several windage ranges in one job: particles with ``scenario``, the range's number."""
+    held = spark.sparkContext.broadcast(field)
+    each = [replace(p, windage_range=tuple(r)) for r in ranges]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for _, row in frame.iterrows():
+                n = int(row["scenario"])
+                for out in run_member(row, ring, held.value, t0, each[n], land):
+                    yield out.assign(scenario=np.int32(n))
+
+    rows = [m.withColumn("scenario", F.lit(n)) for n, m in enumerate(members(spark, q) for q in each)]
+    return reduce(DataFrame.unionByName, rows).repartition(len(ranges) * (p.ensemble_members + 1), "scenario", "member").mapInPandas(run, PARTICLES + ", scenario int")
+
+
 def sampled_particles(particles: DataFrame, n: int, seed: int) -> DataFrame:
     """The same n particles at every step, picked by a seeded hash."""
     chosen = particles.where((F.col("member") != CONTROL) & (F.col("step") == 0)).select("member", "particle").orderBy(F.xxhash64(F.lit(seed), "member", "particle"), "member", "particle").limit(n)

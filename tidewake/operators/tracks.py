@@ -115,6 +115,17 @@ def decimated(fixes: DataFrame, most: int) -> DataFrame:
     return fixes.withColumn("rn", F.row_number().over(along())).withColumn("step", step).where("(rn - 1) % step = 0").drop("step")
 
 
+def other_tracks(fixes: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Fixes of vessels that aren't candidates."""
+    return fixes.join(candidates.select("mmsi").distinct(), "mmsi", "left_anti")
+
+
+def gap_lines(found: DataFrame) -> DataFrame:
+    """One feature for each gap of a vessel, numbered in time: from the fix before it to the one after."""
+    order = Window.partitionBy("mmsi").orderBy("ts_epoch", "seq")
+    return found.select("mmsi", F.row_number().over(order).cast("long").alias("gap_no"), F.col("ts_epoch").alias("gap_start"), F.col("next_t").alias("gap_end"))
+
+
 def lines(fixes: DataFrame, most: int = 500) -> DataFrame:
     """Per vessel its decimated path as an array of (t, lon, lat, sog), at most twice ``most`` long."""
     kept = decimated(fixes, most)

@@ -41,6 +41,12 @@ def loads(text: str | None, default: Any = None) -> Any:
         return default
 
 
+def newest(rows: DataFrame, by: list[str], *order: str) -> DataFrame:
+    """The last row of each key in the order given."""
+    last = Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order])
+    return rows.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
+
+
 class Store:
     """Tables under one folder; ``ais_positions`` is large and partitioned by case, the rest are small."""
 
@@ -80,8 +86,7 @@ class Store:
             return raw.join(gone, "import_id", "left_anti").select(*schema(name).names)
         if name == "audit_log":
             return raw.orderBy("_version").select(*schema(name).names)
-        last = Window.partitionBy("id").orderBy(F.desc("_version"))
-        return raw.withColumn("n", F.row_number().over(last)).where("n = 1 and not _deleted").select(*schema(name).names)
+        return newest(raw, ["id"], "_version").where("not _deleted").select(*schema(name).names)
 
     def get(self, table: str, key: str) -> dict[str, Any]:
         found = self.table(table).where(F.col("id") == key).limit(1).collect()
@@ -149,8 +154,12 @@ class Job:
 
 def case_list(store: Store) -> DataFrame:
     """Cases, newest first, each with its latest scene and number of slicks, in one plan."""
-    scenes = store.table("scenes").groupBy("case_id").agg(F.max_by(F.struct("id", "acquisition_time"), F.struct("created_at", "id")).alias("s"))
-    slicks = store.table("slicks").groupBy("case_id").agg(F.count("*").alias("n_slicks"))
-    cases = store.table("cases").select(F.col("id").alias("case_id"), "name", "status", "data_mode", "created_at", "updated_at")
+    return assembled(store.table("cases"), store.table("scenes"), store.table("slicks"))
+
+
+def assembled(cases: DataFrame, scenes: DataFrame, slicks: DataFrame) -> DataFrame:
+    scenes = scenes.groupBy("case_id").agg(F.max_by(F.struct("id", "acquisition_time"), F.struct("created_at", "id")).alias("s"))
+    slicks = slicks.groupBy("case_id").agg(F.count("*").alias("n_slicks"))
+    cases = cases.select(F.col("id").alias("case_id"), "name", "status", "data_mode", "created_at", "updated_at")
     out = cases.join(scenes, "case_id", "left").join(slicks, "case_id", "left")
     return out.select("case_id", "name", "status", "data_mode", "created_at", "updated_at", F.col("s.id").alias("scene_id"), F.col("s.acquisition_time").alias("acquisition_time"), F.coalesce("n_slicks", F.lit(0)).alias("n_slicks")).orderBy(F.desc("created_at"))

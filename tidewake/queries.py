@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from tidewake.config import DEFAULTS, weights
 from tidewake.functions import geo, met, text
 from tidewake.operators import attribution, density, land, raster, tracks
+from tidewake.plans import store
 from tidewake.sources import ais_csv, fields, registry
+from tidewake.streaming import recorder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -257,32 +259,27 @@ def stride_decimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {AIS}, c as (select mmsi from ais where vessel_type = 'tanker' and sog < 1.0::double) select mmsi, count(*) as positions from ais where mmsi not in (select mmsi from c) group by mmsi")
 def anti_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fixes(spark, sf_dir)
-    candidates = rows.where((F.col("vessel_type") == "tanker") & (F.col("sog") < 1.0)).select("mmsi").distinct()
-    return rows.groupBy("mmsi").agg(F.count("*").alias("positions")).join(candidates, "mmsi", "left_anti")
+    candidates = rows.where((F.col("vessel_type") == "tanker") & (F.col("sog") < 1.0))
+    return tracks.other_tracks(rows, candidates).groupBy("mmsi").agg(F.count("*").alias("positions"))
 
 
-@query(f"""with {AIS}, h as (select distinct cast(floor(ts_epoch / 3600) as bigint) as hour from ais where seq % 7 = 0), q as (select seq, ts_epoch / 3600 as t from ais where seq % 50 = 0),
-    r as (select seq, hour, row_number() over (partition by seq order by abs(hour - t), hour) as n from q, h where hour between floor(t) - 48 and floor(t) + 48) select seq, hour from r where n = 1""")
+@query(f"""with {AIS}, h as (select distinct floor(ts_epoch / 3600) * 3600 as step from ais where seq % 7 = 0), a as (select seq, ts_epoch, h1.step as lo from ais asof left join h h1 on ais.ts_epoch >= h1.step),
+    b as (select a.*, h2.step as hi from a asof left join h h2 on a.ts_epoch <= h2.step) select seq, case when lo is null or hi - ts_epoch < ts_epoch - lo then hi else lo end as step from b""")
 def nearest_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest hour with data by neighbours in one ordering, without pairing every row with every hour."""
+    """For every fix the nearest hour that one in seven fixes has."""
     rows = fixes(spark, sf_dir)
-    hours = rows.where("seq % 7 = 0").select(F.floor(F.col("ts_epoch") / 3600).alias("hour")).distinct().select(F.lit(None).cast("long").alias("seq"), F.col("hour").cast("double").alias("t"), "hour")
-    asked = rows.where("seq % 50 = 0").select("seq", (F.col("ts_epoch") / 3600).alias("t"), F.lit(None).cast("long").alias("hour"))
-    day = hours.unionByName(asked).withColumn("block", F.floor(F.col("t") / 48))
-    near = day.unionByName(hours.withColumn("block", F.floor(F.col("t") / 48) - 1)).unionByName(hours.withColumn("block", F.floor(F.col("t") / 48) + 1))
-    w = Window.partitionBy("block").orderBy("t", "seq")
-    a = F.last("hour", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    b = F.first("hour", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    out = near.select("seq", "t", a.alias("a"), b.alias("b")).where("seq is not null")
-    return out.select("seq", F.when(F.col("a").isNull() | (F.abs(F.col("b") - F.col("t")) < F.abs(F.col("a") - F.col("t"))), F.col("b")).otherwise(F.col("a")).alias("hour"))
+    hours = rows.where("seq % 7 = 0").select((F.floor(F.col("ts_epoch") / 3600) * 3600.0).alias("step"))
+    return fields.nearest_step(rows.select("seq", F.col("ts_epoch").alias("epoch")), hours, 6 * 3600.0).select("seq", "step")
 
 
 @query(f"""with {AIS}, st as (select mmsi, arg_max(vessel_type, (ts_epoch, seq)) filter (vessel_type is not null and seq % 3 = 0) as s_type from ais group by mmsi)
     select seq, coalesce(case when seq % 3 = 0 then vessel_type end, s_type) as vessel_type from ais left join st using (mmsi)""")
 def static_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixes(spark, sf_dir).withColumn("own", F.when(F.col("seq") % 3 == 0, F.col("vessel_type")))
-    static = rows.groupBy("mmsi").agg(F.max_by("own", F.when(F.col("own").isNotNull(), F.struct("ts_epoch", "seq"))).alias("s_type"))
-    return rows.join(static, "mmsi", "left").select("seq", F.coalesce("own", "s_type").alias("vessel_type"))
+    own = F.when(F.col("seq") % 3 == 0, F.col("vessel_type"))
+    none = F.lit(None).cast("double")
+    rows = fixes(spark, sf_dir).select("seq", "mmsi", "ts_epoch", own.alias("vessel_type"), F.lit(None).cast("string").alias("vessel_name"), none.alias("length_m"))
+    static = rows.groupBy("mmsi").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("ts_epoch", "seq"))).alias(f"s_{c}") for c in ("vessel_name", "vessel_type", "length_m")])
+    return recorder.backfilled(rows, static).select("seq", "vessel_type")
 
 
 # ------------------------------------------------------------------ intake
@@ -291,7 +288,7 @@ _RAW_SQL = """raw as (select event_id as row, case when event_id % 11 = 0 then '
     case when event_id % 19 = 0 then '0' when event_id % 23 = 0 then '999' else cast(70.0::double + user_id % 10 as varchar) end as lon, case when event_id % 19 = 0 then '0' else cast(10.0::double + user_id % 10 as varchar) end as lat,
     cast(value as varchar) as sog, case when event_id % 5 = 0 then '511' else cast(event_id % 360 as varchar) end as heading, event_type as vtype from events)"""
 _TAGGED_SQL = f"""{_RAW_SQL}, n as (select row, try_cast(mmsi as double) as m, try_cast(t as timestamp) as ts, try_cast(lon as double) as lon, try_cast(lat as double) as lat, try_cast(sog as double) as s, try_cast(heading as double) as h from raw),
-    tagged as (select *, case when m is null or m not between 1000000 and 999999999 then 'invalid_mmsi' when ts is null then 'invalid_timestamp' when lon is null or lat is null or lon not between -180 and 180 or lat not between -90 and 90 or (lon = 0 and lat = 0) then 'invalid_position' end as reason,
+    tagged as (select *, case when m is null or m not between 1000000 and 999999999 then 'invalid_mmsi' when ts is null then 'unparseable_timestamp' when lon is null or lat is null or lon not between -180 and 180 or lat not between -90 and 90 or (lon = 0 and lat = 0) then 'invalid_position' end as reason,
         case when s between 0 and 102.2::double then s end as sog, case when h >= 0 and h < 360 then h end as heading from n)"""
 
 
@@ -339,10 +336,10 @@ def distinct_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").select(F.col("event_type").alias("data_mode")).distinct().orderBy("data_mode")
 
 
-@query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k, json_extract_string(props, '$.missing') as missing from events order by k, event_id limit 500")
+@query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k, json_extract_string(props, '$.missing') as missing from events order by k, event_id")
 def json_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events")
-    return e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.get_json_object("props", "$.missing").alias("missing")).orderBy("k", "event_id").limit(500)
+    return e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.get_json_object("props", "$.missing").alias("missing")).orderBy("k", "event_id")
 
 
 @query("""with r as (select s_suppkey % 7 + 1 as mmsi, case when s_suppkey % 2 = 0 then s_name end as registry_name, 'R' || s_suppkey as reported_name, s_nationkey as flag, s_suppkey as pos from supplier),
@@ -379,17 +376,14 @@ def hdr_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("ix", "iy", "n", (F.col("before") < 0.5).alias("in_50"), (F.col("before") < 0.7).alias("in_70"), F.lit(True).alias("in_90"))
 
 
-_STEPS = 8  # of three days
-
-
 def _ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three days of the month as a step, vessels dealt to five members and a control run."""
     rows = fixes(spark, sf_dir)
     step = F.floor((F.col("ts_epoch") - 1704067200.0) / 259200).cast("int")
-    return rows.select((F.col("mmsi") % 6 - 1).cast("int").alias("member"), F.col("seq").alias("particle"), step.alias("step"), (F.lit(1704067200.0) + step * 3600.0).alias("epoch"), "lon", "lat", F.lit(False).alias("stranded")).where(F.col("step") < _STEPS)
+    return rows.select((F.col("mmsi") % 6 - 1).cast("int").alias("member"), F.col("seq").alias("particle"), step.alias("step"), (F.lit(1704067200.0) + step * 3600.0).alias("epoch"), "lon", "lat", F.lit(False).alias("stranded"))
 
 
-_ENS_SQL = f"p as (select cast(mmsi % 6 - 1 as int) as member, cast(floor((ts_epoch - 1704067200.0::double) / 259200) as int) as step, lon, lat from ais where floor((ts_epoch - 1704067200.0::double) / 259200) < {_STEPS})"
+_ENS_SQL = "p as (select cast(mmsi % 6 - 1 as int) as member, cast(floor((ts_epoch - 1704067200.0::double) / 259200) as int) as step, lon, lat from ais)"
 _CONV_SQL = f"""{_ENS_SQL}, mm as (select step, member, avg(lon) as cx, avg(lat) as cy from p where member <> -1 group by all), mid as (select step, avg(cx) as mx, avg(cy) as my, count(*) as members from mm group by step),
     sp as (select mm.step, my, members, avg(sqrt(power((cx - mx) * {_MLON.format('my')}, 2) + power((cy - my) * {_MLAT.format('my')}, 2)) / 1000) as spread_km from mm join mid using (step) group by all),
     co as (select step, var_samp(lon) as vx, var_samp(lat) as vy, covar_samp(lon, lat) as vxy from p where member = -1 group by step),
@@ -429,14 +423,14 @@ def nan_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("epoch", "lat", "lon", r6("u_cur").alias("v"), "filled")
 
 
-_SERIES_SQL = "s as (select cast(floor(ts_epoch / 21600) as double) * 21600 as epoch, avg(sog) as value from ais where seq % 2 = 0 group by 1), t as (select distinct cast(floor(ts_epoch / 10000) as double) * 10000 as epoch from ais)"
+_SERIES_SQL = "s as (select cast(floor(ts_epoch / 21600) as double) * 21600 as epoch, avg(sog) as value from ais group by 1), t as (select distinct cast(floor(ts_epoch / 10000) as double) * 10000 as epoch from ais)"
 
 
 @query(f"""with {AIS}, {_SERIES_SQL}, j as (select t.epoch, (select max(epoch) from s where s.epoch <= t.epoch) as ae, (select min(epoch) from s where s.epoch >= t.epoch) as be from t),
     k as (select j.*, a.value as av, b.value as bv from j left join s a on a.epoch = j.ae left join s b on b.epoch = j.be) select epoch, round(coalesce(case when be > ae then av + (bv - av) * (epoch - ae) / (be - ae) end, av, bv), 6) as value from k""")
 def wind_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fixes(spark, sf_dir)
-    series = rows.where("seq % 2 = 0").groupBy((F.floor(F.col("ts_epoch") / 21600).cast("double") * 21600).alias("epoch")).agg(F.avg("sog").alias("value"))
+    series = rows.groupBy((F.floor(F.col("ts_epoch") / 21600).cast("double") * 21600).alias("epoch")).agg(F.avg("sog").alias("value"))
     times = rows.select((F.floor(F.col("ts_epoch") / 10000).cast("double") * 10000).alias("epoch")).distinct()
     return fields.aligned(series, times).select("epoch", r6("value").alias("value"))
 
@@ -511,11 +505,11 @@ def mad_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.robust_sigma(_px(spark, sf_dir), "value", "scene").select("scene", r6("sigma").alias("sigma"))
 
 
-@query(f"with {_PX_SQL}, r as (select scene, row // 4 as block_row, col // 8 as block_col, row, avg(value) as m from px group by all) select scene, cast(block_row as bigint) as block_row, cast(block_col as bigint) as block_col, round(avg(m), 6) as value from r group by all")
+@query(f"with {_PX_SQL}, r as (select scene, row // 4 as block_row, col // 4 as block_col, row, avg(value) as m from px group by all) select scene, cast(block_row as bigint) as block_row, cast(block_col as bigint) as block_col, round(avg(m), 6) as value from r group by all")
 def block_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = _px(spark, sf_dir).withColumnRenamed("scene", "scene_id")
-    rows = px.groupBy("scene_id", F.floor(F.col("row") / 4).alias("block_row"), F.floor(F.col("col") / 8).alias("block_col"), "row").agg(F.avg("value").alias("m"))
-    return rows.groupBy(F.col("scene_id").alias("scene"), "block_row", "block_col").agg(r6(F.avg("m")).alias("value"))
+    out = raster.block_means(px, 4)
+    return out.select(F.col("scene_id").alias("scene"), F.col("by").alias("block_row"), F.col("bx").alias("block_col"), r6("value").alias("value"))
 
 
 @query("select l_suppkey as region, count(*) as pixel_count, round(avg(l_discount * 10), 6) as prob_mean, round(max(l_discount * 10), 6) as prob_max, round(quantile_cont(l_discount * 10, 0.75), 6) as confidence from lineitem group by all")
@@ -545,8 +539,11 @@ def slick_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select c_custkey as case_id, arg_max(o_orderkey, (o_orderdate, o_orderkey)) as run_id, count(o_orderkey) as n_runs from customer left join orders on c_custkey = o_custkey group by all")
 def latest_per_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("run_id"), F.count("*").alias("n_runs"))
+    orders = load(spark, sf_dir, "orders")
+    last = store.newest(orders, ["o_custkey"], "o_orderdate", "o_orderkey").select("o_custkey", F.col("o_orderkey").alias("run_id"))
+    n = orders.groupBy("o_custkey").agg(F.count("*").alias("n_runs"))
     cases = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case_id"))
+    runs = last.join(n, "o_custkey")
     return cases.join(runs, F.col("case_id") == F.col("o_custkey"), "left").select("case_id", "run_id", F.coalesce("n_runs", F.lit(0)).alias("n_runs"))
 
 
@@ -575,11 +572,8 @@ def feature_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {AIS}, {BOXED}, {STEPS}, {EXPECTED}, g as (select mmsi, ts_epoch, next_t, row_number() over (partition by mmsi order by ts_epoch, seq) as n from s, x where dt > greatest(4.0::double * expected_s, 1200.0::double)) select mmsi, n as gap_no, ts_epoch as gap_start, next_t as gap_end from g""")
 def candidate_gap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gaps gathered by vessel and laid out again as one feature each."""
     steps = tracks.with_steps(boxed(spark, sf_dir))
-    gaps = tracks.gaps(steps, tracks.expected_interval_s(steps), (RS, RE))
-    per = gaps.groupBy("mmsi").agg(F.sort_array(F.collect_list(F.struct("ts_epoch", "seq", "next_t"))).alias("gaps"))
-    return per.select("mmsi", F.posexplode("gaps").alias("n", "g")).select("mmsi", (F.col("n") + 1).cast("long").alias("gap_no"), F.col("g.ts_epoch").alias("gap_start"), F.col("g.next_t").alias("gap_end"))
+    return tracks.gap_lines(tracks.gaps(steps, tracks.expected_interval_s(steps), (RS, RE)))
 
 
 @query("select (o_custkey % 60 + 1)::int as zone, (case when o_custkey % 2 = 0 then 32600 else 32700 end + (o_custkey % 60 + 1))::int as epsg, count(*) as n from orders group by all")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewake.config import DEFAULTS
@@ -57,8 +57,21 @@ def read_csv(spark: SparkSession, path: str, max_rows: int = DEFAULTS["ais"]["cs
     header = resolve_header(raw.columns)
     quoted = {k: F.col("`" + v.replace("`", "``") + "`") for k, v in header.items()}
     picked = raw.select(*[F.coalesce(F.trim(quoted[c]), F.lit("")).alias(c) if c in quoted else F.lit("").alias(c) for c in COLUMNS])
-    numbered = picked.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 2))
-    return spark.createDataFrame(numbered, ", ".join(f"{c} string" for c in COLUMNS) + ", row long")
+    return numbered(picked, 2)
+
+
+def numbered(rows: DataFrame, first: int = 0) -> DataFrame:
+    """``rows`` with ``row``, their place in the order in which they are read.
+
+    A row's number in its partition comes from its id; the rows before the
+    partition from one count a partition, a small table.
+    """
+    known = rows.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33))
+    counts = rows.select(F.spark_partition_id().cast("long").alias("__part")).groupBy("__part").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    place = F.col("__start") + F.col("__id") - F.shiftleft(F.col("__part"), 33) + first
+    return known.join(starts, "__part").withColumn("row", place).drop("__id", "__part", "__start")
 
 
 def number(text: Column) -> Column:
@@ -86,7 +99,7 @@ def reason(mmsi: Column, ts: Column, lon: Column, lat: Column) -> Column:
     """Why a row is bad: the first that holds of identity, time and position; null for a good row."""
     return F.coalesce(
         F.when(mmsi.isNull() | ~mmsi.between(1_000_000, 999_999_999), "invalid_mmsi"),
-        F.when(ts.isNull(), "invalid_timestamp"),
+        F.when(ts.isNull(), "unparseable_timestamp"),
         F.when(lon.isNull() | lat.isNull() | ~lon.between(-180, 180) | ~lat.between(-90, 90) | ((lon == 0) & (lat == 0)), "invalid_position"),
     )
 
@@ -133,12 +146,14 @@ def load(spark: SparkSession, path: str, case_id: str, import_id: str, source_la
     total = tagged.agg(
         F.count("*").alias("rows_total"), F.count_if(F.col("reason").isNull()).alias("rows_valid"), F.count_if(F.col("reason").isNotNull()).alias("rows_quarantined"),
     ).first()
+    if not total["rows_valid"]:
+        raise ValueError(f"none of {total['rows_total']} rows is a valid position")
     seen = summary(valid).first()
     synthetic = bool(seen["synthetic"]) or case_mode == "synthetic"
     why = "source column" if seen["synthetic"] else "case" if synthetic else None
     out = total.asDict() | {k: seen[k] for k in ("vessels", "time_start", "time_end", "west", "south", "east", "north")}
     out |= {"reasons": {r["reason"]: r["n"] for r in bad.groupBy("reason").agg(F.count("*").alias("n")).collect()}}
-    out |= {"quarantine_sample": [r.asDict() for r in bad.orderBy("row").limit(25).select("row", "reason").collect()], "data_mode": "synthetic" if synthetic else data_mode, "data_mode_forced_by": why}
+    out |= {"quarantine_sample": [r.asDict() for r in bad.orderBy("row").limit(25).select("row", "mmsi", F.col("ts").cast("string").alias("timestamp"), "reason").collect()], "data_mode": "synthetic" if synthetic else data_mode, "data_mode_forced_by": why}
     positions = valid.select(F.lit(case_id).alias("case_id"), F.lit(import_id).alias("import_id"), *[c for c in valid.columns if c not in ("row", "reason")])
     return Import(positions, bad, out)
 

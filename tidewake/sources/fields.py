@@ -121,6 +121,35 @@ def aligned(series: DataFrame, times: DataFrame) -> DataFrame:
     return both.select("epoch", "asked", F.coalesce(lerp, a["value"], b["value"]).alias("value")).where("asked").drop("asked")
 
 
+def nearest_step(asked: DataFrame, steps: DataFrame, width: float) -> DataFrame:
+    """``asked`` (with epoch) and the nearest ``step`` of steps(step), the earlier of equals.
+
+    Time is cut into cells of ``width``; each cell knows the last step before it
+    and the first after it, so a row meets only the steps of its own cell and
+    those two, by equality.  Steps are a short axis, so the small side is the
+    optimiser's to broadcast, and rows are never sorted.
+    """
+    cells = steps.select("step", F.floor(F.col("step") / width).alias("__cell")).distinct()
+    order = Window.orderBy("__cell")
+    ends = cells.groupBy("__cell").agg(F.min("step").alias("first"), F.max("step").alias("last"), F.collect_set("step").alias("own"))
+    span = ends.select("*", F.lead("__cell").over(order).alias("__next"), F.lag("last").over(order).alias("before"), F.lead("first").over(order).alias("after"))
+    # Cells without a step up to the next that has one share its neighbours.
+    gap = span.where("__next > __cell + 1").select(F.explode(F.sequence(F.col("__cell") + 1, F.col("__next") - 1)).alias("__cell"), F.array_compact(F.array("last", "after")).alias("__near"))
+    near = span.select("__cell", F.array_compact(F.concat(F.array("before"), "own", F.array("after"))).alias("__near")).unionByName(gap)
+    bounds = F.broadcast(ends.agg(F.min("__cell").alias("__low"), F.max("__cell").alias("__high")))
+    cell = F.greatest(F.col("__low"), F.least(F.col("__high"), F.floor(F.col("epoch") / width)))
+    best = F.array_min(F.transform("__near", lambda s: F.struct(F.abs(s - F.col("epoch")).alias("d"), s.alias("s"))))["s"]
+    return asked.join(bounds).withColumn("__cell", cell).join(near, "__cell").withColumn("step", best).drop("__cell", "__near", "__low", "__high")
+
+
+def checksum(field: DataFrame) -> str:
+    """SHA-256 of a field, whatever the order of its rows: of the sorted digests of its epochs."""
+    row = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("epoch", "lat", "lon", *PARTS)])
+    per = field.groupBy("epoch", "lat").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(row)), "\n"), 256).alias("h"))
+    per = per.groupBy("epoch").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "\n"), 256).alias("h"))
+    return per.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "\n"), 256)).first()[0]
+
+
 def summary(field: DataFrame) -> DataFrame:
     """One row: mean and largest speeds, extent."""
     current, wind = speed_direction(F.col("u_cur"), F.col("v_cur"))[0], speed_direction(F.col("u_wind"), F.col("v_wind"))[0]
