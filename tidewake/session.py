@@ -20,15 +20,23 @@ def build(master: str | None = None, shuffle_partitions: int | None = None, **se
     return builder.getOrCreate()
 
 
-def settled(frame: DataFrame) -> DataFrame:
-    """``frame`` written to the folder that ``spark.checkpoint.dir`` names, for loops that would grow their plan.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
     Without the setting only a local master gets a temporary folder.
     """
-    context = frame.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local["):
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewake-"))
+        named = tempfile.mkdtemp(prefix="tidewake-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def settled(frame: DataFrame) -> DataFrame:
+    """``frame`` written to the shared folder, for loops that would grow their plan."""
+    shared_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
