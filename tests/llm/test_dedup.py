@@ -137,6 +137,15 @@ def test_filter_has_no_false_negatives_and_few_false_positives(spark):
     assert spark.range(20000).where(once(F.xxhash64("id"))).count() == 20000 and spark.range(20000, 40000).where(once(F.xxhash64("id"))).count() < 20000 * 0.05
 
 
+def test_filters_by_range_give_the_same(spark, docs):
+    """A filter too small for all hashes is split into many."""
+    small = 2000 * exact_dedup.BITS_PER_ROW // 8 // 64
+    assert exact_dedup.ranges_of(docs.count(), small) > 2
+    want, got = (sorted(map(str, exact_dedup.mark_duplicates(docs, most_bytes=b).drop("sha").collect())) for b in (exact_dedup.MAX_FILTER_BYTES, small))
+    assert got == want
+    assert sorted(map(str, exact_dedup.keep_unique(docs, most_bytes=small).select("doc_id", "text").collect())) == sorted(map(str, exact_dedup.keep_unique(docs).select("doc_id", "text").collect()))
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [(i, i + 1) for i in range(100, 160)] + [(int(a), int(b)) for a, b in rng.integers(0, 90, (60, 2))] + [(200, 200), (201, 300), (201, 300)] + [(1000, 1001 + i) for i in range(80)]

@@ -7,6 +7,7 @@ copy and goes straight through; the others are grouped by SHA-256.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm._shared import partitions, settled
+from tidewake.llm._shared import partitions, settled, shared_dir
 
-#: Bits of the filter for each row, until MAX_FILTER_BYTES is reached.
+#: Bits of the filter for each row.
 BITS_PER_ROW = 16
-#: Most that the driver collects and broadcasts.  Beyond it more rows are taken
-#: for possible copies and shuffle; results stay the same.
+#: Most that the driver collects and broadcasts at once.  Hashes of more rows
+#: are tested range by range, each with a filter of its own.
 MAX_FILTER_BYTES = 64 << 20
 #: Bits that one task merges.
 SEGMENT_BITS = 1 << 20
@@ -87,7 +88,7 @@ def bloom_test(hashes: DataFrame, n_rows: int, least: int = 2):
     n = max(1, min(bits // SEGMENT_BITS, partitions(spark)))
     found = blocks.repartition(n, "segment").mapInArrow(_merged(least), "segment long, bits binary")
     filled = np.zeros(bits // 8, np.uint8)
-    for row in found.toLocalIterator():
+    for row in settled(found).collect():  # MAX_FILTER_BYTES in all
         at = row["segment"] * SEGMENT_BITS // 8
         filled[at : at + SEGMENT_BITS // 8] = np.frombuffer(row["bits"], np.uint8)
     held = spark.sparkContext.broadcast(filled)
@@ -101,15 +102,45 @@ def bloom_test(hashes: DataFrame, n_rows: int, least: int = 2):
     return test
 
 
-def _digests(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), F.unhex(F.sha2(text, 256)).alias("sha"))
+def ranges_of(n_rows: int, most_bytes: int = MAX_FILTER_BYTES) -> int:
+    """Into how many ranges the hashes of so many rows are cut, a power of two."""
+    parts = 1
+    while BITS_PER_ROW * n_rows > 8 * most_bytes * parts:
+        parts *= 2
+    return parts
+
 
+def possible_copies(hashes: DataFrame, most_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+    """``hashes``, with a column ``h``, and ``maybe``: whether another row may have the same.
 
-def _salt(id_col: str) -> Column:
-    return F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")
+    One filter serves all rows if it may be as large; else the rows are written
+    by ranges of their hashes, and every range has its filter, so the bits for
+    a row and the rate of false alarms stay what they are at any size.
+    """
+    hashes = settled(hashes)
+    n = hashes.count()
+    parts = ranges_of(n, most_bytes)
+    if parts == 1:
+        test = bloom_test(hashes.select("h"), n)
+        return hashes.withColumn("maybe", test("h"))
+    spark = hashes.sparkSession
+    at = f"{shared_dir(spark)}/hashes-{uuid.uuid4().hex}"
+    of_range = F.shiftrightunsigned("h", 64 - parts.bit_length() + 1).cast("int")
+    hashes.withColumn("part", of_range).write.partitionBy("part").parquet(at)
+    out = None
+    for part in range(parts):
+        mine = spark.read.parquet(at).where(F.col("part") == part).drop("part")
+        test = bloom_test(mine.select("h"), mine.count())
+        tested = mine.withColumn("maybe", test("h"))
+        out = tested if out is None else out.unionByName(tested)
+    return out
 
 
-def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _digests(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), F.unhex(F.sha2(text, 256)).alias("sha"))
+
+
+def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """(id, keep_id, group_size, kept, sha) of every row.
 
     Null texts count as empty.  Of equal texts the largest id is kept, null ids
@@ -117,11 +148,10 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keeps one row and has a null keep_id.  Other columns are not read; an empty
     table gives an empty one.
     """
-    rows = settled(_digests(docs, id_col, F.coalesce(F.col(text_col), F.lit(""))).withColumn("rid", F.monotonically_increasing_id()))
-    maybe = bloom_test(rows.select("h"), rows.count())
-    flagged = settled(rows.withColumn("maybe", maybe("h")).drop("h"))
+    rows = _digests(docs, id_col, F.coalesce(F.col(text_col), F.lit(""))).withColumn("rid", F.monotonically_increasing_id())
+    flagged = settled(possible_copies(rows, most_bytes).drop("h"))
     alone = flagged.where("not maybe").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
-    possible = flagged.where("maybe").withColumn("salt", _salt("id"))
+    possible = flagged.where("maybe").withColumn("salt", F.pmod("rid", F.lit(SALTS)).cast("int"))
     groups = possible.groupBy("sha", "salt").agg(
         F.count(F.lit(1)).alias("n"),
         # The row that stays: largest id, then the first row written.
@@ -133,21 +163,34 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return alone.unionByName(grouped)
 
 
-def keep_unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """``docs``, all columns, with one row of each text: that of the largest id.
 
     Only rows that the filter takes for possible copies shuffle, and only they
-    are written down on the way; all others pass straight through.
+    are written down on the way; all others pass straight through.  If the
+    hashes take several filters, the rows to drop are found from the digests
+    and dropped by their number; ``docs`` then has to give its rows in the same
+    partitions both times, as a Parquet table does.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    key = F.struct(F.col("id").isNotNull().alias("known"), F.col("id"), (-F.col("rid")).alias("back"))
+
+    def stays(possible: DataFrame) -> DataFrame:
+        """``rid`` of the row of each sha that stays."""
+        top = possible.groupBy("sha", F.pmod("rid", F.lit(SALTS)).alias("salt")).agg(F.max(key).alias("top"))
+        return top.groupBy("sha").agg((-F.max("top")["back"]).alias("stays")).select("stays")
+
     hashes = settled(docs.select(F.xxhash64(text).alias("h")))
-    maybe = bloom_test(hashes, hashes.count())
+    n = hashes.count()
+    if ranges_of(n, most_bytes) > 1:
+        rows = _digests(docs, id_col, text).withColumn("rid", F.monotonically_increasing_id())
+        possible = settled(possible_copies(rows, most_bytes).where("maybe").drop("h", "maybe"))
+        gone = possible.join(stays(possible), F.col("rid") == F.col("stays"), "left_anti").select("rid")
+        return docs.withColumn("__rid", F.monotonically_increasing_id()).join(gone, F.col("__rid") == F.col("rid"), "left_anti").drop("__rid")
+    maybe = bloom_test(hashes, n)
     tested = docs.withColumn("__maybe", maybe(F.xxhash64(text)))
     alone = tested.where("not __maybe").drop("__maybe")
     possible = tested.where("__maybe").drop("__maybe")
     possible = settled(possible.withColumn("__rid", F.monotonically_increasing_id()).withColumn("__sha", F.unhex(F.sha2(text, 256))))
-    key = F.struct(F.col(id_col).isNotNull().alias("known"), F.col(id_col).cast("long").alias("id"), (-F.col("__rid")).alias("back"))
-    top = possible.select("__sha", F.pmod("__rid", F.lit(SALTS)).alias("salt"), key.alias("top")).groupBy("__sha", "salt").agg(F.max("top").alias("top"))
-    top = top.groupBy("__sha").agg((-F.max("top")["back"]).alias("__stays"))
-    kept = possible.join(top.select("__stays"), F.col("__rid") == F.col("__stays"), "left_semi")
+    kept = possible.join(stays(possible.select(F.col(id_col).cast("long").alias("id"), F.col("__sha").alias("sha"), F.col("__rid").alias("rid"))), F.col("__rid") == F.col("stays"), "left_semi")
     return alone.unionByName(kept.drop("__rid", "__sha"))
