@@ -9,16 +9,13 @@ from tidewake.llm._shared import SPACE_PATTERN, settled
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = r"[#*$%&|<>]"
-#: Up to so many words a window's hash and position are sorted as one long.
-PACKED_WORDS = 1 << 16
 
 
 def base_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row of counts for each row of ``docs``, with the columns in ``keep``.
 
     All counts are over the whole text; null counts as empty.  Windows of three
-    words are compared by 64-bit hashes, of which texts up to PACKED_WORDS
-    words use at least 48 bits.
+    words of a text are compared by 64-bit hashes.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     trimmed = F.trim(text, F.lit(BLANKS))
@@ -31,7 +28,7 @@ def base_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
     )
     n = F.size("__words")
-    mask = F.expr("shiftleft(1L, length(bin(size(__words)))) - 1")  # the bits that a position needs
+    hashed = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get("__words", i), F.get("__words", i + 1), F.get("__words", i + 2)).alias("h"), i.alias("i")))
     two = one.select(
         "__id",
         *held,
@@ -40,31 +37,22 @@ def base_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "n_symbols",
         F.size("__lines").cast("long").alias("n_lines"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        mask.alias("__mask"),
-        F.when(n < 3, F.array().cast("array<long>"))
-        .otherwise(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("__words", i), F.get("__words", i + 1), F.get("__words", i + 2))))
-        .alias("__hash"),
+        F.when(n >= 3, F.sort_array(hashed)).otherwise(F.array().cast("array<struct<h: bigint, i: int>>")).alias("__sorted"),
     )
-    short = F.col("n_words") <= PACKED_WORDS
-    packed = F.transform("__hash", lambda h, i: h.bitwiseAND(F.bitwise_not("__mask")).bitwiseOR(i.cast("long")))
-    three = two.withColumn("__packed", F.when(short, F.sort_array(packed))).withColumn(
-        "__pairs", F.when(~short, F.sort_array(F.transform("__hash", lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i")))))
+    # Windows with an equal neighbour in the order of their hashes, and the words that these cover, by position.
+    last = F.size("__sorted")
+    before = F.concat(F.array(F.lit(None).cast("bigint")), F.transform("__sorted", lambda w: w["h"]))
+    after = F.concat(F.slice(F.transform("__sorted", lambda w: w["h"]), F.lit(2), F.greatest(last - 1, F.lit(0))), F.array(F.lit(None).cast("bigint")))
+    beside = F.zip_with("__sorted", F.arrays_zip(F.slice(before, F.lit(1), last).alias("b"), after.alias("a")), lambda w, s: F.when((w["h"] == s["b"]) | (w["h"] == s["a"]), w["i"]))
+    at = F.sort_array(F.array_compact(beside))
+    counted = F.aggregate(
+        at,
+        F.struct(F.lit(0).alias("n"), F.lit(-1).alias("end")),
+        lambda s, i: F.struct((s["n"] + i + 3 - F.greatest(i, s["end"])).alias("n"), (i + 3).alias("end")),
+        lambda s: s["n"],
     )
-
-    def hash_of(x: Column) -> Column:
-        return x.bitwiseAND(F.bitwise_not("__mask"))
-
-    repeated = F.filter(
-        "__packed",
-        lambda x, i: F.coalesce(hash_of(x) == hash_of(F.get("__packed", i + 1)), F.lit(False)) | F.coalesce(hash_of(x) == hash_of(F.get("__packed", i - 1)), F.lit(False)),
-    )
-    far = F.filter(
-        "__pairs",
-        lambda x, i: F.coalesce(x["h"] == F.get("__pairs", i + 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get("__pairs", i - 1)["h"], F.lit(False)),
-    )
-    at = F.when(short, F.transform(repeated, lambda x: x.bitwiseAND(F.col("__mask")))).otherwise(F.transform(far, lambda x: x["i"]))
-    covered = F.size(F.array_distinct(F.flatten(F.transform(at, lambda p: F.array(p, p + 1, p + 2)))))
-    return three.select(F.col("__id").alias(id_col), *held, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", covered.cast("long").alias("n_repeat_words"))
+    covered = F.when(last > 0, counted).otherwise(F.lit(0))
+    return two.select(F.col("__id").alias(id_col), *held, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", covered.cast("long").alias("n_repeat_words"))
 
 
 # ---------------------------------------------------------------- verdicts
@@ -116,6 +104,10 @@ def sql_groups(vectors: str) -> str:
         from g cross join (select count(*) > 0 as of_all from g where stratum = 'all') h"""
 
 
+#: Strata up to so many are joined by broadcast: a row of each is under 300 bytes.
+MOST_BROADCAST = 100_000
+
+
 def sql_first_distance(vectors: str, centres: str) -> str:
     """Distance from the middle of the densest cells, in least standard deviations."""
     d = " + ".join(f"({x} - {x}m) / {sd * UNIT!r}D * (({x} - {x}m) / {sd * UNIT!r}D)" for x, (_, sd) in COORDINATES.items())
@@ -170,7 +162,7 @@ def sql_distance(vectors: str, estimate: str) -> str:
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, counts, base_failed, distance2, kept) of every row of ``docs``.
+    """(row, id, n_words, counts, base_failed, distance2, kept) of every row of ``docs``.
 
     A row that fails the base rules is rejected.  For the others a regularised
     minimum-covariance-determinant estimate is made of each language and source
@@ -182,33 +174,45 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Null language and source are strata like any other; null texts count as
     empty and fail.  Repeated rows count as often as they are given.  A table
     without rows, or without rows that pass the base rules, needs no estimate.
-    Only the named columns, ``lang`` and ``source`` are read.
+    Only the named columns, ``lang`` and ``source`` are read.  ``row`` is the
+    row's monotonically_increasing_id in ``docs``.
     """
     spark = docs.sparkSession
-    stats = base_statistics(docs.select(F.col(id_col).alias("__key"), F.col(text_col).alias("__text"), F.col("lang").cast("string"), F.col("source").cast("string")), "__key", "__text", ("lang", "source"))
+    read = docs.select(F.col(id_col).alias("__key"), F.col(text_col).alias("__text"), F.col("lang").cast("string"), F.col("source").cast("string"), F.monotonically_increasing_id().alias("__row"))
+    stats = base_statistics(read, "__key", "__text", ("lang", "source", "__row"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    stats = settled(stats.withColumn("base_failed", failed).withColumn("__row", F.monotonically_increasing_id()))
+    stats = settled(stats.withColumn("base_failed", failed))
 
     def run(text: str, **frames: DataFrame) -> DataFrame:
         return spark.sql(text, **frames)
 
     one = run(sql_vectors("{stats}"), stats=stats.select("__row", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "lang", "source", "base_failed")).select("__row", "s2", "s3", *_NAMES)
-    groups = run(sql_groups("{v}"), v=one)
-    vectors = settled(one.join(groups, ["s2", "s3"]).select("__row", "stratum", "strata", *_NAMES))
+    groups = settled(run(sql_groups("{v}"), v=one))
+    vectors = settled(one.join(F.broadcast(groups) if groups.count() <= MOST_BROADCAST else groups, ["s2", "s3"]).select("__row", "stratum", "strata", *_NAMES))
     members = vectors.select("__row", F.explode("strata").alias("stratum"), *_NAMES)
-    centres = run(sql_centres("{v}"), v=members)
-    d = run(sql_first_distance("{v}", "{c}"), v=members, c=centres)
+    groups_small = groups.select("stratum").distinct().count() <= MOST_BROADCAST
+
+    def small(frame: DataFrame) -> DataFrame:
+        """One row a stratum: by broadcast a hot stratum stays where its rows are."""
+        return F.broadcast(frame) if groups_small else frame
+
+    centres = settled(run(sql_centres("{v}"), v=members))
+    d = run(sql_first_distance("{v}", "{c}"), v=members, c=small(centres))
     for _ in range(C_STEPS):
-        core = run(sql_core("{d}"), d=d)
-        estimate = settled(run(sql_estimate("{d}", "{k}", "decimal(20, 0)"), d=d, k=core))
-        d = run(sql_distance("{v}", "{e}"), v=members, e=estimate)
-    verdict = run(sql_distance("{v}", "{e}"), v=vectors.drop("strata"), e=estimate).select("__row", F.col("d2").alias("distance2"))
+        core = settled(run(sql_core("{d}"), d=d))
+        estimate = settled(run(sql_estimate("{d}", "{k}", "decimal(20, 0)"), d=d, k=small(core)))
+        d = run(sql_distance("{v}", "{e}"), v=members, e=small(estimate))
+    verdict = run(sql_distance("{v}", "{e}"), v=vectors.drop("strata"), e=small(estimate)).select("__row", F.col("d2").alias("distance2"))
     out = stats.join(verdict, "__row", "left")
     kept = ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= CUTOFF)
-    return out.select(F.col("__key").alias(id_col), "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", kept.alias("kept"))
+    return out.select(F.col("__row").alias("row"), F.col("__key").alias(id_col), "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs``, all columns, whose id has no rejected row."""
-    rejected = judged(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("__rejected")).distinct()
-    return docs.join(rejected, F.col(id_col) == F.col("__rejected"), "left_anti")
+    """Rows of ``docs``, all columns, that aren't rejected, each by itself, whatever ids are null or repeated.
+
+    ``docs`` is read twice and must give its rows in the same partitions both
+    times, as a Parquet table does.
+    """
+    rejected = judged(docs, id_col, text_col).where("not kept").select(F.col("row").alias("__rejected"))
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(rejected, F.col("__row") == F.col("__rejected"), "left_anti").drop("__row")
