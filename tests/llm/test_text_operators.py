@@ -1,3 +1,4 @@
+import functools
 import heapq
 import math
 import random
@@ -6,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +119,45 @@ def test_blocks_are_taken_shard_by_shard(docs):
 # ---------------------------------------------------------------- packing
 
 
+def plain_best_fit(lengths, sizes, cost):
+    """The packing rule read word for word: lists of bins, searched one by one."""
+    left = sorted(lengths, reverse=True)
+    bins = []  # [size, contents], the one filled last at the end
+    while left:
+        x = left.pop(0)
+        fits = [b for b in bins if b[0] - sum(b[1]) >= x]
+        if fits:
+            least = min(b[0] - sum(b[1]) for b in fits)
+            b = [b for b in fits if b[0] - sum(b[1]) == least][-1]
+            bins = [other for other in bins if other is not b] + [b]
+            b[1].append(x)
+            continue
+        prices = []
+        for c in (c for c in sizes if c >= x):
+            room = c - x
+            for y in left:  # the longest that still fits, again and again
+                if y <= room:
+                    room -= y
+            prices.append(((c + cost) / (c - room), -c))
+        bins.append([-min(prices)[1], [x]])
+    return sorted((min(c for c in sizes if c >= sum(b)), sorted(b)) for _, b in bins)
+
+
+def test_packing_against_plain_best_fit():
+    rng = np.random.default_rng(6)
+    for sizes, cost in (((8, 16, 32), 2), ((10, 25, 60), 5), ((64,), 1)):
+        for _ in range(60):
+            lengths = [int(v) for v in rng.integers(1, sizes[-1] + 1, rng.integers(1, 60))]
+            bins, offsets, chosen = packing.pack_lengths(lengths, sizes, cost)
+            held = defaultdict(list)
+            for x, b in zip(lengths, bins, strict=True):
+                held[b].append(x)
+            got = sorted((chosen[b], sorted(v)) for b, v in held.items())
+            want = plain_best_fit(lengths, sizes, cost)
+            assert got == want
+            assert len(set(zip(bins, offsets, strict=True))) == len(lengths)
+
+
 def test_packing_loses_nothing_and_fits(docs):
     got = packing.pack(docs, sizes=(64, 256, 1024)).collect()
     by = defaultdict(list)
@@ -332,9 +373,105 @@ def test_licence_rows(docs):
     assert license_scan.scan_documents(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("All rights reserved seats are in row five.", []),
+        ("Copyright 2020 Foo. All rights reserved.", ["proprietary"]),
+        ("Distributed under the Boost Software License version 1.0", ["unknown"]),
+        ("Licensed under the Frobnicate License version 3.1", ["unknown"]),
+        ("Licensed under the Apache License,\nVersion 2.0.", ["apache-2.0"]),
+        ("He is licensed to drive a car under the law of the land.", []),
+        ("some text " * 50_000 + "\nReleased under the MIT License.\n\n" + "more words " * 50_000, ["mit"]),
+    ],
+)
+def test_known_and_unknown_notices(text, want):
+    c = classifier()
+    assert [g["family"] for g in license_scan.scan(text, c, c.anchors)] == want
+
+
+@functools.cache
+def classifier():
+    return license_scan.fit(sorted({p for (t,) in duckdb.sql(f"select text from '{DATA}/documents.parquet' where text is not null").fetchall() for p in t.split("\n") if p})[:600])
+
+
+def test_unknown_licences_held_out():
+    """Names that the training never saw, in forms that it did and did not see."""
+    c = classifier()
+    notices = [form.format(name) for name in ("quokka", "blue river source", "tandem community") for form in ("Licensed under the {} license.", "Released under the {} license version 2.", "This work is licensed under the {} license version 1.1", "Use of this file is governed by the {} license.")]
+    found = [[g["family"] for g in license_scan.scan(n, c, c.anchors)] for n in notices]
+    assert sum(f == ["unknown"] for f in found) >= 0.8 * len(found)
+
+
+def test_probabilities_against_plain_sums():
+    c = classifier()
+    for text in ("released under the mit license", "licensed under the apache license version 2.0 and more", "use of this source code is governed by the elastic license", "plain words only", "under the"):
+        w = license_scan.tokens(text)
+        grams = {" ".join(w[i:j]) for i in range(len(w)) for j in (i + 2, i + 3) if j <= len(w)}
+        z = [(c.bias[k] + sum(c.weights[c.features[g], k] for g in grams if g in c.features)) / c.temperature for k in range(len(license_scan.FAMILIES))]
+        e = [math.exp(v - max(z)) for v in z]
+        assert c.probabilities(w) == pytest.approx([v / sum(e) for v in e])
+
+
+def test_scan_of_odd_tables(spark):
+    rows = [(1, "Released under the MIT License.", "x", 1), (1, "Released under the MIT License.", "x", 1), (None, None, None, None), (2, "", "y", 1)]
+    got = license_scan.scan_documents(spark.createDataFrame(rows, "doc_id long, text string, family string, found int")).collect()
+    assert sorted((r["id"] or 0, [g["family"] for g in r["found"]]) for r in got) == [(0, []), (1, ["mit"]), (1, ["mit"]), (2, [])]
+
+
 # ---------------------------------------------------------------- quality
 
 
+def test_verdicts_against_numpy(spark, docs):
+    """The estimates anew, in NumPy, from the counts."""
+    many = docs.select("doc_id", "text", "lang", "source").unionByName(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id") + 5_000_000, "text", "lang", F.when(F.col("doc_id") % 3 > 0, "web").otherwise(F.col("source"))).toDF("doc_id", "text", "lang", "source"))
+    found = many.select(F.monotonically_increasing_id().alias("row"), "lang", "source").collect()
+    place = {r["row"]: (r["lang"], r["source"]) for r in found}
+    rows = [r for r in quality.judged(many).collect()]
+    assert len(rows) == len(place)
+    good = [r for r in rows if not r["base_failed"]]
+    floors = np.array([0.08, 0.05, 0.25, 0.20]) * 65536
+    n, c, s, ln, dup, rep = (np.array([r[k] for r in good], float) for k in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"))
+    x = np.floor(np.stack([np.log((c + 1) / (n + 1)), np.sqrt(s / (c + 1)), np.sqrt(dup / (ln + 1)), np.sqrt(rep / (n + 1))], 1) * 65536 + 0.5)
+    langs = [place[r["row"]][0] or "?" for r in good]
+    pairs = [(a, place[r["row"]][1] or "?") for a, r in zip(langs, good, strict=True)]
+    by_lang, by_pair = Counter(langs), Counter(pairs)
+
+    def distances(members):
+        m = x[members]
+        w = floors / 64
+        cells = np.floor(m / w)
+        middle = [next(k for k in sorted(set(col)) if 2 * (col <= k).sum() >= len(col)) for col in cells.T]
+        d2 = (((m - (np.array(middle) + 0.5) * w) / floors) ** 2).sum(axis=1)
+        for _ in range(quality.C_STEPS):
+            cell = np.floor(np.log(1 + d2) * 256)
+            edge = next(k for k in sorted(set(cell)) if (cell <= k).sum() >= 0.75 * len(cell))
+            core = m[cell <= edge]
+            cov = 1.487 * np.cov(core.T, bias=True) + np.diag(floors**2)
+            off = x - core.mean(axis=0)
+            every = (off * np.linalg.solve(cov, off.T).T).sum(axis=1)
+            d2 = every[members]
+        return every
+
+    judged_by = [("p", p) if by_pair[p] >= 100 else ("l", p[0]) if by_lang[p[0]] >= 100 else ("a",) for p in pairs]
+    known = {}
+    for who in set(judged_by):
+        members = np.array([who[0] == "a" or (who[0] == "l" and who[1] == p[0]) or (who[0] == "p" and who[1] == p) for p in pairs])
+        known[who] = distances(members)
+    for i, r in enumerate(good):
+        want = known[judged_by[i]][i]
+        assert r["distance2"] == pytest.approx(want, rel=1e-6, abs=1e-9) and r["kept"] == (want <= quality.CUTOFF)
+    assert {w[0] for w in judged_by} >= {"p", "l"} and any(r["kept"] for r in good) and not all(r["kept"] for r in good)
+
+
+def test_each_row_is_kept_or_rejected_by_itself(spark):
+    fine = plain_text(3)
+    rows = [(None, "too short"), (None, fine), (7, "too short"), (7, fine), (7, fine)]
+    docs = spark.createDataFrame([(i, t, "en", "web", 1) for i, t in rows], "doc_id long, text string, lang string, source string, row int")
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and sorted((r["doc_id"] or 0, r["text"] == fine) for r in kept.collect()) == [(0, True), (7, True), (7, True)]
+
+
 def statistics(text):
     text = text or ""
     w = WORD.findall(text)

@@ -1,15 +1,16 @@
 """Licence notices in documents: a trained paragraph classifier, confirmed by templates.
 
-Features of a paragraph are the word pairs and triples of the templates that it
-holds, so a paragraph without any has the score of its class biases and needs
-no further work.  The classifier is multinomial logistic regression over the
-families and "none", trained here on varied templates and on a bounded sample
-of paragraphs; its probabilities are calibrated by a temperature fitted on
-held-out examples.  Lines up to the next without a word are one paragraph, so a
+Features of a paragraph are the word pairs and triples that it shares with the
+training notices, so a paragraph without any has the score of its class biases
+and needs no further work.  The classifier is multinomial logistic regression
+over the families, "unknown" and "none", trained here on varied templates, on
+notices of licences that have no template, known and made up, and on a bounded
+sample of paragraphs; its probabilities are calibrated by a temperature fitted
+on held-out examples.  Lines up to the next without a word are one paragraph, so a
 notice may be wrapped anywhere.  Every family is reported at each place that
 holds most of one of its templates in order and that the classifier finds like
 a notice.  A line without such a place that is like a notice, by itself or with
-the next line, is "unknown": like a licence, but none that is known.
+the next line, is "unknown": a licence's notice, but of none that is known.
 """
 
 from __future__ import annotations
@@ -49,24 +50,52 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "mpl-2.0": ("licensed under the mozilla public license version 2.0", "this source code form is subject to the terms of the mozilla public license"),
     "proprietary": ("all rights reserved", "confidential and proprietary unauthorized copying is prohibited"),
 }
-FAMILIES = (*sorted(TEMPLATES), "none")
-NONE = len(FAMILIES) - 1
+FAMILIES = (*sorted(TEMPLATES), "unknown", "none")
+UNKNOWN, NONE = len(FAMILIES) - 2, len(FAMILIES) - 1
+# Names of licences without a template, and how notices put a name.
+OTHER_LICENCES = tuple(
+    "boost software;eclipse public;isc;zlib;artistic;common development and distribution;european union public;universal permissive;academic free;open software;microsoft public;"
+    "sil open font;python software foundation;postgresql;openssl;php;ruby;cecill;mulan permissive software;server side public;business source;elastic;commons clause;nasa open source;wtfpl".split(";")
+)
+NOTICE_FORMS = (
+    "licensed under the {} license", "licensed under the {} license version {}", "released under the {} license", "distributed under the {} license version {}", "distributed under the terms of the {} license",
+    "this work is licensed under the {} license version {}", "this software is made available under the {} license", "use of this source code is governed by the {} license", "subject to the terms of the {} license version {}",
+    "this file may be used under the terms of the {} license", "provided under the {} license agreement",
+)
 #: Words that don't open the search for a template's pairs.
 COMMON = frozenset("a all and any by for form from in is of or other related source the this to under use with without work are any person".split())
 TOKEN = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+#: A template of fewer words must end where a sentence or line does.
+SHORT_TEMPLATE = 4
 
 
 def tokens(paragraph: str) -> list[str]:
     return TOKEN.findall(paragraph.lower())
 
 
+def ends(line: str) -> list[bool]:
+    """For each token of a line, whether a sentence or the line ends after it."""
+    line = line.lower()
+    found = [m.end() for m in TOKEN.finditer(line)]
+    starts = [m.start() for m in TOKEN.finditer(line)]
+    return [k == len(found) - 1 or any(c in ".;:!?,()|" for c in line[e : starts[k + 1]]) for k, e in enumerate(found)]
+
+
 def _grams(words: list[str]) -> set[str]:
     return {" ".join(words[i : i + n]) for n in (2, 3) for i in range(len(words) - n + 1)}
 
 
+def _unknown_notices(rng: np.random.Generator, filler: list[str]) -> list[list[str]]:
+    """Notices of licences without a template: those above, and as many with a made-up name."""
+    made_up = [" ".join(str(w) for w in rng.choice(filler, rng.integers(1, 4))) for _ in OTHER_LICENCES]
+    return [tokens(form.format(name, f"{rng.integers(1, 5)}.{rng.integers(0, 3)}")) for form in NOTICE_FORMS for name in (*OTHER_LICENCES, *made_up)]
+
+
 def vocabulary() -> dict[str, int]:
-    """Pairs and triples of the templates that hold a word that isn't common."""
-    found = {g for ts in TEMPLATES.values() for t in ts for g in _grams(tokens(t)) if not COMMON.issuperset(g.split())}
+    """Pairs and triples of the templates and of other notices' forms that hold a word that isn't common."""
+    forms = [tokens(part) for form in NOTICE_FORMS for part in form.replace(" version {}", " version").split("{}")]
+    named = [tokens(form.format(name, "")) for form in NOTICE_FORMS[:2] for name in OTHER_LICENCES]
+    found = {g for words in (*(tokens(t) for ts in TEMPLATES.values() for t in ts), *forms, *named) for g in _grams(words) if not COMMON.issuperset(g.split())}
     return {g: i for i, g in enumerate(sorted(found))}
 
 
@@ -128,7 +157,7 @@ def _examples(negatives: list[str], rng: np.random.Generator) -> tuple[list[list
     """Templates with words dropped and put among others, and paragraphs without a template."""
     filler = [w for p in negatives[:200] for w in tokens(p)] or ["text"]
     words, labels = [], []
-    for k, family in enumerate(FAMILIES[:-1]):
+    for k, family in enumerate(FAMILIES[:UNKNOWN]):
         for template in TEMPLATES[family]:
             base = tokens(template)
             for v in range(VARIANTS):
@@ -137,6 +166,11 @@ def _examples(negatives: list[str], rng: np.random.Generator) -> tuple[list[list
                 before, after = rng.integers(0, 12, 2) * (v % 2)
                 words.append(filler[a : a + before] + kept + filler[b : b + after])
                 labels.append(k)
+    for notice in _unknown_notices(rng, filler):
+        a, b = rng.integers(0, len(filler), 2)
+        before, after = rng.integers(0, 12, 2) * rng.integers(0, 2)
+        words.append(filler[a : a + before] + notice + filler[b : b + after])
+        labels.append(UNKNOWN)
     for p in negatives:
         found = tokens(p)
         if not any(in_order(tokens(t), found) >= LEAST_MATCH for ts in TEMPLATES.values() for t in ts):
@@ -187,6 +221,10 @@ def fit(negatives: list[str], rounds: int = 300) -> Classifier:
 _SEARCHED = [(f, t, tokens(t), frozenset(tokens(t)[: len(tokens(t)) // 4 + 1])) for f in sorted(TEMPLATES) for t in TEMPLATES[f]]
 
 
+#: Families that a short template can stand for.
+SHORT_FAMILIES = frozenset(f for f, ts in TEMPLATES.items() if any(len(tokens(t)) < SHORT_TEMPLATE for t in ts))
+
+
 @dataclass
 class Place:
     """A stretch of words that holds most of a template."""
@@ -216,7 +254,7 @@ def _best_from(template: list[str], words: list[str], at: int, span: int) -> tup
     return most, end
 
 
-def places(words: list[str], classifier: Classifier) -> list[Place]:
+def places(words: list[str], classifier: Classifier, stops: list[bool] | None = None) -> list[Place]:
     """Where templates stand in a paragraph, in order; what a better place of another family explains is left out."""
     hot = np.array([i for i in range(len(words) - 1) if f"{words[i]} {words[i + 1]}" in classifier.features])
     if not len(hot):
@@ -241,7 +279,8 @@ def places(words: list[str], classifier: Classifier) -> list[Place]:
                 continue
             if words[at] in opening:
                 n, last = _best_from(template, words, at, span)
-                if n >= LEAST_MATCH * len(template) and (not own or not own.isdisjoint(words[at : last + 1])):
+                open_end = len(template) < SHORT_TEMPLATE and stops is not None and not stops[last]
+                if n >= LEAST_MATCH * len(template) and not open_end and (not own or not own.isdisjoint(words[at : last + 1])):
                     if not best or n > best.n or n == best.n and last - at < best.last - best.first:
                         best = Place(family, frozenset(template), at, last, n / len(template), n)
             at += 1
@@ -265,13 +304,17 @@ def scan(text: str | None, classifier: Classifier, anchors: frozenset[str]) -> l
     if not text:
         return found
     block: list[tuple[int, list[str]]] = []
+    stops: list[bool] = []
 
     def unknown(number: int, words: list[str]) -> bool:
         if anchors.isdisjoint(words):
             return False
         p = classifier.probabilities(words)
-        if like := 1 - p[NONE] >= LEAST_PROBABILITY:
-            found.append({"paragraph": number, "family": "unknown", "probability": float(1 - p[NONE]), "similarity": match(FAMILIES[int(np.argmax(p[:NONE]))], words)})
+        # Not of a template, so what looks like a family counts for the unknown; a short template's words alone don't.
+        like = p[UNKNOWN] >= LEAST_PROBABILITY or 1 - p[NONE] >= LEAST_PROBABILITY and FAMILIES[int(np.argmax(p))] not in SHORT_FAMILIES
+        if like:
+            best = max(range(UNKNOWN), key=lambda k: p[k])
+            found.append({"paragraph": number, "family": "unknown", "probability": float(1 - p[NONE]), "similarity": match(FAMILIES[best], words)})
         return bool(like)
 
     def close() -> None:
@@ -279,7 +322,7 @@ def scan(text: str | None, classifier: Classifier, anchors: frozenset[str]) -> l
         if not anchors.isdisjoint(words):
             line_of = [k for k, (_, ws) in enumerate(block) for _ in ws]
             taken: set[int] = set()
-            for p in places(words, classifier):
+            for p in places(words, classifier, stops):
                 taken.update(range(line_of[p.first], line_of[p.last] + 1))
                 found.append({"paragraph": block[line_of[p.first]][0], "family": p.family, "probability": p.probability, "similarity": p.similarity})
             taken.update([k for k, (number, ws) in enumerate(block) if k not in taken and unknown(number, ws)])
@@ -287,10 +330,12 @@ def scan(text: str | None, classifier: Classifier, anchors: frozenset[str]) -> l
                 if k not in taken and k + 1 not in taken and unknown(block[k][0], block[k][1] + block[k + 1][1]):
                     taken.update((k, k + 1))
         block.clear()
+        stops.clear()
 
     for number, line in enumerate(text.split("\n")):
         if words := tokens(line):
             block.append((number, words))
+            stops.extend(ends(line))
         else:
             close()
     close()
