@@ -354,7 +354,7 @@ def train(texts: DataFrame) -> Model:
 
     words = grouped(texts.mapInArrow(_count_words(parts), BLOCKS)).mapInArrow(_store_words(path), "part long, n long, tokens long")
     sizes, tokens = np.zeros(parts, np.int64), 0
-    for row in words.toLocalIterator():
+    for row in settled(words).collect():  # a row a file
         sizes[row["part"]], tokens = row["n"], tokens + row["tokens"]
     count = texts.count()
     model = Model(path, parts, np.concatenate([[0], np.cumsum(sizes)]), tokens + count, count, 0, (0.0,) * 3, (0.0,) * 3, 1.0)
@@ -362,13 +362,13 @@ def train(texts: DataFrame) -> Model:
         raise ValueError("over four billion different words")
     stored = settled(grouped(texts.mapInArrow(_count_pairs(model), BLOCKS)).mapInArrow(_store_pairs(model), BLOCKS))
     levels = np.zeros(5, np.int64)
-    for row in stored.where("part < 0").toLocalIterator():
+    for row in stored.where("part < 0").select("counts").collect():  # a row a file
         levels += np.frombuffer(row["counts"], np.int64)
     model.distinct_pairs = int(levels[4])
     model.discounts = discounts(*levels[:4].tolist())
     after = grouped(stored.where("part >= 0")).mapInArrow(_store_continuations(model), "levels array<long>")
     word_levels = np.zeros(5, np.int64)
-    for row in after.toLocalIterator():
+    for row in settled(after).collect():  # a row a file
         word_levels += np.array(row["levels"])
     model.word_discounts = discounts(*word_levels[:4].tolist())
     if model.distinct_pairs:

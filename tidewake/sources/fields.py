@@ -136,10 +136,10 @@ def nearest_step(asked: DataFrame, steps: DataFrame, width: float) -> DataFrame:
     # Cells without a step up to the next that has one share its neighbours.
     gap = span.where("__next > __cell + 1").select(F.explode(F.sequence(F.col("__cell") + 1, F.col("__next") - 1)).alias("__cell"), F.array_compact(F.array("last", "after")).alias("__near"))
     near = span.select("__cell", F.array_compact(F.concat(F.array("before"), "own", F.array("after"))).alias("__near")).unionByName(gap)
-    bounds = F.broadcast(ends.agg(F.min("__cell").alias("__low"), F.max("__cell").alias("__high")))
-    cell = F.greatest(F.col("__low"), F.least(F.col("__high"), F.floor(F.col("epoch") / width)))
+    low, high = ends.agg(F.min("__cell")).scalar(), ends.agg(F.max("__cell")).scalar()
+    cell = F.greatest(low, F.least(high, F.floor(F.col("epoch") / width)))
     best = F.array_min(F.transform("__near", lambda s: F.struct(F.abs(s - F.col("epoch")).alias("d"), s.alias("s"))))["s"]
-    return asked.join(bounds).withColumn("__cell", cell).join(near, "__cell").withColumn("step", best).drop("__cell", "__near", "__low", "__high")
+    return asked.withColumn("__cell", cell).join(near, "__cell").withColumn("step", best).drop("__cell", "__near")
 
 
 def checksum(field: DataFrame) -> str:
