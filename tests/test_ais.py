@@ -17,7 +17,7 @@ def test_quarantine_of_a_provider_file(spark, tmp_path):
         "12,2026-01-01T00:00:00,18.5,72.1,,,,X,\n419000003,never,18.5,72.1,,,,Y,\n419000004,2026-01-01T00:00:00,95,72.1,,,,Z,\n")
     got = ais_csv.load(spark, str(path), "c", "i", "label", "imported")
     assert (got.summary["rows_valid"], got.summary["rows_quarantined"]) == (2, 3)
-    assert got.summary["reasons"] == {"invalid_mmsi": 1, "invalid_timestamp": 1, "invalid_position": 1}
+    assert got.summary["reasons"] == {"invalid_mmsi": 1, "unparseable_timestamp": 1, "invalid_position": 1}
     assert [q["row"] for q in got.summary["quarantine_sample"]] == [4, 5, 6]
     rows = got.positions.orderBy("mmsi").collect()
     assert rows[1]["heading"] is None and rows[1]["cog"] is None and rows[0]["vessel_type"] == "tanker" and rows[0]["source"] == "label"

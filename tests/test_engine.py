@@ -71,3 +71,16 @@ def test_store_versions(spark, tmp_path):
     assert [r["id"] for r in s.table("cases").collect()] == ["a"]
     with pytest.raises(config.NotFound):
         s.get("cases", "b")
+
+
+def test_jobs_in_the_background(spark, tmp_path):
+    from threading import Event
+
+    from tidewake.plans.store import Store
+
+    store, gate = Store(spark, str(tmp_path / "jobs"), background=True), Event()
+    one = store.run_job("wait", None, lambda job: gate.wait(30))
+    bad = store.run_job("fail", None, lambda job: 1 / 0)
+    assert store.get("jobs", one)["state"] in ("queued", "running")
+    gate.set()
+    assert store.wait(one)["state"] == "completed" and store.wait(bad)["state"] == "failed" and "ZeroDivisionError" in store.get("jobs", bad)["error"]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.config import DEFAULTS
-from tidewake.functions.geo import Ring, cells_outline, metres_per_degree_at, shape_metrics, simplified
+from tidewake.functions.geo import Ring, metres_per_degree_at, shape_metrics, simplified
 from tidewake.session import settled
 
 TILES = "scene_id string, r0 int, c0 int, h int, w int, pixels array<float>"
@@ -362,12 +362,57 @@ def components(px: DataFrame) -> DataFrame:
     moved = seam.withColumn("d", around).select("scene_id", "class", (F.col("row") + F.col("d.a")).alias("row"), (F.col("col") + F.col("d.b")).alias("col"), F.col("label").alias("other"), F.col("br").alias("obr"), F.col("bc").alias("obc"))
     links = settled(seam.join(moved, key).where((F.col("br") != F.col("obr")) | (F.col("bc") != F.col("obc"))).select("scene_id", "class", "label", "other").distinct())
     names = settled(out.select("scene_id", "class", "label").distinct().withColumn("region", F.col("label")))
+    of = ["scene_id", "class"]
     while True:
-        near = links.join(names.select("scene_id", "class", F.col("label").alias("other"), "region"), ["scene_id", "class", "other"]).groupBy("scene_id", "class", "label").agg(F.min("region").alias("n"))
-        new = settled(names.join(near, ["scene_id", "class", "label"], "left").select("scene_id", "class", "label", F.least("region", F.coalesce("n", "region")).alias("region"), (F.coalesce("n", "region") < F.col("region")).alias("moved")))
-        if not new.where("moved").limit(1).count():
-            return out.join(new.drop("moved"), ["scene_id", "class", "label"]).drop("br", "bc", "label")
+        # The least name among the neighbours', then that name's own name: distances to the root halve.
+        near = links.join(names.select(*of, F.col("label").alias("other"), "region"), [*of, "other"]).groupBy(*of, "label").agg(F.min("region").alias("n"))
+        best = names.join(near, [*of, "label"], "left").select(*of, "label", "region", F.least("region", F.coalesce("n", "region")).alias("best"))
+        jump = names.select(*of, F.col("label").alias("best"), F.col("region").alias("far"))
+        new = settled(best.join(jump, [*of, "best"]).select(*of, "label", F.least("best", "far").alias("new"), (F.least("best", "far") < F.col("region")).alias("moved")).withColumnRenamed("new", "region"))
         names = new.drop("moved")
+        if not new.where("moved").limit(1).count():
+            return out.join(names, [*of, "label"]).drop("br", "bc", "label")
+
+
+def outlines(cells: DataFrame) -> DataFrame:
+    """(scene_id, class, region, edges): the edges of a region's cells that no two cells share, as (x1, y1, x2, y2) around it.
+
+    Shared edges cancel out in the plan, so what is gathered for a region is
+    its outline, not its pixels.
+    """
+    r, c = F.col("row"), F.col("col")
+
+    def edge(kind: int, i: Column, j: Column, way: int) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(way).alias("way"))
+
+    around = F.array(edge(0, c, r, 1), edge(1, c + 1, r, 1), edge(0, c, r + 1, -1), edge(1, c, r, -1))
+    by = ["scene_id", "class", "region"]
+    edges = cells.select(*by, F.explode(around).alias("e")).groupBy(*by, "e.kind", "e.i", "e.j").agg(F.count("*").alias("n"), F.first("e.way").alias("way")).where("n = 1")
+    return edges.groupBy(*by).agg(F.collect_list(F.struct("kind", "i", "j", "way")).alias("edges"))
+
+
+def rings_of(edges: list[tuple[int, int, int, int]], west: float, north: float, dx: float, dy: float) -> list[Ring]:
+    """Closed rings from a region's outline; rows run south."""
+    after: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for kind, i, j, way in edges:
+        a, b = (i, j), (i + 1, j) if kind == 0 else (i, j + 1)
+        a, b = (a, b) if way > 0 else (b, a)
+        after.setdefault(a, []).append(b)
+    rings: list[Ring] = []
+    while after:
+        start = at = min(after)
+        ring = [at]
+        while True:
+            nexts = after[at]
+            step = nexts.pop()
+            if not nexts:
+                del after[at]
+            at = step
+            ring.append(at)
+            if at == start:
+                break
+        rings.append([(west + i * dx, north - j * dy) for i, j in ring][::-1])
+    return rings
 
 
 def zonal(regions: DataFrame) -> DataFrame:
@@ -396,36 +441,41 @@ def detection_limits(kind: str, adapter_name: str, coast_km: float | None) -> li
 def detect(tiles: DataFrame, shape: tuple[int, int], bounds: tuple[float, float, float, float], model: Adapter, post: dict | None = None, land: Callable | None = None) -> list[dict]:
     """Slicks of one scene, best first: oil before others, then by confidence times area.
 
-    Regions come to the driver only as outlines, at most the largest few
-    hundred; pixels stay in the cluster.
+    Regions come to the driver as outlines, some hundred at a time in that
+    order, until there are enough that lie at sea and are large enough.
     """
     cfg = DEFAULTS["detection"]["postprocess"] | (post or {})
     west, south, east, north = bounds
     dx, dy = (east - west) / shape[1], (north - south) / shape[0]
     px = mosaic(predict(tiles, model))
     regions = components(classed(px, cfg["prob_threshold"], tuple(cfg["uncertain_band"]))).cache()
-    stats = zonal(regions)
     mx, my = metres_per_degree_at((south + north) / 2)
     least_px = max(1, int(0.5 * cfg["min_area_km2"] * 1e6 / (dx * mx * dy * my)))
-    large = stats.where(F.col("pixel_count") >= least_px).orderBy(F.desc(F.col("pixel_count") * F.col("confidence")), "region").limit(8 * cfg["max_features"])
-    cells = regions.join(F.broadcast(large.select("scene_id", "class", "region")), ["scene_id", "class", "region"])
-    rows = cells.groupBy("class", "region").agg(F.collect_list(F.struct("row", "col")).alias("cells")).join(large, ["class", "region"]).collect()
-    found = []
-    for r in rows:
-        rings = cells_outline({(c["col"], shape[0] - 1 - c["row"]) for c in r["cells"]}, west, south, dx, dy)
-        ring: Ring = max(rings, key=len)
-        m = shape_metrics(ring)
-        if not m or m["area_km2"] < cfg["min_area_km2"]:
-            continue
-        coast = None
-        if land is not None and cfg["land_mask"]:
-            cx, cy = m["centroid"]
-            if land(np.array([cx]), np.array([cy]))[0]:
+    like = F.coalesce(F.col("look_alike_prob") > F.col("confidence"), F.lit(False))
+    large = zonal(regions).where(F.col("pixel_count") >= least_px).withColumn("kind", F.when(like, "look_alike").otherwise(F.col("class"))).cache()
+    order = [(F.col("kind") != "oil").asc(), F.desc(F.col("pixel_count") * F.col("confidence")), F.col("region").asc()]
+    found: list[dict] = []
+    at, some = 0, 4 * cfg["max_features"]
+    while len(found) < cfg["max_features"]:
+        chosen = large.orderBy(*order).offset(at).limit(some)
+        by = ["scene_id", "class", "region"]
+        rows = outlines(regions.join(F.broadcast(chosen.select(*by)), by)).join(chosen, by).orderBy(*order).collect()
+        if not rows:
+            break
+        at += some
+        for r in rows:
+            ring: Ring = max(rings_of([tuple(e) for e in r["edges"]], west, north, dx, dy), key=len)
+            m = shape_metrics(ring)
+            if not m or m["area_km2"] < cfg["min_area_km2"]:
                 continue
-            coast = land.distance_km(cx, cy)
-        kind = "look_alike" if r["look_alike_prob"] is not None and r["look_alike_prob"] > r["confidence"] else r["class"]
-        found.append({"class": kind, "confidence": round(r["confidence"], 3), "prob_mean": round(r["prob_mean"], 3), "prob_max": round(r["prob_max"], 3), "look_alike_prob": r["look_alike_prob"], "pixel_count": r["pixel_count"],
-                      "ring": simplified(ring, cfg["simplify_tolerance_m"]), "coast_distance_km": coast, "limitations": detection_limits(kind, model.name, coast), **m})
+            coast = None
+            if land is not None and cfg["land_mask"]:
+                cx, cy = m["centroid"]
+                if land(np.array([cx]), np.array([cy]))[0]:
+                    continue
+                coast = land.distance_km(cx, cy)
+            found.append({"class": r["kind"], "confidence": round(r["confidence"], 3), "prob_mean": round(r["prob_mean"], 3), "prob_max": round(r["prob_max"], 3), "look_alike_prob": r["look_alike_prob"], "pixel_count": r["pixel_count"],
+                          "ring": simplified(ring, cfg["simplify_tolerance_m"]), "coast_distance_km": coast, "limitations": detection_limits(r["kind"], model.name, coast), **m})
     found.sort(key=lambda s: (s["class"] != "oil", -s["confidence"] * s["area_km2"]))
     for n, s in enumerate(found, 1):
         points = (2 if s["coast_distance_km"] is not None and s["coast_distance_km"] <= 2 else 1 if s["coast_distance_km"] is not None and s["coast_distance_km"] <= 5 else 0) + (s["elongation"] < 1.5) + 2 * ((s["look_alike_prob"] or 0) > 0.3)

@@ -11,7 +11,9 @@ import json
 import time
 import uuid
 from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
 from datetime import datetime, timezone
+from threading import Lock
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -50,16 +52,20 @@ def newest(rows: DataFrame, by: list[str], *order: str) -> DataFrame:
 class Store:
     """Tables under one folder; ``ais_positions`` is large and partitioned by case, the rest are small."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, background: bool = False, workers: int = 2):
+        self.spark, self.root, self.background = spark, root.rstrip("/"), background
         self._clock = 0
+        self._lock = Lock()
+        self._pool = ThreadPoolExecutor(workers, thread_name_prefix="job")
+        self._pending: dict[str, Future] = {}
 
     def _path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
     def _version(self) -> int:
-        self._clock = max(self._clock + 1, time.time_ns())
-        return self._clock
+        with self._lock:
+            self._clock = max(self._clock + 1, time.time_ns())
+            return self._clock
 
     def write(self, table: str, rows: list[dict[str, Any]] | DataFrame, deleted: bool = False) -> None:
         names = schema(table).names
@@ -125,17 +131,37 @@ class Store:
     # ---------------------------------------------------------------- jobs
 
     def run_job(self, kind: str, case_id: str | None, work: Callable[[Job], Any]) -> str:
-        """Runs work under a job row: queued, running, then completed or failed."""
+        """Runs work under a job row: queued, running, then completed or failed.
+
+        With ``background`` set the work goes to one of two threads and the
+        job's id comes back at once; ``wait`` waits for its end.
+        """
         job = Job(self, new_id("job"), case_id, kind)
         job.save("queued")
+        if self.background:
+            self._pending[job.id] = self._pool.submit(self._work, job, kind, work)
+        else:
+            self._work(job, kind, work)
+        return job.id
+
+    def _work(self, job: Job, kind: str, work: Callable[[Job], Any]) -> None:
         job.save("running")
-        self.spark.sparkContext.setJobGroup(job.id, kind)
+        context = self.spark.sparkContext
+        context.setJobGroup(job.id, kind)
         try:
             result = work(job)
             job.save("completed", progress=1.0, result=dumps(result))
         except Exception as problem:  # recorded for whoever polls the job
             job.save("failed", error=f"{type(problem).__name__}: {problem}")
-        return job.id
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+            context.setLocalProperty("spark.job.description", None)
+
+    def wait(self, job_id: str, seconds: float | None = None) -> dict[str, Any]:
+        """The job's row once its work has ended."""
+        if pending := self._pending.pop(job_id, None):
+            pending.result(seconds)
+        return self.get("jobs", job_id)
 
 
 class Job:
