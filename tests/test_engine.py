@@ -84,3 +84,31 @@ def test_jobs_in_the_background(spark, tmp_path):
     assert store.get("jobs", one)["state"] in ("queued", "running")
     gate.set()
     assert store.wait(one)["state"] == "completed" and store.wait(bad)["state"] == "failed" and "ZeroDivisionError" in store.get("jobs", bad)["error"]
+
+
+def test_default_provider_reads_landed_forecasts(spark, tmp_path):
+    import zlib
+
+    from pyspark.sql import functions as F
+
+    from tidewake.plans.engine import Engine, loads
+
+    t0 = 1788220800  # 2026-09-01
+    hours = F.array(*[F.lit(t0 + 3600 * k) for k in range(-12, 6)])
+    steady = {"current_velocity": 1.0, "current_direction": 90.0, "wind_speed": 10.0, "wind_direction": 270.0}
+    points = spark.range(16).select((F.lit(17.0) + F.floor(F.col("id") / 4)).alias("lat"), (F.lit(70.5) + F.col("id") % 4).alias("lon"), F.struct(hours.alias("time"), *[F.array_repeat(F.lit(v), 18).alias(k) for k, v in steady.items()]).alias("hourly"))
+    engine = Engine(spark, str(tmp_path / "cases"), hourly=points)
+    case = engine.synthetic_demo(size=200)
+    slick = engine.slicks(case)["features"][0]
+    job = engine.hindcast(case, slick["id"], hindcast_hours=3, ensemble_members=2, particle_count=50)
+    assert engine.store.get("jobs", job)["state"] == "completed", engine.store.get("jobs", job)["error"]
+    run = engine.store.latest("hindcast_runs", case)
+    metrics = loads(run["metrics"])
+    assert metrics["environment"]["source"] == "open_meteo" and [h["step"] for h in metrics["hourly_regions"]] == [0, 4, 8, 12]
+    assert len(loads(engine.store.get("env_fields", run["env_field_id"])["metadata"])["checksum"]) == 64
+    scene = engine.store.latest("scenes", case)
+    assert spark.read.parquet(f"{engine.root}/probabilities/{scene['id']}").where("p_oil > 0.5").count() > 100
+    image = engine.preview_png(scene["id"])
+    grey = engine.preview(scene["id"])
+    at = image.index(b"IDAT")
+    assert image.startswith(b"\x89PNG") and zlib.decompress(image[at + 4 :])[1 : 1 + grey.shape[1]] == grey[0].tobytes()

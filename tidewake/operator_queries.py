@@ -226,6 +226,21 @@ def padded_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ catalogue, registry and fields
 
+@query("select o_orderkey as k, 's3://b/' || o_orderkey || case when o_orderkey % 2 = 0 then '?v=1&sig=abc' else '?sig=abc' end as href from orders")
+def signed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    items = load(spark, sf_dir, "orders").select(k.alias("k"), F.concat(F.lit("s3://b/"), k.cast("string"), F.when(k % 2 == 0, "?v=1").otherwise("")).alias("href"))
+    return scenes.signed(items, "?sig=abc")
+
+
+@query("select left(sha256(string_agg(n_name, chr(10) order by n_nationkey) || chr(10)), 16) as version from nation")
+def model_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hash of a file, here of the nations' names."""
+    at = f"{shared_dir(spark)}/file-{uuid.uuid4().hex}"
+    load(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_name").coalesce(1).write.text(at)
+    return spark.createDataFrame([(raster.model_hash(spark, f"{at}/*.txt"),)], "version string")
+
+
 _ITEMS_SQL = "it as (select o_orderkey::varchar as item_id, case when o_orderkey % 3 = 0 then 'other' else 'sentinel-1-grd' end as collection, o_orderdate::timestamp as acquired, 60.0::double + o_custkey % 20 as west, 10.0::double + o_orderkey % 10 as south from orders)"
 
 
@@ -346,6 +361,19 @@ def region_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SHOWN = "p as (select cast(mmsi % 6 - 1 as int) as member, seq as particle, cast(floor((ts_epoch - 1704067200.0::double) / 259200) as int) as step, lon, lat from ais)"
 
 
+@query(f"""with {AIS}, {_ENS_SQL}, h as (select step, cast(least(floor((lon - 71.6::double) / 0.025::double), 19) as int) as ix, cast(least(floor((lat - 18.2::double) / 0.025::double), 19) as int) as iy, count(*) as n from p where member <> -1 and (step % 2 = 0 or step = (select max(step) from p where member <> -1)) group by all),
+    c as (select *, (sum(n) over (partition by step order by n desc, ix, iy rows unbounded preceding) - n) / sum(n) over (partition by step) as before from h) select step, count(*) as cells from c where before < 0.7::double group by step""")
+def shown_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of every second step and the last as outlines, measured in cells."""
+
+    def cells(rings: list[geo.Ring]) -> int:
+        twice = sum(a[0] * b[1] - b[0] * a[1] for r in rings for a, b in zip(r[:-1], r[1:], strict=True))
+        return round(abs(twice) / 2 / (_GRID["dx"] * _GRID["dy"]))
+
+    rows = [(r["step"], cells(r["rings"])) for r in density.step_regions(_ensemble(spark, sf_dir), _GRID, 0.7, 2)]
+    return spark.createDataFrame(rows, "step int, cells long")
+
+
 @query(f"with {AIS}, {_SHOWN} select particle, step from p where step = (select max(step) from p)")
 def last_step_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.last_step(_ensemble(spark, sf_dir)).select("particle", "step")

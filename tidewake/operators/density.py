@@ -54,6 +54,16 @@ def region_polygon(cells: DataFrame, mass: float, grid: dict[str, float]) -> tup
     return rings, area
 
 
+def step_regions(particles: DataFrame, grid: dict[str, float], mass: float, every: int) -> list[dict]:
+    """The region of a mass at every so many steps and at the last, outlined; only its cells come to the driver."""
+    ensemble = particles.where(F.col("member") != CONTROL)
+    last = F.broadcast(ensemble.agg(F.max("step").alias("__last")))
+    shown = ensemble.join(last).where((F.col("step") % every == 0) | (F.col("step") == F.col("__last")))
+    cells = mass_cells(histogram(shown, grid, "step"), "step").where(F.col("before") < mass)
+    rows = cells.groupBy("step").agg(F.collect_list(F.struct("ix", "iy")).alias("cells")).orderBy("step").collect()
+    return [{"step": r["step"], "rings": cells_outline({(c["ix"], c["iy"]) for c in r["cells"]}, grid["x0"], grid["y0"], grid["dx"], grid["dy"])} for r in rows]
+
+
 def step_metrics(particles: DataFrame, grid: dict[str, float], mass: float, cfg: dict = DEFAULTS["hindcast"]["origin_window"]) -> DataFrame:
     """One row a step: region area, spread of member means, control-run area, convergence and agreement.
 

@@ -415,6 +415,11 @@ def rings_of(edges: list[tuple[int, int, int, int]], west: float, north: float,
     return rings
 
 
+def model_hash(spark: SparkSession, path: str) -> str:
+    """The first digits of the SHA-256 of a model's file, to tell which one gave a result."""
+    return spark.read.format("binaryFile").load(path).select(F.substring(F.sha2("content", 256), 1, 16)).first()[0]
+
+
 def zonal(regions: DataFrame) -> DataFrame:
     """Per region: pixels, mean, greatest and 75th percentile of the probability, mean look-alike probability."""
     return regions.groupBy("scene_id", "class", "region").agg(
@@ -438,16 +443,20 @@ def detection_limits(kind: str, adapter_name: str, coast_km: float | None) -> li
     return out
 
 
-def detect(tiles: DataFrame, shape: tuple[int, int], bounds: tuple[float, float, float, float], model: Adapter, post: dict | None = None, land: Callable | None = None) -> list[dict]:
+def detect(tiles: DataFrame, shape: tuple[int, int], bounds: tuple[float, float, float, float], model: Adapter, post: dict | None = None, land: Callable | None = None, keep: str | None = None) -> list[dict]:
     """Slicks of one scene, best first: oil before others, then by confidence times area.
 
     Regions come to the driver as outlines, some hundred at a time in that
-    order, until there are enough that lie at sea and are large enough.
+    order, until there are enough that lie at sea and are large enough.  The
+    probabilities of all pixels are kept at ``keep``, if given.
     """
     cfg = DEFAULTS["detection"]["postprocess"] | (post or {})
     west, south, east, north = bounds
     dx, dy = (east - west) / shape[1], (north - south) / shape[0]
     px = mosaic(predict(tiles, model))
+    if keep:
+        px.write.mode("overwrite").parquet(keep)
+        px = tiles.sparkSession.read.parquet(keep)
     regions = components(classed(px, cfg["prob_threshold"], tuple(cfg["uncertain_band"]))).cache()
     mx, my = metres_per_degree_at((south + north) / 2)
     least_px = max(1, int(0.5 * cfg["min_area_km2"] * 1e6 / (dx * mx * dy * my)))

@@ -46,12 +46,13 @@ def _polygon(rings: list[Ring]) -> dict:
 class Engine:
     """Cases over a store folder.  Long work runs under a job row and returns the job's id.
 
-    ``land`` (pieces table), ``catalogue`` (items table) and ``vessels``
-    (registry table) are optional reference tables.
+    ``land`` (pieces table), ``catalogue`` (items table), ``vessels`` (registry
+    table) and ``hourly`` (landed point forecasts, which open_meteo reads) are
+    optional reference tables.  With ``background`` jobs run in two threads.
     """
 
-    def __init__(self, spark: SparkSession, root: str, land: DataFrame | None = None, catalogue: DataFrame | None = None, vessels: DataFrame | None = None, onnx_path: str | None = None):
-        self.spark, self.store, self.root = spark, Store(spark, root), root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, land: DataFrame | None = None, catalogue: DataFrame | None = None, vessels: DataFrame | None = None, onnx_path: str | None = None, hourly: DataFrame | None = None, background: bool = False):
+        self.spark, self.store, self.root, self.hourly = spark, Store(spark, root, background), root.rstrip("/"), hourly
         self.land = LandIndex(land) if land is not None else None
         self.catalogue, self.vessels, self.onnx_path = catalogue, vessels, onnx_path
 
@@ -139,6 +140,9 @@ class Engine:
         r = self.spark.read.parquet(self.store.get("scenes", scene_id)["preview_uri"]).first()
         return np.frombuffer(bytes(r["grey"]), np.uint8).reshape(r["h"], r["w"])
 
+    def preview_png(self, scene_id: str) -> bytes:
+        return scenes.png(self.preview(scene_id))
+
     def search_catalogue(self, area: list[float], start: str, end: str, limit: int = 20) -> DataFrame:
         if self.catalogue is None:
             raise config.NotFound("no catalogue table was given")
@@ -169,12 +173,13 @@ class Engine:
             raise ValueError("the case has no scene")
         meta = loads(scene["metadata"], {})
         model = raster.adapter(options.pop("adapter", "auto") or "auto", self.onnx_path)
-        found = raster.detect(self.spark.read.parquet(scene["asset_uri"]), tuple(meta["shape"]), tuple(scene["bounds"]), model, options, self.land)
+        found = raster.detect(self.spark.read.parquet(scene["asset_uri"]), tuple(meta["shape"]), tuple(scene["bounds"]), model, options, self.land, keep=f"{self.root}/probabilities/{scene['id']}")
         self.store.delete("slicks", F.col("case_id") == case_id)
+        version = raster.model_hash(self.spark, self.onnx_path) if self.onnx_path and model.name != "classical" else None
         rows = []
         for s in found:
             ring = s.pop("ring")
-            rows.append({"id": new_id("slick"), "case_id": case_id, "scene_id": scene["id"], "geom": dumps(_polygon([ring])), "class": s["class"], "confidence": s["confidence"], "properties": dumps(s | {"adapter": model.name}), "created_at": now()})
+            rows.append({"id": new_id("slick"), "case_id": case_id, "scene_id": scene["id"], "geom": dumps(_polygon([ring])), "class": s["class"], "confidence": s["confidence"], "properties": dumps(s | {"adapter": model.name, "model_hash": version}), "created_at": now()})
         if rows:
             self.store.write("slicks", rows)
         self._status(case_id, "detected" if rows else "no_slick")
@@ -197,7 +202,7 @@ class Engine:
         at = f"{self.root}/fields/{key}"
         field.select("epoch", "lat", "lon", *fields.PARTS).write.parquet(at)
         s = fields.summary(self.spark.read.parquet(at)).first().asDict()
-        self.store.write("env_fields", [{"id": key, "case_id": case_id, "provider": provider, "data_mode": mode, "coverage": dumps(s), "artifact_uri": at, "metadata": dumps({}), "created_at": now()}])
+        self.store.write("env_fields", [{"id": key, "case_id": case_id, "provider": provider, "data_mode": mode, "coverage": dumps(s), "artifact_uri": at, "metadata": dumps({"checksum": fields.checksum(self.spark.read.parquet(at))}), "created_at": now()}])
         return key
 
     def _field(self, case_id: str, source: str, env_id: str | None, bounds: list[float], t0: float, t1: float) -> tuple[str, DataFrame]:
@@ -205,6 +210,10 @@ class Engine:
             env_id = self._store_field(case_id, fields.provider("constant")(self.spark, bounds, t0, t1), "constant", "constant")
         elif source not in fields.PROVIDERS:
             raise ValueError(f"unknown environment source {source}")
+        elif source == "open_meteo" and env_id is None and self.hourly is not None:
+            area = (F.col("lon").between(bounds[0] - 1, bounds[2] + 1)) & (F.col("lat").between(bounds[1] - 1, bounds[3] + 1))
+            landed = fields.from_hourly_json(self.hourly).where(area & F.col("epoch").between(t0 - 3600, t1 + 3600))
+            env_id = self._store_field(case_id, fields.filled(landed), "open_meteo", "real")
         elif env_id is None:
             stored = self.store.latest("env_fields", case_id)
             if not stored:
@@ -248,6 +257,7 @@ class Engine:
                 metrics = {
                     "confidence_level": p.probability_mass, "window_basis": window["basis"], "window_hours_back": window["hours_back"], "peak_hours_back": window["peak_hours_back"], "origin_areas_km2": {k: v["area_km2"] for k, v in regions.items()},
                     "origin_regions": {k: {"geometry": _polygon(v["rings"]), "area_km2": v["area_km2"]} for k, v in regions.items()}, "stranded_fraction": stranded, "environment": {"env_id": env_id, "source": environment_source},
+                    "hourly_regions": [{"step": h["step"], "geometry": _polygon(h["rings"])} for h in density.step_regions(particles, grid, p.probability_mass, max(1, round(60 / p.time_step_minutes)))],
                 }
                 level = str(round(p.probability_mass * 100))
                 row |= {"env_field_id": env_id, "origin_geom": dumps(metrics["origin_regions"][level]["geometry"]), "release_start": moment(window["release_start"]), "release_end": moment(window["release_end"]), "metrics": dumps(metrics), "artifact_uri": at, "status": "completed"}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from pathlib import PurePath
 
 import numpy as np
@@ -68,6 +70,23 @@ def preview(image: np.ndarray) -> np.ndarray:
     return np.where(ok, np.clip((np.where(ok, v, lo) - lo) / max(hi - lo, 1e-6), 0, 1) * 255, 0).astype(np.uint8)
 
 
+def png(grey: np.ndarray) -> bytes:
+    """A grey image as a PNG file."""
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    h, w = grey.shape
+    lines = np.concatenate([np.zeros((h, 1), np.uint8), grey.astype(np.uint8)], axis=1)  # a filter byte before each row
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+
+
+def signed(items: DataFrame, token: str) -> DataFrame:
+    """Catalogue items whose links carry a query string that gives access."""
+    joint = F.when(F.col("href").contains("?"), "&").otherwise("?")
+    return items.withColumn("href", F.concat("href", joint, F.lit(token.lstrip("?&"))))
+
+
 CATALOGUE = "item_id string, collection string, acquired timestamp, west double, south double, east double, north double, platform string, mode string, polarizations array<string>, orbit string, href string"
 
 
