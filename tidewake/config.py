@@ -132,7 +132,7 @@ def drift_params(user: dict[str, Any] | None = None, direction: str = "backward"
         low, high = limits[bound]
         pair = tuple(map(float, p[name]))
         if len(pair) != 2 or not low <= pair[0] <= pair[1] <= high:
-            raise ValueError(f"{name} must be an ordered pair within [{low}, {high}], not {p[name]}")
+            raise ValueError(f"{name}: give two rising numbers from {low} to {high}; got {p[name]}")
         p[name] = pair
     if p["integrator"] not in ("rk4", "euler"):
         raise ValueError("integrator must be rk4 or euler")
@@ -148,11 +148,11 @@ def weights(user: dict[str, float] | None = None, config: dict[str, Any] = DEFAU
     if unknown := set(user or {}) - set(base):
         raise ValueError(f"unknown weight keys {sorted(unknown)}")
     if any(v < 0 for v in (user or {}).values()):
-        raise ValueError("weights must be non-negative")
+        raise ValueError("a weight is below zero")
     w = base | (user or {})
     total = sum(w.values())
     if total <= 0:
-        raise ValueError("weights must not all be zero")
+        raise ValueError("all weights are zero")
     return {k: v / total for k, v in w.items()}
 
 
@@ -182,7 +182,7 @@ def bbox(values: list[float], most_deg2: float | None = None) -> list[float]:
         raise ValueError("bbox needs four numbers")
     west, south, east, north = map(float, values)
     if not (-180 <= west < east <= 180 and -90 <= south < north <= 90):
-        raise ValueError("bbox must be [min_lon, min_lat, max_lon, max_lat]")
+        raise ValueError("a bbox is west, south, east, north in degrees, west before east")
     if most_deg2 is not None and (east - west) * (north - south) > most_deg2:
         raise ValueError(f"bbox is larger than {most_deg2} square degrees")
     return [west, south, east, north]

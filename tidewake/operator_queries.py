@@ -10,12 +10,12 @@ from __future__ import annotations
 import uuid
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.config import DEFAULTS, drift_params, weights
 from tidewake.functions import geo, text
-from tidewake.operators import attribution, density, drift, raster, tracks, views
+from tidewake.operators import attribution, density, drift, land, raster, tracks, views
 from tidewake.plans import store
 from tidewake.queries import _CLOUD_DT, _CLOUD_N, _CLOUD_SQL, _ENS_SQL, _GRID, _MLAT, _MLON, _PRIOR_SQL, AIS, BRG, EXPECTED, ORIGIN, OUTER, RE, REGION, RS, STEPS, _ensemble, _px, _PX_SQL, cloud, d, fixes, hav, load, query, r6, raw_rows, sql_in_ring, sql_ring_km
 from tidewake.session import shared_dir
@@ -591,3 +591,70 @@ def field_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     field = _gridded(spark, sf_dir).cache()
     a, b = fields.checksum(field), fields.checksum(field.repartition(5).orderBy(F.desc("lat"), "epoch"))
     return field.agg(F.count("*").alias("nodes")).withColumn("same", F.lit(a == b and len(a) == 64))
+
+
+# ------------------------------------------------------------------ files and shapes
+
+
+@query(f"with {AIS} select mmsi, epoch(date_trunc('second', ts))::bigint as t, round(lon, 6) as lon, round(lat, 6) as lat, round(sog, 4) as sog, vessel_type, count(*) as n from ais group by all")
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fixes written as CSV files and read again under other header names."""
+    at = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    none = F.lit(None)
+    rows = fixes(spark, sf_dir).withColumns({"heading": none.cast("double"), "length_m": none.cast("double"), "source": F.lit("s")})
+    ais_csv.write_csv(rows, f"{at}/canonical")
+    again = spark.read.option("header", True).csv(f"{at}/canonical")
+    names = {"mmsi": "MMSI", "timestamp_utc": "BaseDateTime", "longitude": "LON", "latitude": "LAT", "sog_knots": "Speed", "vessel_type": "Ship type"}
+    again.select(*[F.col(c).alias(n) for c, n in names.items()]).write.option("header", True).option("sep", ";").csv(f"{at}/aliases")
+    out = ais_csv.normalised(ais_csv.read_csv(spark, f"{at}/aliases"), "feed").where("reason is null")
+    return out.groupBy("mmsi", F.unix_seconds("ts").alias("t"), r6("lon").alias("lon"), r6("lat").alias("lat"), F.round("sog", 4).alias("sog"), "vessel_type").agg(F.count("*").alias("n"))
+
+
+@query("select t.t * 1800.0::double as epoch, 17.0::double + 0.5::double * y.y as lat, 70.0::double + 0.5::double * x.x as lon, round(0.5::double * y.y + 0.25::double * x.x + 0.125::double * t.t, 3) as u_cur from range(0, 5) t(t), range(0, 7) y(y), range(0, 9) x(x)")
+def replay_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field that is linear in place and time, sampled between its nodes."""
+    nodes = spark.range(3 * 4 * 5).select((F.col("id") % 3).alias("e"), (F.floor(F.col("id") / 3) % 4).alias("y"), F.floor(F.col("id") / 12).alias("x"))
+    u = F.col("y") * 1.0 + F.col("x") * 0.5 + F.col("e") * 0.25
+    grid = fields.Grid.of(nodes.select((F.col("e") * 3600.0).alias("epoch"), (F.lit(17.0) + F.col("y")).alias("lat"), (F.lit(70.0) + F.col("x")).alias("lon"), *[u.alias(p) for p in fields.PARTS]))
+    return fields.vectors(spark, grid, [1800.0 * k for k in range(5)], [70.0, 17.0, 74.0, 20.0]).select("epoch", "lat", "lon", "u_cur")
+
+
+@query("select n_nationkey as k, least(3.0::double, 0.02::double + 5 * n_nationkey * 3600 / 111000.0::double) as pad from nation")
+def area_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = sorted(r[0] for r in load(spark, sf_dir, "nation").select("n_nationkey").collect())
+    return spark.createDataFrame([(k, drift.aoi_padding(5 * k)) for k in keys], "k int, pad double")
+
+
+@query("select s.s as step from range(0, 98) s(s) where s.s < 97 and (s.s % 2 = 0 or s.s = 96)")
+def half_hour_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = drift_params({"hindcast_hours": 24, "time_step_minutes": 15})
+    return spark.createDataFrame([(s,) for s in drift.shown_steps(p)], "step long")
+
+
+@query("with b as (select n_nationkey as k, 70.013::double + n_nationkey as x0, 70.513::double + n_nationkey + n_nationkey / 50.0::double as x1, -29.987::double + 2 * n_nationkey as y0, -28.987::double + 2 * n_nationkey as y1 from nation) select k, ((floor(x1 / 0.3::double) - floor(x0 / 0.3::double) + 1) * (floor(y1 / 0.3::double) - floor(y0 / 0.3::double) + 1))::bigint as pieces, round((x1 - x0) * (y1 - y0), 6) as area from b")
+def land_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons cut by a grid: how many pieces, which together have the polygon's area."""
+    moved = [(k, [(x + 0.013, y + 0.013) for x, y in ring]) for k, ring in _rectangles(spark, sf_dir)]
+    cut = land.pieces(spark, [[ring] for _, ring in moved], 0.3)
+    ring = F.col("rings")[0]
+    sides = F.zip_with(F.slice(ring, F.lit(1), F.size(ring) - 1), F.slice(ring, F.lit(2), F.size(ring) - 1), lambda a, b: a["lon"] * b["lat"] - b["lon"] * a["lat"])
+    area = F.abs(F.aggregate(sides, F.lit(0.0), lambda s, v: s + v)) / 2
+    keys = spark.createDataFrame([(n, k) for n, (k, _) in enumerate(moved)], "piece_id long, k int")
+    return cut.withColumn("area", area).groupBy("piece_id").agg(F.count("*").alias("pieces"), r6(F.sum("area")).alias("area")).join(keys, "piece_id").select("k", "pieces", "area")
+
+
+@query("with c as (select min(l_linenumber)::double as a, max(l_linenumber)::double as b, min(l_partkey % 50)::double as c, max(l_partkey % 50)::double as d from lineitem) select a as lon, c as lat from c union all select a, d from c union all select b, c from c union all select b, d from c")
+def swept_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hull of all cells of a lattice: its corners."""
+    points = load(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("double").alias("lon"), (F.col("l_partkey") % 50).cast("double").alias("lat"))
+    return spark.createDataFrame(drift.swept_hull(points), "lon double, lat double")
+
+
+@query("select n_nationkey as k, 'Polygon' as type, 5 as points, round(70.0::double + n_nationkey, 5) as west, round(-29.0::double + 2 * n_nationkey, 5) as north from nation")
+def geojson_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = []
+    for k, ring in _rectangles(spark, sf_dir):
+        geometry = store.loads(store.dumps(geo.geojson_polygon([ring])))
+        back = geo.shells(geometry)[0]
+        rows.append((k, geometry["type"], len(back), min(x for x, _ in back), max(y for _, y in back)))
+    return spark.createDataFrame(rows, "k int, type string, points int, west double, north double")
