@@ -6,7 +6,7 @@ from collections import defaultdict
 from math import floor
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.functions.geo import Ring, in_rings, inside
@@ -92,10 +92,46 @@ def on_land(points: DataFrame, land: DataFrame | None, cell: float = CELL_DEG) -
     return out.drop("__x", "__y", "__cx", "__cy", "__p", "__hit")
 
 
+def land_distance(points: DataFrame, land: DataFrame, most_km: float = 50.0, cell: float = CELL_DEG) -> DataFrame:
+    """``points`` with ``land_km``, the distance to the nearest land, 0 on land and ``most_km`` at most.
+
+    A point asks the few cells that lie within ``most_km``, by equality; pieces
+    beyond can't be nearer.  Distances to a piece's edges are part of the plan.
+    """
+    lon, lat = F.col("lon"), F.col("lat")
+    kx, ky = 111.0 * F.greatest(F.lit(0.2), F.cos(F.radians(lat))), F.lit(111.0)
+    placed = on_land(points, land, cell).withColumn("__p", F.monotonically_increasing_id())
+
+    def cells(x: Column, reach: Column) -> Column:
+        return F.sequence(F.floor((x - reach) / cell).cast("int"), F.floor((x + reach) / cell).cast("int"))
+
+    def edge_km(a: Column, b: Column) -> Column:
+        ax, ay = (a["lon"] - lon) * kx, (a["lat"] - lat) * ky
+        dx, dy = (b["lon"] - a["lon"]) * kx, (b["lat"] - a["lat"]) * ky
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / F.greatest(dx * dx + dy * dy, F.lit(1e-18))))
+        return F.sqrt(F.pow(ax + t * dx, 2.0) + F.pow(ay + t * dy, 2.0))
+
+    def ring_km(ring: Column) -> Column:
+        n = F.size(ring)
+        return F.array_min(F.zip_with(F.slice(ring, F.lit(1), n - 1), F.slice(ring, F.lit(2), n - 1), edge_km))
+
+    asked = placed.where(~F.col("on_land")).select("__p", "lon", "lat", F.explode(cells(lon, most_km / kx)).alias("cell_x")).select("*", F.explode(cells(lat, most_km / ky)).alias("cell_y"))
+    near = asked.join(land, ["cell_x", "cell_y"]).groupBy("__p").agg(F.min(F.array_min(F.transform("rings", ring_km))).alias("__km"))
+    km = F.when(F.col("on_land"), 0.0).otherwise(F.least(F.lit(float(most_km)), F.coalesce("__km", F.lit(float(most_km)))))
+    return placed.join(near, "__p", "left").withColumn("land_km", km).drop("__p", "__km", "on_land")
+
+
 class LandIndex:
-    """Land pieces in memory, for tasks that move particles and for single points."""
+    """Land pieces in memory, for tasks that move particles and for single points; ``land_distance`` serves tables.
+
+    A reference table of more than ``most_vertices`` is refused: it has to be
+    cut to the area first.
+    """
 
-    def __init__(self, land: DataFrame, cell: float = CELL_DEG):
+    def __init__(self, land: DataFrame, cell: float = CELL_DEG, most_vertices: int = 4_000_000):
+        held = land.agg(F.sum(F.aggregate("rings", F.lit(0), lambda n, r: n + F.size(r)))).first()[0] or 0
+        if held > most_vertices:
+            raise ValueError(f"{held} vertices of land: cut the table to the area, {most_vertices} at most")
         self.cell, self.by_cell = cell, defaultdict(list)
         for r in land.toLocalIterator():
             self.by_cell[r["cell_x"], r["cell_y"]].append([[(p["lon"], p["lat"]) for p in ring] for ring in r["rings"]])
