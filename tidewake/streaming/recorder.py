@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,18 +64,25 @@ def enriched(rows: DataFrame, watermark: str | None = None) -> DataFrame:
         rows = rows.withWatermark("ts", watermark)
     state_schema = "name string, type string, length double"
 
+    names = ("vessel_name", "vessel_type", "length_m")
+
     def update(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         known = state.get if state.exists else (None, None, None)
         for frame in frames:
-            out = []
-            for r in frame.itertuples(index=False):
-                if r.kind == "static":
-                    known = tuple(None if pd.isna(x) else x for x in (r.vessel_name, r.vessel_type, r.length_m))
-                else:
-                    out.append((key[0], r.ts, r.lon, r.lat, r.sog, r.cog, r.heading, known[0] or (None if pd.isna(r.vessel_name) else r.vessel_name), known[1], known[2]))
-            if out:
-                frame = pd.DataFrame(out, columns=["mmsi", "ts", "lon", "lat", "sog", "cog", "heading", "vessel_name", "vessel_type", "length_m"])
-                yield frame.astype({c: "float64" for c in ("lon", "lat", "sog", "cog", "heading", "length_m")})
+            static = (frame["kind"] == "static").to_numpy()
+            # For each row the last static message before it in the frame; before the first one, the state.
+            last = np.maximum.accumulate(np.where(static, np.arange(len(frame)), -1))
+            own = frame["vessel_name"]
+            for c, held in zip(names, known, strict=True):
+                seen = frame[c].astype(object).to_numpy()
+                frame[c] = pd.Series(np.where(last >= 0, seen[last], held), index=frame.index, dtype=object)
+            frame["vessel_name"] = frame["vessel_name"].where(frame["vessel_name"].notna(), own)
+            if static.any():
+                known = tuple(None if pd.isna(x) else x for x in frame.loc[frame.index[last[-1]], list(names)])
+            out = frame.loc[~static, ["mmsi", "ts", "lon", "lat", "sog", "cog", "heading", *names]]
+            if len(out):
+                out = out.astype({c: "float64" for c in ("lon", "lat", "sog", "cog", "heading", "length_m")})
+                yield out.assign(**{c: out[c].where(out[c].notna(), None) for c in names[:2]})
         if known != (None, None, None):
             state.update(known)
 
