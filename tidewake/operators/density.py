@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,13 +122,12 @@ def release_window(steps: DataFrame, cfg: dict = DEFAULTS["hindcast"]["origin_wi
         lo, hi, basis = min(aged), max(aged), "no_convergence_signal_full_horizon"
         peak = hi
 
-    def width() -> float:
-        return rows[hi]["hours"] - rows[lo]["hours"]
-
-    while width() < cfg["min_window_hours"] and (lo > 0 or hi < last):
-        hi += hi < last
-        if width() < cfg["min_window_hours"] and lo > 0:
-            lo -= 1
+    # Steps that the least width lacks: the older side takes the larger half, and either side what the other has no room for.
+    size = rows[1]["hours"] - rows[0]["hours"] if last else 1.0
+    lack = max(0, ceil(cfg["min_window_hours"] / size - 1e-9) - (hi - lo))
+    older = min(last - hi, (lack + 1) // 2)
+    younger = min(lo, lack - older)
+    hi, lo = min(last, hi + lack - younger), lo - younger
     ends = sorted((rows[lo]["epoch"], rows[hi]["epoch"]))
     return {"lo": lo, "hi": hi, "peak": peak, "basis": basis, "release_start": ends[0], "release_end": ends[1], "hours_back": [rows[lo]["hours"], rows[hi]["hours"]], "peak_hours_back": rows[peak]["hours"]}
 
