@@ -63,7 +63,7 @@ NOTICE_FORMS = (
     "this file may be used under the terms of the {} license", "provided under the {} license agreement",
 )
 #: Words that don't open the search for a template's pairs.
-COMMON = frozenset("a all and any by for form from in is of or other related source the this to under use with without work are any person".split())
+COMMON = frozenset("a all and any be by can for form from in is may of or other related source the this to under use with without work are any person".split())
 TOKEN = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 #: A template of fewer words must end where a sentence or line does.
 SHORT_TEMPLATE = 4
@@ -144,7 +144,7 @@ class Classifier:
     @property
     def anchors(self) -> frozenset[str]:
         """Every feature holds one of these words."""
-        return frozenset(next(w for w in g.split() if w not in COMMON) for g in self.features)
+        return frozenset(max((w for w in g.split() if w not in COMMON), key=len) for g in self.features)
 
     def probabilities(self, words: list[str]) -> np.ndarray:
         hit = [self.features[g] for g in _grams(words) if g in self.features]
@@ -304,7 +304,7 @@ def scan(text: str | None, classifier: Classifier, anchors: frozenset[str]) -> l
     if not text:
         return found
     block: list[tuple[int, list[str]]] = []
-    stops: list[bool] = []
+    written: list[str] = []
 
     def unknown(number: int, words: list[str]) -> bool:
         if anchors.isdisjoint(words):
@@ -322,6 +322,7 @@ def scan(text: str | None, classifier: Classifier, anchors: frozenset[str]) -> l
         if not anchors.isdisjoint(words):
             line_of = [k for k, (_, ws) in enumerate(block) for _ in ws]
             taken: set[int] = set()
+            stops = [stop for line in written for stop in ends(line)]
             for p in places(words, classifier, stops):
                 taken.update(range(line_of[p.first], line_of[p.last] + 1))
                 found.append({"paragraph": block[line_of[p.first]][0], "family": p.family, "probability": p.probability, "similarity": p.similarity})
@@ -330,12 +331,12 @@ def scan(text: str | None, classifier: Classifier, anchors: frozenset[str]) -> l
                 if k not in taken and k + 1 not in taken and unknown(block[k][0], block[k][1] + block[k + 1][1]):
                     taken.update((k, k + 1))
         block.clear()
-        stops.clear()
+        written.clear()
 
     for number, line in enumerate(text.split("\n")):
         if words := tokens(line):
             block.append((number, words))
-            stops.extend(ends(line))
+            written.append(line)
         else:
             close()
     close()
