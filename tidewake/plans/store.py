@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections import defaultdict
 from collections.abc import Callable
 from concurrent.futures import Future, ThreadPoolExecutor
 from datetime import datetime, timezone
@@ -56,6 +57,7 @@ class Store:
         self.spark, self.root, self.background = spark, root.rstrip("/"), background
         self._clock = 0
         self._lock = Lock()
+        self._tables = defaultdict(Lock)
         self._pool = ThreadPoolExecutor(workers, thread_name_prefix="job")
         self._pending: dict[str, Future] = {}
 
@@ -73,7 +75,8 @@ class Store:
             rows = self.spark.createDataFrame([tuple(r.get(c) for c in names) for r in rows], schema(table))
         rows = rows.select(*names).withColumn("_version", F.lit(self._version())).withColumn("_deleted", F.lit(deleted))
         writer = rows.write.mode("append")
-        (writer.partitionBy("case_id") if table == "ais_positions" else writer).parquet(self._path(table))
+        with self._tables[table]:  # two commits to one folder at a time remove each other's drafts
+            (writer.partitionBy("case_id") if table == "ais_positions" else writer).parquet(self._path(table))
 
     def _raw(self, table: str) -> DataFrame:
         kinds = schema(table).add("_version", "long").add("_deleted", "boolean")
