@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import chat_format, exact_dedup, html_text, license_scan, line_dedup, mixing, ngram_lm, packing, quality, simhash
+from tidewake.llm import chat_format, exact_dedup, filter_audit, html_text, importance, license_scan, line_dedup, mixing, ngram_lm, packing, quality, simhash
 from tidewake.llm._shared import table
 
 
@@ -71,9 +71,20 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` drawn towards the words of ``benchmark``."""
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from ``documents`` by source, in every order."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mixing, op2_chat_format, op3_packing, op4_html_extraction, op5_line_dedup, op6_license_scan, op7_simhash, op8_quality, op9_ngram_lm, op10_exact_dedup)
+    for f in (op1_mixing, op2_chat_format, op3_packing, op4_html_extraction, op5_line_dedup, op6_license_scan, op7_simhash, op8_quality, op9_ngram_lm, op10_exact_dedup, op11_importance_resampling, op13_filter_audit)
 }
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
@@ -139,4 +150,32 @@ ORACLES: dict[str, str] = {
     "op10_exact_dedup": """select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
         row_number() over (partition by coalesce(text, '') order by doc_id desc nulls last) = 1 as kept, sha256(coalesce(text, '')) as text_sha256
         from documents window g as (partition by coalesce(text, ''))""",
+    "op11_importance_resampling": r"""with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+        b as (select unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from benchmark),
+        dw as (select r, w, count(*) as c from (select r, unnest(ws) as w from d) group by all), bw as (select w, count(*) as c from b group by w),
+        nibble as (select list_transform(range(16), lambda v: list_reduce([v::bigint, 0, 0, 0, 0], lambda a, z: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end)) as t),
+        words as (select w, hex(encode(w)) as x from (select w from dw union select w from bw)),
+        steps as (select w, list_transform(range(length(x)), lambda i: (position(x[i + case when i % 2 = 0 then 2 else 0 end] in '0123456789ABCDEF') - 1)::bigint) as ns from words),
+        bucket as (select w, xor(list_reduce(list_prepend(4294967295::bigint, ns), lambda a, v: xor(a >> 4, t[(xor(a, v) & 15) + 1])), 4294967295) % 10000 as k from steps, nibble),
+        s as (select k, sum(c) as n from dw join bucket using (w) group by k), t as (select k, sum(c) as n from bw join bucket using (w) group by k),
+        gain as (select u.k, floor(1000.0::double * ln((coalesce(t.n, 0)::double + 1) * ((select coalesce(sum(n), 0) from s)::double + 10000) / ((coalesce(s.n, 0)::double + 1) * ((select coalesce(sum(n), 0) from t)::double + 10000))))::bigint as g
+            from (select unnest(range(10000)) as k) u left join s on s.k = u.k left join t on t.k = u.k),
+        weight as (select r, sum(c * g)::bigint as weight from dw join bucket using (w) join gain using (k) group by r),
+        score as (select d.r, doc_id, len(ws)::bigint as n_features, coalesce(weight, 0) as weight,
+            coalesce(weight, 0) + floor(-1000.0::double * ln(-ln((('0x' || sha256('2024:' || coalesce(doc_id::varchar, ''))[1:8])::bigint + 0.5::double) / 4294967296.0::double)))::bigint as score from d left join weight on weight.r = d.r),
+        place as (select *, case when n_features >= 20 then row_number() over (partition by n_features >= 20 order by score desc, doc_id nulls last, n_features) end as p, count(*) filter (n_features >= 20) over () as n from score)
+        select doc_id, n_features, weight, score, case when p <= 10 * n // 100 then p end as rank from place""",
+    "op13_filter_audit": r"""with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, min(doc_id) over (partition by coalesce(text, '')) as low, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+        fails as (select doc_id, part, len(ws) < 200 as a, 100 * len(list_distinct(ws)) < 50 * len(ws) as b, 100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text) as c, regexp_matches(text, '[#$%&*|]') as d,
+            low is not null and coalesce(doc_id > low, true) as e from d),
+        says as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels where doc_id is not null group by doc_id),
+        row_of as (select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic, [a, b, c, d, e] as f, list_sum([a, b, c, d, e]::int[]) as k from fails left join says using (doc_id)),
+        letters as (select unnest([1, 2, 3, 4, 5]) as i),
+        orders as (select [v.i, w.i, x.i, y.i, z.i] as o from letters v, letters w, letters x, letters y, letters z where len(list_distinct([v.i, w.i, x.i, y.i, z.i])) = 5),
+        steps as (select o, array_to_string(list_transform(o, lambda i: 'ABCDE'[i]), '') as filter_order, unnest([1, 2, 3, 4, 5]) as step from orders),
+        alike as (select part, f, k, count(*) as n, sum(good) as good, sum(toxic) as toxic from row_of group by all),
+        met as (select part, filter_order, step, n, good, toxic, k, f[o[step]] as fails, list_bool_or(list_transform(o[1:step - 1], lambda i: f[i])) is true as gone from alike, steps)
+        select part, filter_order, step::int as step, coalesce(sum(n) filter (not fails and not gone), 0)::bigint as kept, coalesce(sum(n) filter (fails and not gone), 0)::bigint as removed, coalesce(sum(n) filter (fails and gone), 0)::bigint as redundant,
+            coalesce(sum(n) filter (fails and k = 1), 0)::bigint as unique_fails, coalesce(sum(good) filter (fails and not gone), 0)::bigint as good_lost, coalesce(sum(toxic) filter (fails and not gone), 0)::bigint as toxic_lost,
+            coalesce(sum(n * 120 / k) filter (fails), 0)::bigint as shapley from met group by all""",
 }

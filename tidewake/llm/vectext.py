@@ -7,6 +7,7 @@ UTF-8 never needs decoding.  All functions work on a bounded stretch of bytes;
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,9 +87,9 @@ class Words:
     ``row`` holds, per word, the position in the stretch's list of rows.
     """
 
-    def __init__(self, joined: bytes, n_rows: int):
+    def __init__(self, joined: bytes, n_rows: int, apart: np.ndarray = _SPACE):
         raw = np.frombuffer(joined + b"\n", np.uint8)
-        space = _SPACE[raw]
+        space = apart[raw]
         before = np.empty_like(space)
         before[0] = True
         before[1:] = space[:-1]
@@ -115,13 +116,42 @@ class Words:
         return len(self.end)
 
 
-def words_of(rows: list[int], joined: bytes, texts: list[memoryview]) -> Words:
-    words = Words(joined, len(rows))
+def words_of(rows: list[int], joined: bytes, texts: list[memoryview], apart: np.ndarray = _SPACE) -> Words:
+    """Words between the bytes that ``apart``, white space as a rule, marks."""
+    words = Words(joined, len(rows), apart)
     if len(rows) != 1:
         words.set_rows(np.fromiter((len(texts[r]) for r in rows), np.int64, len(rows)))
     return words
 
 
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, table >> 1 ^ np.uint32(0xEDB88320), table >> 1).astype(np.uint32)
+    return table
+
+
+_CRC = _crc_table()
+#: Longer words are hashed one by one.
+_CRC_AT_ONCE = 64
+
+
+def crc32(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Unsigned CRC-32 of data[start : start + length] for every pair."""
+    crc = np.full(len(start), 0xFFFFFFFF, np.uint32)
+    live = np.flatnonzero((length > 0) & (length <= _CRC_AT_ONCE))
+    step = 0
+    while len(live):
+        c = crc[live]
+        crc[live] = _CRC[(c ^ data[start[live] + step]) & np.uint32(255)] ^ (c >> np.uint32(8))
+        step += 1
+        live = live[length[live] > step]
+    crc = ~crc
+    for i in np.flatnonzero(length > _CRC_AT_ONCE):
+        crc[i] = zlib.crc32(data[start[i] : start[i] + length[i]])
+    return crc
+
+
 def _rotl(x: np.ndarray, r: int) -> np.ndarray:
     return (x << np.uint64(r)) | (x >> np.uint64(64 - r))
 
