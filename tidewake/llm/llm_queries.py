@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import chat_format, exact_dedup, filter_audit, html_text, importance, license_scan, line_dedup, mixing, ngram_lm, packing, quality, simhash
+from tidewake.llm import chat_format, exact_dedup, filter_audit, html_text, importance, jaccard_join, license_scan, line_dedup, mixing, ngram_lm, packing, quality, simhash
 from tidewake.llm._shared import table
 
 
@@ -77,6 +77,12 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of ``documents`` whose sets of four-word shingles are alike to 85 %."""
+    found = jaccard_join.similar_components(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove from ``documents`` by source, in every order."""
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -84,7 +90,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mixing, op2_chat_format, op3_packing, op4_html_extraction, op5_line_dedup, op6_license_scan, op7_simhash, op8_quality, op9_ngram_lm, op10_exact_dedup, op11_importance_resampling, op13_filter_audit)
+    for f in (op1_mixing, op2_chat_format, op3_packing, op4_html_extraction, op5_line_dedup, op6_license_scan, op7_simhash, op8_quality, op9_ngram_lm, op10_exact_dedup, op11_importance_resampling, op12_jaccard_join, op13_filter_audit)
 }
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
@@ -165,6 +171,17 @@ ORACLES: dict[str, str] = {
             coalesce(weight, 0) + floor(-1000.0::double * ln(-ln((('0x' || sha256('2024:' || coalesce(doc_id::varchar, ''))[1:8])::bigint + 0.5::double) / 4294967296.0::double)))::bigint as score from d left join weight on weight.r = d.r),
         place as (select *, case when n_features >= 20 then row_number() over (partition by n_features >= 20 order by score desc, doc_id nulls last, n_features) end as p, count(*) filter (n_features >= 20) over () as n from score)
         select doc_id, n_features, weight, score, case when p <= 10 * n // 100 then p end as rank from place""",
+    "op12_jaccard_join": r"""with recursive d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+        s as (select r, doc_id, case when len(ws) = 0 then [] when len(ws) < 4 then [array_to_string(ws, ' ')]
+            else list_distinct(list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3])) end as sh from d),
+        g as (select *, len(sh)::bigint as n, case when len(sh) > 0 then first_value(r) over (partition by list_sort(sh) order by r) else r end as rep from s),
+        x as (select rep, n, unnest(sh) as w from g where r = rep),
+        links as (select a.rep as a, b.rep as b from x a join x b on a.w = b.w and a.rep < b.rep and a.n * 100 >= 85 * b.n and b.n * 100 >= 85 * a.n group by a.rep, b.rep, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        ends as (select a, b from links union select b, a from links),
+        reach as (select a, b from ends union select r.a, e.b from reach r join ends e on r.b = e.a),
+        class as (select a, least(a, min(b)) as label from reach group by a),
+        named as (select g.*, coalesce(label, rep) as label from g left join class on class.a = g.rep)
+        select doc_id, n as n_shingles, case when n > 0 then min(doc_id) over (partition by label) else doc_id end as component_id from named""",
     "op13_filter_audit": r"""with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, min(doc_id) over (partition by coalesce(text, '')) as low, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
         fails as (select doc_id, part, len(ws) < 200 as a, 100 * len(list_distinct(ws)) < 50 * len(ws) as b, 100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text) as c, regexp_matches(text, '[#$%&*|]') as d,
             low is not null and coalesce(doc_id > low, true) as e from d),
