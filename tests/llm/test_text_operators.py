@@ -3,6 +3,7 @@ import heapq
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -315,9 +316,102 @@ def test_extraction_of_odd_tables(spark):
     assert sorted(((r["page_id"] or 0), r["n_chars"]) for r in got) == [(0, 0), (1, 1), (1, 1), (2, 0), (3, 999_999)]
 
 
-def test_odd_pages_end():
-    for page in ("<div>" * 5000 + "x", "<a href='" * 2000, "<!--" * 1000, "&" * 5000, "</p>" * 5000, "<p" * 3000):
-        html_text.main_text(page)
+HOSTILE = [
+    "<a " * 400_000, "<a '" * 400_000, "<a b='" * 400_000, '<a x="1>2" ' * 100_000 + "b='", "<a b=>'" * 100_000, "<script>" + "</script" * 200_000, "</a " * 400_000, "<a" + " " * 400_000, "<!" * 400_000,
+    "<div>" * 50_000 + "x", "<li>" * 40_000 + "<p>" * 40_000, "<i><div>" * 30_000 + "</i>" * 30_000, "<!--" * 300_000, "&" * 400_000, "<p" * 400_000,
+]
+
+
+@pytest.mark.parametrize("page", HOSTILE, ids=lambda p: p[:12])
+def test_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 8
+
+
+def test_tags_that_never_end():
+    assert html_text.main_text("<p>a text</p><p>more <a href=x") == "a text\nmore <a href=x"
+    assert html_text.main_text("<p>one <a title='it's'>two</a> don't three</p>") == "one two don't three"
+    assert html_text.main_text("<p title='open>first</p><p>second</p>") == "first\nsecond"
+
+
+def plain_roots(tree):
+    """The choice of main text with every sum made anew from the parents alone."""
+    n = len(tree.tag)
+    cut = [False] * n
+    for i in range(n):
+        cut[i] = tree.side[i] or i > 0 and cut[tree.parent[i]]
+
+    def above(i):
+        while i >= 0:
+            yield i
+            i = tree.parent[i]
+
+    below = [[j for j in range(n) if not cut[j] and i in above(j)] for i in range(n)]
+    own = [sum(len("".join(x.split())) for x in tree.parts[i] if isinstance(x, str)) for i in range(n)]
+    chars = [sum(own[j] for j in b) for b in below]
+    linked = [sum(own[j] for j in b if any(tree.tag[k] == "a" and i in above(k) for k in above(j))) for i, b in enumerate(below)]
+    tags = [len(b) - (i in b) for i, b in enumerate(below)]
+    links = [sum(tree.tag[j] == "a" for j in b) for b in below]
+
+    def density(i):
+        if not chars[i]:
+            return 0.0
+        lc, t, lt = max(linked[i], 1), max(tags[i], 1), max(links[i], 1)
+        base = math.log(chars[i] / max(chars[i] - linked[i], 1) * linked[i] + linked[0] / max(chars[0], 1) * chars[i] + math.e)
+        worth = math.log(chars[i] / lc * t / lt + 1e-9) / (math.log(base) if base > 1 else 1)
+        return max(0.0, chars[i] / t * worth)
+
+    dense = [density(i) for i in range(n)]
+    total = [sum(dense[j] for j in range(n) if tree.parent[j] == i) for i in range(n)]
+
+    def best(i):
+        """The container of the largest sum at or below a node, the outer one of equals."""
+        inside = [j for j in below[i] if tree.tag[j] in html_text.CONTAINERS]
+        return min(inside, key=lambda j: (-round(total[j], 9), len(list(above(j))), j)) if inside else i
+
+    top = best(0)
+    threshold = min([dense[j] for j in above(top) if dense[j] > 0] or [0.0])
+    roots = {top}
+    for i in range(n):
+        if not cut[i] and dense[i] > 0 and dense[i] >= threshold - 1e-9:
+            roots.add(best(i) if total[best(i)] > 0 else i)
+    return roots
+
+
+def page_without_names(draw):
+    """Nested elements with text, links and lists; no article, no class, no id."""
+
+    def block(depth):
+        kind = draw.random()
+        if depth > 3 or kind < 0.45:
+            words = " ".join("".join(draw.choice("abcdefg") for _ in range(draw.randrange(2, 8))) for _ in range(draw.randrange(1, 60)))
+            return f"<{(t := draw.choice(['p', 'p', 'h2', 'blockquote']))}>{words}</{t}>"
+        if kind < 0.6:
+            return "<ul>" + "".join(f"<li><a href=x>{draw.choice(['more', 'all news', 'page'])} {k}</a></li>" for k in range(draw.randrange(1, 8))) + "</ul>"
+        t = draw.choice(["div", "section", "table"])
+        inner = "".join(block(depth + 1) for _ in range(draw.randrange(1, 5)))
+        return f"<{t}>{f'<tr><td>{inner}</td></tr>' if t == 'table' else inner}</{t}>"
+
+    return "<html><body>" + "".join(block(0) for _ in range(draw.randrange(1, 6))) + "</body></html>"
+
+
+def test_choice_of_main_text_by_brute_force():
+    draw = random.Random(11)
+    chosen = 0
+    for _ in range(300):
+        tree = html_text.parse(page_without_names(draw))
+        roots = html_text._content(tree)
+        openings = {k for i, r in enumerate(roots) if r and i and tree.tag[i] in html_text.CONTAINERS for k in html_text._openings(tree, i)}
+        assert {i for i, r in enumerate(roots) if r} == plain_roots(tree) | openings
+        chosen += not roots[0]
+    assert chosen > 200
+
+
+def test_title_beside_the_densest_container():
+    text = "word and word. " * 40
+    page = f"<body><ul><li><a href=a>Home</a></li><li><a href=b>All news</a></li></ul><div id=wrap><h1>Title of it</h1><p>By A. Writer</p><div class=content><p>{text}</p><p>{text}</p></div></div><div class=discussion><p>{text}</p></div></body>"
+    assert html_text.main_text(page) == f"Title of it\nBy A. Writer\n{text.strip()}\n{text.strip()}"
 
 
 # ---------------------------------------------------------------- licences
@@ -574,7 +668,7 @@ def test_only_mounted_folders():
 @pytest.mark.parametrize("name", sorted(llm_queries.ORACLES))
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark", "labels"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     df = llm_queries.QUERIES[name](spark, DATA)
     cur = con.execute(llm_queries.ORACLES[name])

@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 from math import e, log
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,8 +56,8 @@ SIDE_WORDS = frozenset(
     "alert popup modal overlay newsletter subscribe subscription signup sidebar sidenav rail widget widgets menu nav navbar navigation breadcrumb breadcrumbs "
     "footer foot comment comments commentlist respond disqus replies share sharing social related recommended recommendations login search pager pagination toolbar paywall skip".split()
 )
-#: These name a page's head, unless they stand inside the article.
-HEAD_WORDS = frozenset("header masthead topbar".split())
+#: These name a page's head or its readers' talk, unless they stand inside the article.
+HEAD_WORDS = frozenset("discussion header masthead topbar".split())
 #: A name with other words besides (search-methods, related-work) is not a side element's.
 PLAIN_WORDS = frozenset(
     "a and area at bar bg block body bottom box btn buttons card class col column container content div el element feed fixed float form global group hidden holder id inner in item items js "
@@ -68,16 +69,47 @@ SOFT_WORDS = frozenset("alert banner menu notice popup promo recommended related
 ARTICLE_TAGS = frozenset("article main".split())
 #: Only these can be the subtree of the largest sum: a text's own blocks can't stand for all of it.
 CONTAINERS = frozenset("html body main article section div center table tbody tr td".split())
+#: Right before main text these begin it: its title, byline and lead.
+OPENINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header p blockquote".split())
 
 MARKUP = re.compile(
-    r"""<!--(?:>|->|(?P<comment>.*?)(?:--!?>|\Z))|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?/][^>]*+(?:>|\Z)""",
+    r"""<!--(?:>|->|(?P<comment>.*?)(?:--!?>|\Z))|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?/][^>]*+(?:>|\Z)""",
     re.S,
 )
+#: The rest of a tag: a quote opens a value only after an equals sign.
+ATTRS = re.compile(r"""((?:[^=>]|=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])))*+)>""")
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAME_PART = re.compile(r"[a-z]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+class _Tags:
+    """Ends of tags.
+
+    A value whose quote is never closed would hide the rest of the page.  Once
+    such a tag is met, tags end at the next ``>`` whatever their quotes, so the
+    page is read through for attributes once and a second time at most.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.quotes = page, True
+
+    def end(self, at: int) -> tuple[str, int] | None:
+        """The attributes from ``at`` on and where the tag ends; None if no ``>`` follows."""
+        if self.quotes:
+            if found := ATTRS.match(self.page, at):
+                return found[1], found.end()
+            self.quotes = False
+        stop = self.page.find(">", at)
+        return None if stop < 0 else (self.page[at:stop], stop + 1)
+
+    def after_raw(self, name: str, at: int) -> int:
+        """Where the text of a raw element that begins at ``at``, with its end tag, is over."""
+        close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(self.page, at)
+        stop = self.page.find(">", close.end()) if close else -1
+        return stop + 1 if stop >= 0 else len(self.page)
+
+
 class _Tree:
     """Nodes in page order; parts of a node are strings and numbers of children."""
 
@@ -86,6 +118,7 @@ class _Tree:
         self.parent = [-1]
         self.parts: list[list[str | int]] = [[]]
         self.side = [False]
+        self.place = [0]  # among the parts of the parent
 
 
 def _names_side(name: str, value: str, inside_article: bool) -> bool:
@@ -156,7 +189,7 @@ def parse(page: str) -> _Tree:
     """The page's tree, with open paragraphs, list items, cells and controls closed as browsers do."""
     tree = _Tree()
     tag, parent, parts, side = tree.tag, tree.parent, tree.parts, tree.side
-    still, at, end, body = _Open(tree), 0, len(page), False
+    still, at, end, body, tags = _Open(tree), 0, len(page), False, _Tags(page)
     while at < end:
         found = MARKUP.search(page, at)
         stop = found.start() if found else end
@@ -169,14 +202,17 @@ def parse(page: str) -> _Tree:
             parts[still.stack[-1]].append(text)
         if not (name := found["name"]):
             continue
+        if (rest := tags.end(at)) is None:
+            # No tag can end any more: what is left is text.
+            parts[still.stack[-1]].append(html.unescape(page[stop:]))
+            break
+        attrs, at = rest
         name = name.lower()
         if found["close"]:
             still.close({name}, frozenset() if name in BLOCK else BLOCK, False)
             continue
-        attrs = found["attrs"]
         if name in RAW:
-            closed = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            at = closed.end() if closed else end
+            at = tags.after_raw(name, at)
             continue
         if name not in IN_HEAD and still.has({"head"}):
             still.close({"head"}, frozenset(), False)
@@ -194,6 +230,7 @@ def parse(page: str) -> _Tree:
         parent.append(still.stack[-1])
         parts.append([])
         side.append(_is_side(name, attrs, still.has(ARTICLE_TAGS) > 0))
+        tree.place.append(len(parts[still.stack[-1]]))
         parts[still.stack[-1]].append(node)
         if name not in VOID and not (attrs.endswith("/") and still.has(FOREIGN)):
             still.push(node)
@@ -252,9 +289,26 @@ def _content(tree: _Tree) -> list[bool]:
             found = best[i]
             roots[found if total[found] > 0 else i] = True
     roots[top] = True
+    for i in np.flatnonzero(roots).tolist():
+        if tree.tag[i] in CONTAINERS and i:
+            for before in _openings(tree, i):
+                roots[before] = True
     return roots
 
 
+def _openings(tree: _Tree, node: int) -> Iterator[int]:
+    """Titles and paragraphs among the siblings right before ``node``, back to the first other element or text."""
+    parts = tree.parts[tree.parent[node]]
+    for part in reversed(parts[: tree.place[node]]):
+        if isinstance(part, str):
+            if not part.isspace():
+                return
+        elif tree.tag[part] in OPENINGS and not tree.side[part]:
+            yield part
+        elif not tree.side[part] and tree.tag[part] not in VOID:
+            return
+
+
 def main_text(page: str | None) -> str:
     """The page's main text: one line for every block, in page order; empty if there is none."""
     if not page:
