@@ -87,9 +87,10 @@ def test_blocks_of_a_crowded_key(spark, monkeypatch):
 
 def meet(a, b, bands, often):
     by = defaultdict(list)
-    for k, r in zip(*jaccard_join.set_keys(b, bands, often, 10_000), strict=True):
+    of_a, of_b = jaccard_join.set_keys([a, b], bands, often, 10_000)
+    for k, r in zip(*of_b, strict=True):
         by[int(k)].append(r)
-    return any(jaccard_join._may_meet(np.array([r]), np.array([q]))[0] for k, r in zip(*jaccard_join.set_keys(a, bands, often, 10_000), strict=True) for q in by[int(k)])
+    return any(jaccard_join._may_meet(np.array([r]), np.array([q]))[0] for k, r in zip(*of_a, strict=True) for q in by[int(k)])
 
 
 @pytest.mark.parametrize("percent", [85, 70])
@@ -119,7 +120,7 @@ def test_budgets_cost_least():
         cost = draw.integers(1, 9, m).astype(float)
         second = cost[:d] + draw.integers(0, 9, d)
         need = int(draw.integers(1, m + 1))
-        got = jaccard_join.budgets(cost, second, need)
+        got = jaccard_join.budgets(cost[None, :], second[None, :], np.array([need]))[0]
 
         def price(b):
             return sum(cost[i] * (x > 0) + (second[i] if x > 1 else 0) for i, x in enumerate(b))

@@ -49,6 +49,8 @@ FEW_SEGMENTS = 8
 SMALL_GROUP = 4
 #: Sets of one block of a crowded key.
 BLOCK = 4096
+#: Rows that a task works on at once.
+SLICE = 512
 
 #: Bits of a key's role: a one-deletion neighbour, a probe, one of budget 2, not an index entry.
 DELETED, ACTIVE, REACHING, VISITING = 1, 2, 4, 8
@@ -57,6 +59,17 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
+def _hashed(words: np.ndarray, first: np.ndarray, count: int) -> np.ndarray:
+    """64 bits for each run of ``count`` words, from the words' own hashes."""
+    h = np.full(len(first), count, np.uint64)
+    for j in range(count):
+        h = (h ^ words[first + j]) * _MIX
+        h ^= h >> np.uint64(31)
+        h *= _ODD
+        h ^= h >> np.uint64(29)
+    return h
+
+
 def shingle_sets(texts: list[memoryview], size: int = SHINGLE_WORDS) -> list[np.ndarray]:
     """The sorted hashes of each text's distinct shingles of lower-cased words."""
     found: list[list[np.ndarray]] = [[] for _ in texts]
@@ -64,22 +77,24 @@ def shingle_sets(texts: list[memoryview], size: int = SHINGLE_WORDS) -> list[np.
         words = vectext.words_of(rows, joined, texts)
         if not len(words):
             continue
+        hashes = vectext.xxh64(words.data, words.start, words.end - words.start)
         count = np.bincount(words.row, minlength=len(rows))
         begin = np.cumsum(count) - count
-        shingles = np.maximum(count - (size - 1), np.minimum(count, 1))
-        if more or len(texts[rows[0]]) > vectext.STRETCH:
-            shingles = np.maximum(count - (size - 1), 0)  # the last words are carried on
-        ends = np.cumsum(shingles)
-        owner = np.repeat(np.arange(len(rows)), shingles)
-        first = begin[owner] + np.arange(len(owner)) - (ends - shingles)[owner]
-        last = np.minimum(first + size - 1, begin[owner] + count[owner] - 1)
-        h = vectext.xxh64(words.data, words.start[first], words.end[last] - words.start[first])
-        for k in np.flatnonzero(shingles):
-            found[rows[k]].append(h[ends[k] - shingles[k] : ends[k]])
+        first = np.arange(len(words) - size + 1)
+        first = first[words.row[first] == words.row[first + size - 1]] if len(first) else first
+        h = _hashed(hashes, first, size)
+        ends = np.cumsum(np.maximum(count - (size - 1), 0))
+        for k in np.flatnonzero(count >= size):
+            found[rows[k]].append(h[ends[k] - count[k] + size - 1 : ends[k]])
+        if not more and len(texts[rows[0]]) <= vectext.STRETCH:  # else the last words are carried on
+            for k in np.flatnonzero((count > 0) & (count < size)):
+                found[rows[k]].append(_hashed(hashes, begin[k : k + 1], int(count[k])))
     for i, text in enumerate(texts):
-        if not found[i] and len(text) > vectext.STRETCH and (left := b" ".join(bytes(text).split())):
-            data = vectext._LOWER[np.frombuffer(left + bytes(32), np.uint8)]
-            found[i].append(vectext.xxh64(data, np.array([0]), np.array([len(left)])))
+        if not found[i] and len(text) > vectext.STRETCH and (left := bytes(text).split()):
+            data = vectext._LOWER[np.frombuffer(b" ".join(left) + bytes(32), np.uint8)]
+            length = np.array([len(w) for w in left])
+            start = np.cumsum(length + 1) - length - 1
+            found[i].append(_hashed(vectext.xxh64(data, start, length), np.array([0]), len(left)))
     none = np.zeros(0, np.uint64)
     return [np.unique(np.concatenate(x)) if x else none for x in found]
 
@@ -123,51 +138,68 @@ class Bands:
         return m if m <= FEW_SEGMENTS else max(2, m // 16)
 
 
-def budgets(cost: np.ndarray, second: np.ndarray, need: int) -> np.ndarray:
-    """0, 1 or 2 for every segment, ``need`` in all, of least cost; ``second`` covers the first segments only.
+def budgets(cost: np.ndarray, second: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """0, 1 or 2 for every segment of every row, ``need`` in all, of least cost; ``second`` covers the first segments only.
 
     A second unit never costs less than the first of its segment.
     """
-    units = np.concatenate([cost, np.maximum(second, cost[: len(second)])])
-    taken = np.argsort(units, kind="stable")[:need]
-    out = np.zeros(len(cost), np.int64)
-    np.add.at(out, np.where(taken < len(cost), taken, taken - len(cost)), 1)
+    m, d = cost.shape[1], second.shape[1]
+    units = np.concatenate([cost, np.maximum(second, cost[:, :d])], axis=1)
+    taken = np.zeros(units.shape, np.int64)
+    np.put_along_axis(taken, np.argsort(units, axis=1, kind="stable"), (np.arange(m + d) < need[:, None]).astype(np.int64), axis=1)
+    out = taken[:, :m]
+    out[:, :d] += taken[:, m:]
     return out
 
 
-def set_keys(tokens: np.ndarray, bands: Bands, frequency: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, roles) of a set in its own band and the lower ones that it probes."""
-    size = len(tokens)
-    own = bands.of(size)
-    often = frequency[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.float64)
-    keys, roles = [], []
-    for band in bands.probed(size):
-        m = bands.segments[band]
-        segment = ((tokens >> np.uint64(24)) % np.uint64(m)).astype(np.int64)
-        order = np.argsort(segment, kind="stable")
-        inside, of = tokens[order], segment[order]
-        n = np.bincount(of, minlength=m)
-        end = np.cumsum(n)
-        upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(inside, dtype=np.uint64)])
-        subset = upto[end] - upto[end - n]
-        cost = np.full(m, float(n_docs) + 2)
-        live = np.flatnonzero(n)
-        cost[live] = 1 + np.minimum.reduceat(often[order], (end - n)[live])
-        d = bands.designated(band)
-        # A deletion may leave nothing, or leave out the rarest shingle.
-        second = np.where(n[:d] > 1, (n[:d] + 1) * cost[:d], 2 * (float(n_docs) + 2))
-        budget = budgets(cost, second, bands.most_apart(size + min(size, bands.high[band])) + 1)
-        role = np.where(budget > 0, ACTIVE, 0) | np.where(budget > 1, REACHING, 0)
-        place = (np.arange(m, dtype=np.uint64) << np.uint64(16) | np.uint64(band)) * _ODD
-        less = np.flatnonzero(of < d)
-        if band < own:
-            role |= VISITING
-            less = less[budget[of[less]] > 1]
-        shown = np.flatnonzero((role & ACTIVE > 0) | (band == own))
-        keys += [subset[shown] ^ place[shown], (subset[of[less]] - inside[less]) ^ place[of[less]]]
-        roles += [role[shown], DELETED | role[of[less]] & VISITING | np.where(budget[of[less]] > 1, ACTIVE, 0)]
-    k = np.concatenate(keys) * _MIX
-    return k ^ k >> np.uint64(29), np.concatenate(roles).astype(np.uint8)
+def _band_keys(band: int, sets: list[np.ndarray], own: np.ndarray, bands: Bands, frequency: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in ``sets``, key, role) of sets that probe a band, which is some of them's own."""
+    m, d, r = bands.segments[band], bands.designated(band), len(sets)
+    size = np.array([len(t) for t in sets])
+    tokens, doc = np.concatenate(sets), np.repeat(np.arange(r), size)
+    cell = doc * m + ((tokens >> np.uint64(24)) % np.uint64(m)).astype(np.int64)
+    order = np.argsort(cell, kind="stable")
+    tokens, cell = tokens[order], cell[order]
+    n = np.bincount(cell, minlength=r * m)
+    end = np.cumsum(n)
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens, dtype=np.uint64)])
+    subset = upto[end] - upto[end - n]
+    dear = float(n_docs) + 2
+    cost, live = np.full(r * m, dear), np.flatnonzero(n)
+    cost[live] = 1.0 + np.minimum.reduceat(frequency[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)], (end - n)[live])
+    cost, n = cost.reshape(r, m), n.reshape(r, m)
+    # A deletion may leave nothing, or leave out the rarest shingle.
+    second = np.where(n[:, :d] > 1, (n[:, :d] + 1) * cost[:, :d], 2 * dear)
+    need = (size + np.minimum(size, bands.high[band])) * (100 - bands.percent) // (100 + bands.percent) + 1
+    budget = budgets(cost, second, need)
+    role = np.where(budget > 0, ACTIVE, 0) | np.where(budget > 1, REACHING, 0) | np.where(own, 0, VISITING)[:, None]
+    place = (np.arange(m, dtype=np.uint64) << np.uint64(16) | np.uint64(band)) * _ODD
+    shown, segment = np.nonzero((budget > 0) | own[:, None])
+    budget = budget.ravel()
+    less = np.flatnonzero((cell % m < d) & (own[cell // m] | (budget[cell] > 1)))
+    at = cell[less]
+    keys = np.concatenate([subset[shown * m + segment] ^ place[segment], (subset[at] - tokens[less]) ^ place[at % m]]) * _MIX
+    roles = np.concatenate([role[shown, segment], DELETED | np.where(own[at // m], 0, VISITING) | np.where(budget[at] > 1, ACTIVE, 0)])
+    return np.concatenate([shown, at // m]), keys ^ keys >> np.uint64(29), roles.astype(np.uint8)
+
+
+def set_keys(sets: list[np.ndarray], bands: Bands, frequency: np.ndarray, n_docs: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(keys, roles) of each set, none of them empty, in its own band and the lower ones that it probes."""
+    probing: dict[int, list[int]] = {}
+    for i, t in enumerate(sets):
+        for band in bands.probed(len(t)):
+            probing.setdefault(band, []).append(i)
+    of, keys, roles = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
+    for band, members in probing.items():
+        own = np.array([len(sets[i]) >= bands.low[band] and len(sets[i]) <= bands.high[band] for i in members])
+        who, k, r = _band_keys(band, [sets[i] for i in members], own, bands, frequency, n_docs)
+        of.append(np.asarray(members)[who])
+        keys.append(k)
+        roles.append(r)
+    who = np.concatenate(of)
+    order = np.argsort(who, kind="stable")
+    cuts = np.cumsum(np.bincount(who, minlength=len(sets)))[:-1]
+    return list(zip(np.split(np.concatenate(keys)[order], cuts), np.split(np.concatenate(roles)[order], cuts), strict=True)) if sets else []
 
 
 def _may_meet(role_a: np.ndarray, role_b: np.ndarray) -> np.ndarray:
@@ -181,16 +213,20 @@ def _sizes_fit(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(a, b).astype(np.int64) >= percent * np.maximum(a, b).astype(np.int64)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of so few rows that a task holds little beside its input."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, SLICE):
+            yield whole.slice(at, SLICE)
+
+
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for every text and, at a task's end, its counts of the sketch in chunks."""
     names = ["id", "n", "h1", "h2", "chunk", "counts"]
     counts = np.zeros(SKETCH, np.int64)
-    for batch in batches:
+    for batch in _slices(batches):
         sets = shingle_sets(vectext.text_bytes(batch.column(1)))
-        for tokens in sets:
-            counts += np.bincount((tokens & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) if len(tokens) > SKETCH // 8 else 0
-            if len(tokens) <= SKETCH // 8:
-                np.add.at(counts, (tokens & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+        counts += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
         digests = [_digest(t) for t in sets]
         none = pa.nulls(len(sets), pa.int32())
         yield pa.record_batch(
@@ -206,11 +242,11 @@ def _key_batches(held, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency, n_docs = held.value
         bands = Bands(percent)
-        for batch in batches:
+        for batch in _slices(batches):
             sets = shingle_sets(vectext.text_bytes(batch.column(1)))
             live = [i for i, t in enumerate(sets) if len(t)]
             digests = [_digest(sets[i]) for i in live]
-            packed = [set_keys(sets[i], bands, frequency, n_docs) for i in live]
+            packed = set_keys([sets[i] for i in live], bands, frequency, n_docs)
             sides = [
                 batch.column(0).take(pa.array(live, pa.int64())), pa.array([len(sets[i]) for i in live], pa.int32()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()),
                 pa.array([k.tobytes() for k, _ in packed], pa.binary()), pa.array([r.tobytes() for _, r in packed], pa.binary()),
@@ -221,14 +257,12 @@ def _key_batches(held, percent: int):
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 256):
-            batch = whole.slice(at, 256)
-            ks = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
-            times = [len(x) for x in ks]
-            sid, n = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), times) for i in (0, 1))
-            role = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).astype(np.int8)
-            yield pa.record_batch([pa.array(np.concatenate(ks or [np.zeros(0, np.int64)])), pa.array(sid), pa.array(n), pa.array(role)], names=["k", "sid", "n", "role"])
+    for batch in _slices(batches):
+        k = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
+        roles = batch.column(3).to_pylist()
+        times = [len(x) for x in roles]
+        sid, n = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), times) for i in (0, 1))
+        yield pa.record_batch([pa.array(k), pa.array(sid), pa.array(n), pa.array(np.frombuffer(b"".join(roles), np.int8))], names=["k", "sid", "n", "role"])
 
 
 def _pair_batches(percent: int):
@@ -311,7 +345,7 @@ def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]
 
 
 def _token_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         sets = shingle_sets(vectext.text_bytes(batch.column(0)))
         digests = [_digest(t) for t in sets]
         yield pa.record_batch([pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([t.tobytes() for t in sets], pa.binary())], names=["h1", "h2", "tokens"])
