@@ -17,9 +17,10 @@ with one shingle deleted.
 
 Sets that share a key are verified on their whole shingles.  Only connected
 components are asked for, so a crowded key first verifies all its sets against
-one pivot; only those of different components are then compared with each
-other, block by block, if their distances to the pivot allow it (the Jaccard
-distance is a metric).
+one pivot.  Then, as long as that joins many, those outside the key's largest
+component are verified against a few drawn members of it.  What is still of
+different components is compared with each other, block by block, if sizes and
+distances to the pivot allow it (the Jaccard distance is a metric).
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewake.llm import vectext
@@ -49,6 +50,8 @@ FEW_SEGMENTS = 8
 SMALL_GROUP = 4
 #: Sets of one block of a crowded key.
 BLOCK = 4096
+#: Members of a key's largest component that others are verified against in a turn.
+ANCHORS = 3
 #: Rows that a task works on at once.
 SLICE = 512
 
@@ -352,43 +355,44 @@ def _token_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that end in two packed sets, with the number of shingles in both and of both together."""
     for batch in batches:
-        both = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+        x_at, y_at = batch.num_columns - 2, batch.num_columns - 1
         shared, sizes = [], []
-        for x, y in both:
+        for x, y in zip(batch.column(x_at).to_pylist(), batch.column(y_at).to_pylist(), strict=True):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             at = np.searchsorted(y, x)
             at[at == len(y)] = 0
             shared.append(int((y[at] == x).sum()))
             sizes.append(len(x) + len(y))
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(shared, pa.int32()), pa.array(sizes, pa.int32())], names=["a", "b", "shared", "together"])
+        kept = [batch.column(i) for i in range(x_at)]
+        yield pa.record_batch([*kept, pa.array(shared, pa.int32()), pa.array(sizes, pa.int32())], names=[*batch.schema.names[:x_at], "shared", "together"])
 
 
 def _crossed(percent: int):
     """Pairs of one block, or of two, of a crowded key that are of different components and may be similar."""
 
     def run(group: pa.Table) -> pa.Table:
-        sid, n, role, label, block = (group.column(c).to_numpy() for c in ("sid", "n", "role", "label", "block"))
-        far = group.column("far").to_numpy()
+        sid, n, role, label, block, far = (group.column(c).to_numpy() for c in ("sid", "n", "role", "label", "block", "far"))
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        left, right = (np.flatnonzero(block == i), np.flatnonzero(block == j))
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        out = [np.zeros((4, 0), np.int64)]
         for x in left:
             y = right[right > x] if i == j else right
             ok = (label[y] != label[x]) & _sizes_fit(n[y], np.full(len(y), n[x]), percent) & _may_meet(role[y], np.full(len(y), role[x]))
             ok &= ~(np.abs(far[y] - far[x]) > 1 - percent / 100 + 1e-9)  # unknown distances are NaN and exclude nothing
-            a.append(np.minimum(sid[x], sid[y[ok]]))
-            b.append(np.maximum(sid[x], sid[y[ok]]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+            y = y[ok]
+            out.append(np.stack([np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y]), np.minimum(label[x], label[y]), np.maximum(label[x], label[y])]))
+        return pa.table(dict(zip(("a", "b", "la", "lb"), np.concatenate(out, axis=1), strict=True)))
 
     return run
 
 
 def verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(a, b, shared, together) of every pair: common shingles and both sizes added up."""
+    """Pairs (a, b and other long columns) with ``shared``, their common shingles, and ``together``, both sizes added up."""
     first = pairs.join(tokens.select(F.col("sid").alias("a"), F.col("tokens").alias("x")), "a")
-    both = first.join(tokens.select(F.col("sid").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(_shared_batches, "a long, b long, shared int, together int")
+    both = first.join(tokens.select(F.col("sid").alias("b"), F.col("tokens").alias("y")), "b").select(*pairs.columns, "x", "y")
+    return both.mapInArrow(_shared_batches, ", ".join(f"{c} long" for c in pairs.columns) + ", shared int, together int")
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -426,7 +430,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     pairs = settled(met.where("a is not null").select("a", "b").distinct())
     crowds = met.where("k is not null").select("k", "sid", "n", "role", "pivot")
-    asked = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(crowds.select("sid")).distinct()
+    asked = settled(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(crowds.select("sid")).distinct())
     wanted = settled(sets.select("sid", "h1", "h2", "least").join(asked, "sid"))
     ids = wanted.select(F.xxhash64("least").alias("h"))
     among = bloom_test(ids, wanted.count(), least=1)
@@ -435,17 +439,13 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tokens.write.parquet(f"{at}/tokens")
     tokens = spark.read.parquet(f"{at}/tokens")
 
-    close = F.col("shared") * 100 >= (F.col("together") - F.col("shared")) * percent
     first = settled(verified(pairs, tokens))
-    links = first.where(close).select("a", "b")
-    rest = settled(_unresolved(crowds, first, connected_components(links)))
-    if rest.limit(1).count():
-        again = rest.groupBy("k", "i", "j").applyInArrow(_crossed(percent), "a long, b long").distinct()
-        links = links.unionByName(verified(again, tokens).where(close).select("a", "b"))
-    roots = connected_components(links)
+    links = settled(first.where(_close(percent)).select("a", "b"))
+    roots = settled(asked.join(connected_components(links), F.col("sid") == F.col("node"), "left").select("sid", F.coalesce("label", "sid").alias("label")))
+    roots = _joined_crowds(_placed(crowds, first, roots), roots, tokens, percent)
     removed(spark, f"{at}/tokens")
 
-    labelled = sets.select("sid", "h1", "h2", "least").join(roots, F.col("sid") == F.col("node"), "left").select("h1", "h2", "least", F.coalesce("label", "sid").alias("label"))
+    labelled = sets.select("sid", "h1", "h2", "least").join(roots, "sid", "left").select("h1", "h2", "least", F.coalesce("label", "sid").alias("label"))
     named = labelled.groupBy("label").agg(F.min("least").alias("component"))
     named = settled(labelled.join(named, "label").select("h1", "h2", "component"))
     removed(spark, at)
@@ -453,16 +453,56 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.where("n > 0").join(named, ["h1", "h2"]).select("id", "n", "component").unionByName(alone)
 
 
-def _unresolved(crowds: DataFrame, checked: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of crowded keys that are not yet one component, dealt to pairs of blocks (i, j).
+def _close(percent: int) -> Column:
+    return F.col("shared") * 100 >= (F.col("together") - F.col("shared")) * percent
 
-    far is the distance to the key's pivot where it is known, else NaN.
-    """
-    labelled = crowds.join(roots, F.col("sid") == F.col("node"), "left").select("k", "sid", "n", "role", "pivot", F.coalesce("label", "sid").alias("label"))
-    several = labelled.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("k", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    left = labelled.join(several, "k").withColumns({"a": F.least("pivot", "sid"), "b": F.greatest("pivot", "sid")})
+
+def _placed(crowds: DataFrame, checked: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of crowded keys with their component and ``far``, the distance to the key's pivot, NaN if unknown."""
     known = checked.select("a", "b", (F.lit(1.0) - F.col("shared") / (F.col("together") - F.col("shared"))).alias("far"))
+    ends = crowds.join(roots, "sid").withColumns({"a": F.least("pivot", "sid"), "b": F.greatest("pivot", "sid")})
     far = F.when(F.col("sid") == F.col("pivot"), F.lit(0.0)).otherwise(F.coalesce("far", F.lit(float("nan"))))
-    left = left.join(known, ["a", "b"], "left").withColumn("far", far)
-    left = left.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return left.select("k", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sid", "n", "role", "label", "far")
+    return ends.join(known, ["a", "b"], "left").select("k", "sid", "n", "role", "label", far.alias("far"))
+
+
+def _crowded(members: DataFrame, turn: int) -> DataFrame:
+    """Keys of several components: (k, m, crossings, top, anchors), with the largest component and members drawn from it."""
+    drawn = [F.min_by(F.struct("sid", "n"), F.xxhash64("sid", F.lit(turn * ANCHORS + i))).alias(f"anchor{i}") for i in range(ANCHORS)]
+    parts = members.groupBy("k", "label").agg(F.count(F.lit(1)).alias("c"), *drawn)
+    largest = F.max_by(F.struct("label", F.array(*[f"anchor{i}" for i in range(ANCHORS)]).alias("anchors")), F.struct("c", "label"))
+    keys = parts.groupBy("k").agg(F.count(F.lit(1)).alias("labels"), F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("inside"), largest.alias("top"))
+    crossings = ((F.col("m") * F.col("m") - F.col("inside")) / 2).cast("long")
+    return keys.where("labels > 1").select("k", "m", crossings.alias("crossings"), F.col("top.label").alias("top"), F.col("top.anchors").alias("anchors"))
+
+
+def _joined_crowds(members: DataFrame, roots: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """``roots`` (sid, label) with the links that crowded keys still hide.
+
+    Every turn verifies a few pairs for each set outside its key's largest
+    component.  When hardly more pairs than sets are left, or a turn joined too
+    few of them, all pairs that are left are verified.
+    """
+    turn, before = 0, None
+    while True:
+        keys = settled(_crowded(members, turn))
+        left = keys.agg(F.sum("m").alias("m"), F.sum("crossings").alias("crossings")).first()
+        if left["m"] is None:
+            return roots
+        members = settled(members.join(keys, "k"))
+        last = left["crossings"] <= 2 * left["m"] or (before is not None and left["crossings"] > before // 2)
+        if last:
+            blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+            dealt = members.withColumn("block", F.pmod(F.xxhash64("sid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            dealt = dealt.select("k", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sid", "n", "role", "label", "far")
+            pairs = dealt.groupBy("k", "i", "j").applyInArrow(_crossed(percent), "a long, b long, la long, lb long")
+        else:
+            outside = members.where("label <> top").select("sid", "n", "label", "top", F.explode("anchors").alias("anchor"))
+            fits = 100 * F.least("n", "anchor.n") >= percent * F.greatest("n", "anchor.n")
+            pairs = outside.where(fits).select(F.least("sid", "anchor.sid").alias("a"), F.greatest("sid", "anchor.sid").alias("b"), F.least("label", "top").alias("la"), F.greatest("label", "top").alias("lb"))
+        joined = connected_components(verified(pairs.distinct(), tokens).where(_close(percent)).select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        joined = joined.select(F.col("node").alias("label"), F.col("label").alias("to"))
+        roots = settled(roots.join(joined, "label", "left").select("sid", F.coalesce("to", "label").alias("label")))
+        if last:
+            return roots
+        members = members.drop("m", "crossings", "top", "anchors", "label").join(roots, "sid")
+        turn, before = turn + 1, left["crossings"]
