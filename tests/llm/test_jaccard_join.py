@@ -127,3 +127,12 @@ def test_budgets_cost_least():
 
         best = min(price(b) for b in np.ndindex(*[3 if i < d else 2 for i in range(m)]) if sum(b) == need)
         assert got.sum() == need and price(got) == best
+
+
+def test_parities_never_differ_more_than_sets():
+    draw = np.random.default_rng(2)
+    for _ in range(300):
+        a = np.unique(draw.integers(0, 2**64, int(draw.integers(1, 400)), dtype=np.uint64, endpoint=False))
+        b = np.unique(np.concatenate([a[int(draw.integers(0, len(a))) :], draw.integers(0, 2**64, int(draw.integers(0, 200)), dtype=np.uint64, endpoint=False)]))
+        x, y = jaccard_join._folded([jaccard_join.parities(a), jaccard_join.parities(b)])
+        assert int(np.bitwise_count(x ^ y).sum()) <= len(set(a.tolist()) ^ set(b.tolist()))

@@ -19,8 +19,10 @@ Sets that share a key are verified on their whole shingles.  Only connected
 components are asked for, so a crowded key first verifies all its sets against
 one pivot.  Then, as long as that joins many, those outside the key's largest
 component are verified against a few drawn members of it.  What is still of
-different components is compared with each other, block by block, if sizes and
-distances to the pivot allow it (the Jaccard distance is a metric).
+different components is compared with each other block by block: each set has
+a bitmap of the parities of its hashed shingles, and two bitmaps never differ
+in more bits than their sets do in shingles, so only pairs that are similar or
+nearly so go on to be verified.
 """
 
 from __future__ import annotations
@@ -269,12 +271,12 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pair_batches(percent: int):
-    """Sets sorted by key, those that ask for pairs first: (a, b, null..) of candidates, (null, null, k, sid, n, role, pivot) of crowded keys."""
-    names = ["a", "b", "k", "sid", "n", "role", "pivot"]
+    """Sets sorted by key, those that ask for pairs first: (a, b, null..) of candidates, (null, null, k, sid, n, role) of crowded keys."""
+    names = ["a", "b", "k", "sid", "n", "role"]
 
     def pairs(a, b) -> pa.RecordBatch:
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        rest = [pa.nulls(len(both), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int8(), pa.int64())]
+        rest = [pa.nulls(len(both), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int8())]
         return pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1]), *rest], names=names)
 
     def small(k, sid, n, role) -> Iterator[pa.RecordBatch]:
@@ -296,7 +298,7 @@ def _pair_batches(percent: int):
         if near.any():
             yield pairs(np.full(int(near.sum()), pivot[0]), sid[near])
         m = len(sid)
-        yield pa.record_batch([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(k), pa.array(sid), pa.array(n), pa.array(role), pa.array(np.full(m, pivot[0]))], names=names)
+        yield pa.record_batch([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(k), pa.array(sid), pa.array(n), pa.array(role)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (np.int64, np.int64, np.int32, np.int8)
@@ -369,19 +371,42 @@ def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.record_batch([*kept, pa.array(shared, pa.int32()), pa.array(sizes, pa.int32())], names=[*batch.schema.names[:x_at], "shared", "together"])
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """A bitmap of at least twice as many bits as shingles: a bit is set if an odd number of them hash to it."""
+    bits = 1 << max(6, int(2 * max(len(tokens), 1) - 1).bit_length())
+    odd = np.bincount((tokens >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _parity_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        maps = [parities(np.frombuffer(x, np.uint64)).tobytes() for x in batch.column(1).to_pylist()]
+        yield pa.record_batch([batch.column(0), pa.array(maps, pa.binary())], names=["sid", "bits"])
+
+
+def _folded(maps: list[np.ndarray]) -> np.ndarray:
+    """Bitmaps of one length: the halves of longer ones are added, as parities add."""
+    least = min(len(x) for x in maps)
+    out = np.zeros((len(maps), least), np.uint64)
+    for i, x in enumerate(maps):
+        out[i] = np.bitwise_xor.reduce(x.reshape(-1, least), axis=0)
+    return out
+
+
 def _crossed(percent: int):
     """Pairs of one block, or of two, of a crowded key that are of different components and may be similar."""
 
     def run(group: pa.Table) -> pa.Table:
-        sid, n, role, label, block, far = (group.column(c).to_numpy() for c in ("sid", "n", "role", "label", "block", "far"))
+        sid, n, role, label, block = (group.column(c).to_numpy() for c in ("sid", "n", "role", "label", "block"))
+        bits = _folded([np.frombuffer(x, np.uint64) for x in group.column("bits").to_pylist()])
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         out = [np.zeros((4, 0), np.int64)]
         for x in left:
             y = right[right > x] if i == j else right
-            ok = (label[y] != label[x]) & _sizes_fit(n[y], np.full(len(y), n[x]), percent) & _may_meet(role[y], np.full(len(y), role[x]))
-            ok &= ~(np.abs(far[y] - far[x]) > 1 - percent / 100 + 1e-9)  # unknown distances are NaN and exclude nothing
-            y = y[ok]
+            y = y[(label[y] != label[x]) & _sizes_fit(n[y], np.full(len(y), n[x]), percent) & _may_meet(role[y], np.full(len(y), role[x]))]
+            apart = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1)
+            y = y[apart <= (n[y].astype(np.int64) + n[x]) * (100 - percent) // (100 + percent)]
             out.append(np.stack([np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y]), np.minimum(label[x], label[y]), np.maximum(label[x], label[y])]))
         return pa.table(dict(zip(("a", "b", "la", "lb"), np.concatenate(out, axis=1), strict=True)))
 
@@ -426,10 +451,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = spark.read.parquet(f"{at}/sets")
     dealt = sets.select("sid", "n", "ks", "roles").mapInArrow(_unpacked, "k long, sid long, n int, role byte").repartition(n_parts, "k")
     dealt = dealt.sortWithinPartitions("k", F.col("role").bitwiseAND(F.lit(ACTIVE)).desc(), "sid")
-    met = settled(dealt.mapInArrow(_pair_batches(percent), "a long, b long, k long, sid long, n int, role byte, pivot long"))
+    met = settled(dealt.mapInArrow(_pair_batches(percent), "a long, b long, k long, sid long, n int, role byte"))
 
     pairs = settled(met.where("a is not null").select("a", "b").distinct())
-    crowds = met.where("k is not null").select("k", "sid", "n", "role", "pivot")
+    crowds = met.where("k is not null").select("k", "sid", "n", "role")
     asked = settled(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(crowds.select("sid")).distinct())
     wanted = settled(sets.select("sid", "h1", "h2", "least").join(asked, "sid"))
     ids = wanted.select(F.xxhash64("least").alias("h"))
@@ -439,10 +464,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tokens.write.parquet(f"{at}/tokens")
     tokens = spark.read.parquet(f"{at}/tokens")
 
-    first = settled(verified(pairs, tokens))
-    links = settled(first.where(_close(percent)).select("a", "b"))
+    links = verified(pairs, tokens).where(_close(percent)).select("a", "b")
     roots = settled(asked.join(connected_components(links), F.col("sid") == F.col("node"), "left").select("sid", F.coalesce("label", "sid").alias("label")))
-    roots = _joined_crowds(_placed(crowds, first, roots), roots, tokens, percent)
+    roots = _joined_crowds(crowds.join(roots, "sid"), roots, tokens, percent)
     removed(spark, f"{at}/tokens")
 
     labelled = sets.select("sid", "h1", "h2", "least").join(roots, "sid", "left").select("h1", "h2", "least", F.coalesce("label", "sid").alias("label"))
@@ -457,14 +481,6 @@ def _close(percent: int) -> Column:
     return F.col("shared") * 100 >= (F.col("together") - F.col("shared")) * percent
 
 
-def _placed(crowds: DataFrame, checked: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of crowded keys with their component and ``far``, the distance to the key's pivot, NaN if unknown."""
-    known = checked.select("a", "b", (F.lit(1.0) - F.col("shared") / (F.col("together") - F.col("shared"))).alias("far"))
-    ends = crowds.join(roots, "sid").withColumns({"a": F.least("pivot", "sid"), "b": F.greatest("pivot", "sid")})
-    far = F.when(F.col("sid") == F.col("pivot"), F.lit(0.0)).otherwise(F.coalesce("far", F.lit(float("nan"))))
-    return ends.join(known, ["a", "b"], "left").select("k", "sid", "n", "role", "label", far.alias("far"))
-
-
 def _crowded(members: DataFrame, turn: int) -> DataFrame:
     """Keys of several components: (k, m, crossings, top, anchors), with the largest component and members drawn from it."""
     drawn = [F.min_by(F.struct("sid", "n"), F.xxhash64("sid", F.lit(turn * ANCHORS + i))).alias(f"anchor{i}") for i in range(ANCHORS)]
@@ -493,7 +509,8 @@ def _joined_crowds(members: DataFrame, roots: DataFrame, tokens: DataFrame, perc
         if last:
             blocks = F.ceil(F.col("m") / BLOCK).cast("int")
             dealt = members.withColumn("block", F.pmod(F.xxhash64("sid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            dealt = dealt.select("k", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sid", "n", "role", "label", "far")
+            dealt = dealt.join(tokens.mapInArrow(_parity_batches, "sid long, bits binary"), "sid")
+            dealt = dealt.select("k", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sid", "n", "role", "label", "bits")
             pairs = dealt.groupBy("k", "i", "j").applyInArrow(_crossed(percent), "a long, b long, la long, lb long")
         else:
             outside = members.where("label <> top").select("sid", "n", "label", "top", F.explode("anchors").alias("anchor"))
