@@ -111,4 +111,48 @@ def test_default_provider_reads_landed_forecasts(spark, tmp_path):
     image = engine.preview_png(scene["id"])
     grey = engine.preview(scene["id"])
     at = image.index(b"IDAT")
-    assert image.startswith(b"\x89PNG") and zlib.decompress(image[at + 4 :])[1 : 1 + grey.shape[1]] == grey[0].tobytes()
+    assert image.startswith(b"\x89PNG") and zlib.decompress(image[at + 4 :])[1 : 1 + 2 * grey.shape[1] : 2] == grey[0].tobytes()  # with alpha
+
+
+def test_a_case_from_files(spark, tmp_path):
+    """A scene with control points and a NetCDF field, both read from files, lead to an origin."""
+    import numpy as np
+    from tests.test_files import cdf, mosaic, planted, tiff
+    from tidewake.sources import images, synthetic
+
+    image = synthetic.radar_scene(300)
+    size = image.shape[0]
+
+    def degrees_of(c, r):
+        return 71.6 + 0.5 * c / size + 0.01 * r / size, 18.7 - 0.5 * r / size + 0.01 * c / size
+
+    ties = [v for a in (0, size / 2, size) for b in (0, size / 2, size) for v in (a, b, 0, *degrees_of(a, b), 0)]
+    path = str(tmp_path / "S1A_IW_GRDH_20260101T080000_vv.tif")
+    tiff(path, image[None].astype(np.float32), ties=ties, keys=(1, 1, 0, 1, 2048, 0, 1, 4326), compression=8, predictor=3)
+    e = Engine(spark, str(tmp_path / "store"))
+    c = e.create_case("from files", "imported")
+    done(e, e.upload_scene(c, path, bounds=[0, 0, 1, 1], detect={"min_area_km2": 0.5}))
+    scene = e.store.latest("scenes", c)
+    assert "ignored" in scene["metadata"] and scene["acquisition_time"].hour == 8
+    slick = e.slicks(c)["features"][0]
+    x, y = slick["properties"]["centroid"]
+    want = degrees_of(size / 2, size / 2)
+    assert abs(x - want[0]) < 0.05 and abs(y - want[1]) < 0.05
+    assert e.preview_png(scene["id"])[25] == 4 and (e.preview(scene["id"]) > 0).mean() > 0.5
+    e.export_scene(scene["id"], str(tmp_path / "analysis.tif"))
+    info = images.describe(str(tmp_path / "analysis.tif"))
+    assert info.bounds == pytest.approx(scene["bounds"]) and info.tags["ACQUISITION_START_TIME"] == "2026-01-01T08:00:00Z"
+    assert mosaic(spark.read.format("scene").load(str(tmp_path / "analysis.tif")).collect(), (info.height, info.width)).shape == (info.height, info.width)
+
+    dims, variables, _ = planted(("time", "latitude", "longitude"), 2)
+    for k, v in {"time": np.arange(4) * 1.0, "latitude": np.array([19.5, 18.5, 17.5]), "longitude": np.array([70.5, 71.5, 72.5, 73.5])}.items():
+        variables[k] = ([k], v, {"units": "hours since 2026-01-01 05:00:00"} if k == "time" else {})
+    cdf(str(tmp_path / "field.nc"), dims, variables, 2)
+    env = e.upload_netcdf(c, str(tmp_path / "field.nc"))
+    run = done(e, e.hindcast(c, slick["id"], "netcdf_upload", netcdf_env_id=env, hindcast_hours=2, ensemble_members=2, particle_count=40))
+    assert run and e.hindcast_run(c)["status"] == "completed"
+    e.export_field(env, str(tmp_path / "again.nc"))
+    assert spark.read.format("netcdf_field").load(str(tmp_path / "again.nc")).count() == 48
+    assert e.job(e.upload_scene(c, str(tmp_path / "none.tif")))["state"] == "failed"
+    with pytest.raises(ValueError):
+        e.upload_netcdf(c, "x.csv")

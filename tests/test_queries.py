@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from tests.conftest import DATA
-from tidewake import operator_queries, queries  # noqa: F401
+from tidewake import file_queries, operator_queries, queries  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 

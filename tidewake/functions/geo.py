@@ -5,7 +5,7 @@ Rings are arrays of struct<lon, lat>; a closed ring repeats its first vertex.
 
 from __future__ import annotations
 
-from math import asin, atan2, atanh, cos, cosh, degrees, hypot, pi, radians, sin, sinh, sqrt
+from math import asin, atan2, cos, degrees, hypot, pi, radians, sin, sqrt
 
 import numpy as np
 from pyspark.sql import Column
@@ -171,27 +171,26 @@ _DELTA = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56
 _K0 = 0.9996
 
 
-def to_utm(lon: float, lat: float, epsg: int) -> tuple[float, float]:
-    """Transverse Mercator by Krüger's series to third order: under a millimetre inside a zone."""
-    lon0 = radians((epsg % 100) * 6 - 183)
+def to_utm(lon: float | np.ndarray, lat: float | np.ndarray, epsg: int) -> tuple:
+    """Transverse Mercator by Krüger's series to third order: under a millimetre inside a zone; numbers or arrays."""
     e = sqrt(E2)
-    s = sin(radians(lat))
-    t = sinh(atanh(s) - e * atanh(e * s))
-    dl = radians(lon) - lon0
-    xi, eta = atan2(t, cos(dl)), atanh(sin(dl) / sqrt(1 + t * t))
-    x = eta + sum(a * cos(2 * j * xi) * sinh(2 * j * eta) for j, a in enumerate(_ALPHA, 1))
-    y = xi + sum(a * sin(2 * j * xi) * cosh(2 * j * eta) for j, a in enumerate(_ALPHA, 1))
+    s = np.sin(np.radians(lat))
+    t = np.sinh(np.arctanh(s) - e * np.arctanh(e * s))
+    dl = np.radians(lon) - radians((epsg % 100) * 6 - 183)
+    xi, eta = np.arctan2(t, np.cos(dl)), np.arctanh(np.sin(dl) / np.sqrt(1 + t * t))
+    x = eta + sum(a * np.cos(2 * j * xi) * np.sinh(2 * j * eta) for j, a in enumerate(_ALPHA, 1))
+    y = xi + sum(a * np.sin(2 * j * xi) * np.cosh(2 * j * eta) for j, a in enumerate(_ALPHA, 1))
     return 500000 + _K0 * _A * x, (10_000_000 if 32700 < epsg < 32800 else 0) + _K0 * _A * y
 
 
-def from_utm(east: float, north: float, epsg: int) -> tuple[float, float]:
+def from_utm(east: float | np.ndarray, north: float | np.ndarray, epsg: int) -> tuple:
     xi = (north - (10_000_000 if 32700 < epsg < 32800 else 0)) / (_K0 * _A)
     eta = (east - 500000) / (_K0 * _A)
-    x = xi - sum(b * sin(2 * j * xi) * cosh(2 * j * eta) for j, b in enumerate(_BETA, 1))
-    y = eta - sum(b * cos(2 * j * xi) * sinh(2 * j * eta) for j, b in enumerate(_BETA, 1))
-    chi = asin(sin(x) / cosh(y))
-    lat = chi + sum(d * sin(2 * j * chi) for j, d in enumerate(_DELTA, 1))
-    return (epsg % 100) * 6 - 183 + degrees(atan2(sinh(y), cos(x))), degrees(lat)
+    x = xi - sum(b * np.sin(2 * j * xi) * np.cosh(2 * j * eta) for j, b in enumerate(_BETA, 1))
+    y = eta - sum(b * np.cos(2 * j * xi) * np.sinh(2 * j * eta) for j, b in enumerate(_BETA, 1))
+    chi = np.arcsin(np.sin(x) / np.cosh(y))
+    lat = chi + sum(d * np.sin(2 * j * chi) for j, d in enumerate(_DELTA, 1))
+    return (epsg % 100) * 6 - 183 + np.degrees(np.arctan2(np.sinh(y), np.cos(x))), np.degrees(lat)
 
 
 def _closed(ring: Ring) -> Ring:

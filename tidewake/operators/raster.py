@@ -7,12 +7,14 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.config import DEFAULTS
 from tidewake.functions.geo import Ring, metres_per_degree_at, shape_metrics, simplified
 from tidewake.session import settled
+from tidewake.sources.scene_files import spans
 
 TILES = "scene_id string, r0 int, c0 int, h int, w int, pixels array<float>"
 PROBABILITIES = "scene_id string, r0 int, c0 int, h int, w int, p_oil array<float>, p_la array<float>"
@@ -22,20 +24,39 @@ LEAST_VALID = 0.02
 # ------------------------------------------------------------------ tiles
 
 
-def spans(n: int, size: int, overlap: int) -> list[tuple[int, int]]:
-    """Start and end of tiles along an axis; the last one lies flush with the edge."""
-    if n <= size:
-        return [(0, n)]
-    starts = [*range(0, n - size, size - overlap), n - size]
-    return [(a, a + size) for a in dict.fromkeys(starts)]
-
-
 def tile_table(spark: SparkSession, scene_id: str, image: np.ndarray, size: int, overlap: int) -> DataFrame:
     """An image as overlapping tiles; 0 and non-finite pixels are kept and mean no data."""
     rows = [(scene_id, r0, c0, r1 - r0, c1 - c0, image[r0:r1, c0:c1].astype(np.float32).ravel().tolist()) for r0, r1 in spans(image.shape[0], size, overlap) for c0, c1 in spans(image.shape[1], size, overlap)]
     return spark.createDataFrame(rows, TILES)
 
 
+def tiled(px: DataFrame, size: int = 256) -> DataFrame:
+    """Pixels (scene_id, row, col, value) as tiles of ``size`` on a regular grid; pixels that aren't there are 0, no data.
+
+    A tile's pixels are one group, so a task holds one tile at a time.
+    """
+
+    def fill(group: pa.Table) -> pa.Table:
+        at = group.column("at").to_numpy()
+        values = np.zeros(size * size, np.float32)
+        values[at] = group.column("value").to_numpy()
+        one = {c: group.column(c)[:1] for c in ("scene_id", "r0", "c0")}
+        ends = pa.array([0, size * size], pa.int32())
+        side = pa.array([size], pa.int32())
+        return pa.table(one | {"h": side, "w": side, "pixels": pa.ListArray.from_arrays(ends, pa.array(values))})
+
+    r0, c0 = (F.floor(F.col(c) / size).cast("int") * size for c in ("row", "col"))
+    cut = px.select(F.col("scene_id").cast("string"), r0.alias("r0"), c0.alias("c0"), ((F.col("row") - r0) * size + F.col("col") - c0).cast("int").alias("at"), F.col("value").cast("float").alias("value"))
+    return cut.groupBy("scene_id", "r0", "c0").applyInArrow(fill, TILES)
+
+
+def tiled_to(tiles: DataFrame, height: int, width: int) -> DataFrame:
+    """Tiles cut to an image of ``height`` by ``width``; those that lie outside go."""
+    h, w = F.least(F.col("h"), height - F.col("r0")), F.least(F.col("w"), width - F.col("c0"))
+    rows = F.flatten(F.transform(F.sequence(F.lit(0), h - 1), lambda r: F.slice("pixels", r * F.col("w") + 1, w)))
+    return tiles.where((F.col("r0") < height) & (F.col("c0") < width)).select("scene_id", "r0", "c0", h.alias("h"), w.alias("w"), rows.alias("pixels"))
+
+
 def tile_grid(scenes: DataFrame, size: int, overlap: int) -> DataFrame:
     """(scene columns, r0, r1, c0, c1) from scenes with height and width, without collecting them."""
 

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from tidewake import config
 from tidewake.functions.geo import Ring, centroid, geojson_polygon, shells
 from tidewake.operators import attribution as scoring
-from tidewake.operators import density, drift, raster, tracks
+from tidewake.operators import density, drift, raster, tracks, warp
 from tidewake.operators.land import LandIndex
 from tidewake.plans import report
 from tidewake.plans.store import Job, Store, case_list, dumps, loads, new_id, now
-from tidewake.sources import ais_csv, fields, registry, scenes, synthetic
+from tidewake.sources import ais_csv, fields, images, netcdf, registry, scene_files, scenes, synthetic
 from tidewake.streaming import recorder
 
 DISCLAIMER = "Slick classes, origin regions, release windows and vessel scores are model estimates that help to decide whom to look at first; they prove nothing. Data: {mode}."
@@ -125,23 +125,80 @@ class Engine:
             key = new_id("scene")
             model = raster.adapter("auto", self.onnx_path)
             raster.tile_table(self.spark, key, small, model.tile_size, model.tile_overlap).write.parquet(f"{self.root}/tiles/{key}")
-            grey = scenes.preview(small)
-            self.spark.createDataFrame([(key, grey.shape[0], grey.shape[1], bytearray(grey.tobytes()))], "scene_id string, h int, w int, grey binary").write.parquet(f"{self.root}/previews/{key}")
-            self.store.delete("scenes", F.col("case_id") == case_id)
-            self.store.write("scenes", [{"id": key, "case_id": case_id, "acquisition_time": meta["acquisition_time"], "bounds": meta["bounds"], "asset_uri": f"{self.root}/tiles/{key}", "preview_uri": f"{self.root}/previews/{key}", "metadata": dumps(meta), "created_at": now()}])
-            self._status(case_id, "scene_ready")
-            self.store.audit(case_id, "scene.ingest", {"scene": key})
+            self._keep_scene(case_id, key, meta, small.shape)
             job.progress(0.5, "scene stored")
             return {"scene_id": key} | (self._detect(case_id, config.detection_overrides(**(detect or {}))) if run_detection else {})
 
         return self.store.run_job("scene", case_id, work)
 
-    def preview(self, scene_id: str) -> np.ndarray:
+    def upload_scene(self, case_id: str, path: str, bounds: list[float] | None = None, acquisition: str | None = None, detect: dict | None = None, run_detection: bool = True) -> str:
+        """Reads a TIFF or PNG file, brings it to degrees and stores it as tiles; its pixels stay with the tasks.
+
+        Files without a georeference need ``bounds``; on others they are ignored
+        with a warning.
+        """
+        name = os.path.basename(path)
+        scenes.check_name(name)
+
+        def work(job: Job) -> dict:
+            info = images.describe(path)
+            placed = info.matrix is not None or bool(info.control)
+            factor = scene_files.factor_of(info.width, info.height, config.DEFAULTS["scene"]["max_analysis_px"])
+            model = raster.adapter("auto", self.onnx_path)
+            cut = (model.tile_size, model.tile_overlap)
+            scene_files.register(self.spark)
+            key = new_id("scene")
+
+            def read(size: int, overlap: int) -> DataFrame:
+                options = {"size": size, "overlap": overlap, "factor": factor, "bands": 1, "scene_id": key}
+                return self.spark.read.format("scene").options(**options).load(path)
+
+            if placed and not warp.is_north_up(info):
+                tiles, target = warp.north_up(read(512, 0), info, factor, *cut)
+                shape, box = (target.height, target.width), target.bounds
+            else:
+                tiles, shape = read(*cut), (max(1, info.height // factor), max(1, info.width // factor))
+                box = info.bounds or bounds
+            meta = scenes.metadata(self.spark, name, box, shape, info.tags, acquisition) | {"reduced_by": factor, "name": name, "epsg": info.epsg, "control_points": len(info.control), "bands": info.bands}
+            if placed and bounds:
+                meta["warnings"].append("the image knows its place: the given bounds are ignored")
+            if factor > 1:
+                meta["warnings"].append(f"reduced {factor} times from {info.width} x {info.height} pixels")
+            tiles.select("scene_id", "r0", "c0", "h", "w", "pixels").write.parquet(f"{self.root}/tiles/{key}")
+            self._keep_scene(case_id, key, meta, shape)
+            job.progress(0.5, "scene stored")
+            return {"scene_id": key} | (self._detect(case_id, config.detection_overrides(**(detect or {}))) if run_detection else {})
+
+        return self.store.run_job("scene", case_id, work)
+
+    def _keep_scene(self, case_id: str, key: str, meta: dict, shape: tuple[int, int]) -> None:
+        """Preview and rows of a scene whose tiles are stored."""
+        scenes.previewed(self.spark.read.parquet(f"{self.root}/tiles/{key}"), shape).write.parquet(f"{self.root}/previews/{key}")
+        self.store.delete("scenes", F.col("case_id") == case_id)
+        self.store.write("scenes", [{"id": key, "case_id": case_id, "acquisition_time": meta["acquisition_time"], "bounds": meta["bounds"], "asset_uri": f"{self.root}/tiles/{key}", "preview_uri": f"{self.root}/previews/{key}", "metadata": dumps(meta), "created_at": now()}])
+        self._status(case_id, "scene_ready")
+        self.store.audit(case_id, "scene.ingest", {"scene": key})
+
+    def export_scene(self, scene_id: str, path: str) -> None:
+        """The stored scene as a GeoTIFF on a mounted folder, written by the tasks."""
+        scene = self.store.get("scenes", scene_id)
+        meta = loads(scene["metadata"], {})
+        scene_files.register(self.spark)
+        tags = {"tag.acquisition_start_time": iso(scene["acquisition_time"]), "tag.polarisation": meta.get("polarization") or ""}
+        options = {"width": meta["shape"][1], "height": meta["shape"][0], "bounds": ",".join(map(repr, scene["bounds"]))} | tags
+        self.spark.read.parquet(scene["asset_uri"]).write.format("geotiff").options(**options).mode("overwrite").save(path)
+
+    def _preview(self, scene_id: str) -> tuple[np.ndarray, np.ndarray]:
         r = self.spark.read.parquet(self.store.get("scenes", scene_id)["preview_uri"]).first()
-        return np.frombuffer(bytes(r["grey"]), np.uint8).reshape(r["h"], r["w"])
+        grey, shown = (np.frombuffer(bytes(r[c]), np.uint8).reshape(r["h"], r["w"]) for c in ("grey", "shown"))
+        return grey, shown > 0
+
+    def preview(self, scene_id: str) -> np.ndarray:
+        return self._preview(scene_id)[0]
 
     def preview_png(self, scene_id: str) -> bytes:
-        return scenes.png(self.preview(scene_id))
+        """Grey with alpha: pixels without data are clear."""
+        return scenes.png(*self._preview(scene_id))
 
     def search_catalogue(self, area: list[float], start: str, end: str, limit: int = 20) -> DataFrame:
         if self.catalogue is None:
@@ -194,6 +251,17 @@ class Engine:
 
     # ------------------------------------------------------------ drift
 
+    def upload_netcdf(self, case_id: str, path: str) -> str:
+        """Stores the field of a NetCDF file; the file is read in slabs."""
+        if not path.lower().endswith((".nc", ".nc3", ".cdf")):
+            raise ValueError("the file must be NetCDF (.nc)")
+        netcdf.register(self.spark)
+        return self._store_field(case_id, fields.filled(self.spark.read.format("netcdf_field").load(path)), "netcdf_upload", "imported")
+
+    def export_field(self, env_id: str, path: str) -> None:
+        """A stored field as a NetCDF file on a mounted folder, written by the tasks."""
+        netcdf.write_field(self.spark.read.parquet(self.store.get("env_fields", env_id)["artifact_uri"]), path, "overwrite")
+
     def upload_field(self, case_id: str, table: DataFrame, units: dict[str, str] | None = None) -> str:
         return self._store_field(case_id, fields.filled(fields.from_table(table, units)), "netcdf_upload", "imported")
 

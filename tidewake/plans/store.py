@@ -3,6 +3,11 @@
 Every write is an append of row versions; a read takes the last version of each
 key.  A deletion is a version too.  Parquet has no updates, and this way writers
 never rewrite what readers hold.
+
+A table's files lie in generations.  Compaction writes the current rows as the
+first file of a new generation and then names that one in the table's CURRENT
+file; later writes append to it.  The generation before is kept until the next
+compaction for those who still read it.
 """
 
 from __future__ import annotations
@@ -50,8 +55,15 @@ def newest(rows: DataFrame, by: list[str], *order: str) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
 
 
+#: Appends to a table after which it is compacted.
+MOST_APPENDS = 200
+
+
 class Store:
-    """Tables under one folder; ``ais_positions`` is large and partitioned by case, the rest are small."""
+    """Tables under one folder; ``ais_positions`` is large and partitioned by case, the rest are small.
+
+    One store object writes to a folder at a time; any number may read.
+    """
 
     def __init__(self, spark: SparkSession, root: str, background: bool = False, workers: int = 2):
         self.spark, self.root, self.background = spark, root.rstrip("/"), background
@@ -60,9 +72,67 @@ class Store:
         self._tables = defaultdict(Lock)
         self._pool = ThreadPoolExecutor(workers, thread_name_prefix="job")
         self._pending: dict[str, Future] = {}
+        self._appends: dict[str, int] = defaultdict(int)
+        self.most_appends = MOST_APPENDS
+        self._jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+
+    # ---------------------------------------------------------------- files
+
+    def _files(self, path: str):
+        at = self._jvm_path(path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def remove(self, path: str) -> None:
+        """Deletes a file or folder, if it is there."""
+        files, at = self._files(path)
+        files.delete(at, True)
+
+    def generation(self, table: str) -> int:
+        files, at = self._files(f"{self.root}/{table}/CURRENT")
+        if not files.exists(at):
+            return 0
+        stream = files.open(at)
+        try:
+            return int(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _point(self, table: str, generation: int) -> None:
+        """Names the generation to read; the file is replaced by a whole one."""
+        files, at = self._files(f"{self.root}/{table}/CURRENT")
+        draft = self._jvm_path(f"{self.root}/{table}/.CURRENT.draft")
+        out = files.create(draft, True)
+        out.write(bytearray(str(generation).encode()))
+        out.close()
+        context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(draft, at, options)
 
     def _path(self, table: str) -> str:
-        return f"{self.root}/{table}"
+        return f"{self.root}/{table}/g{self.generation(table)}"
+
+    def compact(self, table: str) -> None:
+        """Leaves one version of each row; readers of the generation before aren't disturbed."""
+        with self._tables[table]:
+            old = self.generation(table)
+            rows = self._raw(table)
+            if not rows.columns or not self._files(f"{self.root}/{table}/g{old}")[0].exists(self._jvm_path(f"{self.root}/{table}/g{old}")):
+                return
+            if table == "ais_positions":
+                rows = rows.join(self._gone(), "import_id", "left_anti").select(*rows.columns)
+            elif table != "audit_log":
+                rows = newest(rows, ["id"], "_version").where("not _deleted") if table != "ais_imports" else newest(rows, ["id"], "_version")
+            to = f"{self.root}/{table}/g{old + 1}"
+            self.remove(to)  # of a compaction that ended early
+            if table == "ais_positions":
+                rows.write.partitionBy("case_id").parquet(to)
+            else:
+                rows.coalesce(1).write.parquet(to)
+            self._point(table, old + 1)
+            self._appends[table] = 0
+            if old > 0:
+                self.remove(f"{self.root}/{table}/g{old - 1}")
 
     def _version(self) -> int:
         with self._lock:
@@ -77,6 +147,10 @@ class Store:
         writer = rows.write.mode("append")
         with self._tables[table]:  # two commits to one folder at a time remove each other's drafts
             (writer.partitionBy("case_id") if table == "ais_positions" else writer).parquet(self._path(table))
+            self._appends[table] += 1
+            full = self._appends[table] >= self.most_appends
+        if full:
+            self.compact(table)
 
     def _raw(self, table: str) -> DataFrame:
         kinds = schema(table).add("_version", "long").add("_deleted", "boolean")
@@ -91,12 +165,15 @@ class Store:
         """Current rows: the last version of each id that isn't a deletion."""
         raw = self._raw(name)
         if name == "ais_positions":
-            gone = self._raw("ais_imports").where("_deleted").select(F.col("id").alias("import_id")).distinct()
-            return raw.join(gone, "import_id", "left_anti").select(*schema(name).names)
+            return raw.join(self._gone(), "import_id", "left_anti").select(*schema(name).names)
         if name == "audit_log":
             return raw.orderBy("_version").select(*schema(name).names)
         return newest(raw, ["id"], "_version").where("not _deleted").select(*schema(name).names)
 
+    def _gone(self) -> DataFrame:
+        """Imports that were deleted; their positions no longer count."""
+        return self._raw("ais_imports").where("_deleted").select(F.col("id").alias("import_id")).distinct()
+
     def get(self, table: str, key: str) -> dict[str, Any]:
         found = self.table(table).where(F.col("id") == key).limit(1).collect()
         if not found:
@@ -121,12 +198,21 @@ class Store:
         self.write(table, self.table(table).where(condition), deleted=True)
 
     def delete_case(self, case_id: str) -> None:
-        """A case and all that belongs to it."""
+        """A case and all that belongs to it: rows, positions and the folders that its rows name."""
         self.get("cases", case_id)
+        folders = []
+        for table, columns in (("scenes", ("asset_uri", "preview_uri")), ("env_fields", ("artifact_uri",)), ("hindcast_runs", ("artifact_uri",))):
+            for r in self.table(table).where(F.col("case_id") == case_id).select(*columns).collect():
+                folders += [x for x in r if x]
         for table in CASE_TABLES:
             if table not in ("ais_positions", "audit_log"):
                 self.delete(table, F.col("case_id") == case_id)
         self.delete("cases", F.col("id") == case_id)
+        with self._tables["ais_positions"]:
+            self.remove(f"{self._path('ais_positions')}/case_id={case_id}")
+        for folder in folders:
+            if folder.startswith(f"{self.root}/"):
+                self.remove(folder)
 
     def audit(self, case_id: str | None, action: str, detail: Any = None, actor: str = "analyst") -> None:
         self.write("audit_log", [{"case_id": case_id, "ts": now(), "actor": actor, "action": action, "detail": dumps(detail)}])

@@ -5,14 +5,17 @@ A field is a long table (epoch, lat, lon, u_cur, v_cur, u_wind, v_wind) on regul
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewake.config import DEFAULTS
 from tidewake.functions.met import speed_direction, speed_factor, uv_from, uv_towards
+from tidewake.session import settled
 
 PARTS = ("u_cur", "v_cur", "u_wind", "v_wind")
 # Names of the parts and axes in met-ocean files.
@@ -81,7 +84,15 @@ def _missing(spark: SparkSession, **_: object) -> DataFrame:
     raise EnvironmentUnavailable("this provider needs a landed table: pass it to from_table or from_hourly_json")
 
 
-PROVIDERS = {"constant": constant, "netcdf_upload": _missing, "open_meteo": _missing}
+def from_netcdf(spark: SparkSession, path: str, **options: object) -> DataFrame:
+    """The field of a NetCDF file; options as in ``netcdf.FieldSource``."""
+    from tidewake.sources import netcdf  # which reads this module's names
+
+    netcdf.register(spark)
+    return spark.read.format("netcdf_field").options(**options).load(path)
+
+
+PROVIDERS = {"constant": constant, "netcdf_upload": from_netcdf, "open_meteo": _missing}
 
 
 def provider(name: str):
@@ -110,15 +121,49 @@ def filled(field: DataFrame) -> DataFrame:
     return out
 
 
+def _interpolated(carried: dict[int, tuple]):
+    """Values at the asked epochs of a sorted partition, from its own points and the nearest ones of other partitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [[batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)] for batch in batches]
+        if not rows:
+            return
+        epoch, value, asked, part = (np.concatenate(c) for c in zip(*rows, strict=True))
+        for p in np.unique(part):
+            mine = part == p
+            e, v, q = epoch[mine], value[mine], asked[mine].astype(bool)
+            ends = [x for x in carried.get(int(p), (None, None))]
+            known = ~np.isnan(v)
+            xs = np.concatenate([[x[0] for x in ends[:1] if x], e[known], [x[0] for x in ends[1:] if x]])
+            ys = np.concatenate([[x[1] for x in ends[:1] if x], v[known], [x[1] for x in ends[1:] if x]])
+            at = e[q]
+            if len(xs):
+                i = np.searchsorted(xs, at, side="right") - 1
+                low, high = np.maximum(i, 0), np.minimum(i + 1, len(xs) - 1)
+                low, span = np.where(i < 0, high, low), xs[high] - xs[np.where(i < 0, high, low)]
+                got = pa.array(ys[low] + np.where(span > 0, (ys[high] - ys[low]) * (at - xs[low]) / np.where(span > 0, span, 1.0), 0.0))
+            else:
+                got = pa.nulls(len(at), pa.float64())
+            yield pa.record_batch([pa.array(at), got], names=["epoch", "value"])
+
+    return run
+
+
 def aligned(series: DataFrame, times: DataFrame) -> DataFrame:
-    """(epoch, value) of ``series`` at ``times``, linear between its points and flat beyond its ends."""
+    """(epoch, value) of ``series`` at ``times``, linear between its points and flat beyond its ends.
+
+    Points and times are range-sorted together.  Of every partition the driver
+    learns its first and its last point, so each knows the points next to it in
+    other partitions; no task sees more than its range.
+    """
     both = series.select("epoch", "value", F.lit(False).alias("asked")).unionByName(times.select("epoch", F.lit(None).cast("double").alias("value"), F.lit(True).alias("asked")))
-    w = Window.orderBy("epoch", "asked")
-    known = F.when(F.col("value").isNotNull(), F.struct("epoch", "value"))
-    a = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    b = F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    lerp = F.when(b["epoch"] > a["epoch"], a["value"] + (b["value"] - a["value"]) * (F.col("epoch") - a["epoch"]) / (b["epoch"] - a["epoch"]))
-    return both.select("epoch", "asked", F.coalesce(lerp, a["value"], b["value"]).alias("value")).where("asked").drop("asked")
+    n = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = settled(both.repartitionByRange(n, "epoch", "asked").sortWithinPartitions("epoch", "asked")).withColumn("part", F.spark_partition_id())
+    point = F.struct("epoch", "value")
+    ends = dealt.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("part").agg(F.min_by(point, "epoch").alias("first"), F.max_by(point, "epoch").alias("last")).collect()  # a row a partition
+    firsts, lasts = ({r["part"]: tuple(r[c]) for r in ends} for c in ("first", "last"))
+    carried = {p: (lasts.get(max((q for q in lasts if q < p), default=-1)), firsts.get(min((q for q in firsts if q > p), default=-1))) for p in range(n)}
+    return dealt.select("epoch", "value", "asked", "part").mapInArrow(_interpolated(carried), "epoch double, value double")
 
 
 def nearest_step(asked: DataFrame, steps: DataFrame, width: float) -> DataFrame:

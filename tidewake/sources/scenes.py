@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 from pathlib import PurePath
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,15 +72,57 @@ def preview(image: np.ndarray) -> np.ndarray:
     return np.where(ok, np.clip((np.where(ok, v, lo) - lo) / max(hi - lo, 1e-6), 0, 1) * 255, 0).astype(np.uint8)
 
 
-def png(grey: np.ndarray) -> bytes:
-    """A grey image as a PNG file."""
+def _shrunk(factor: int):
+    """Each tile's sums and numbers of pixels with data by block of the shrunk scene."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r0, c0, h, w = (batch.column(k)[i].as_py() for k in range(1, 5))
+                v = batch.column(5)[i].values.to_numpy(zero_copy_only=False).reshape(h, w).astype(np.float64)
+                ok = np.isfinite(v) & (v != 0)
+                ys, xs = np.arange(r0, r0 + h) // factor, np.arange(c0, c0 + w) // factor
+                cut_y, cut_x = np.flatnonzero(np.diff(ys, prepend=-1)), np.flatnonzero(np.diff(xs, prepend=-1))
+                total, count = (np.add.reduceat(np.add.reduceat(x, cut_y, axis=0), cut_x, axis=1) for x in (np.where(ok, v, 0.0), ok.astype(np.float64)))
+                ints = [pa.array([x], pa.int32()) for x in (ys[0], xs[0], *total.shape)]
+                yield pa.record_batch([batch.column(0).slice(i, 1), *ints, *(pa.ListArray.from_arrays(pa.array([0, x.size], pa.int32()), pa.array(x.ravel())) for x in (total, count))], names=["scene_id", "r0", "c0", "h", "w", "total", "count"])
+
+    return run
+
+
+def previewed(tiles: DataFrame, shape: tuple[int, int], most: int = DEFAULTS["scene"]["preview_max_px"]) -> DataFrame:
+    """(scene_id, h, w, grey, shown) of each scene of ``tiles``, its longer side at most ``most`` pixels.
+
+    Tiles shrink where they lie; one task sees no more than ``most`` squared
+    values.  Overlapping tiles may count a pixel twice, always with its value.
+    """
+    factor = max(1, -(-max(shape) // most))
+    height, width = -(-shape[0] // factor), -(-shape[1] // factor)
+    parts = tiles.select("scene_id", "r0", "c0", "h", "w", "pixels").mapInArrow(_shrunk(factor), "scene_id string, r0 int, c0 int, h int, w int, total array<double>, count array<double>")
+
+    def whole(group: pa.Table) -> pa.Table:
+        total, count = np.zeros((height, width)), np.zeros((height, width))
+        boxes = zip(*(group.column(c).to_pylist() for c in ("r0", "c0", "h", "w")), strict=True)
+        for i, (r, c, h, w) in enumerate(boxes):
+            for into, name in ((total, "total"), (count, "count")):
+                into[r : r + h, c : c + w] += group.column(name)[i].values.to_numpy(zero_copy_only=False).reshape(h, w)
+        mean = np.divide(total, count, out=np.full(total.shape, np.nan), where=count > 0)
+        grey = preview(mean.astype(np.float32))
+        return pa.table({"scene_id": group.column("scene_id")[:1], "h": pa.array([height], pa.int32()), "w": pa.array([width], pa.int32()), "grey": [grey.tobytes()], "shown": [(count > 0).astype(np.uint8).tobytes()]})
+
+    return parts.groupBy("scene_id").applyInArrow(whole, "scene_id string, h int, w int, grey binary, shown binary")
+
+
+def png(grey: np.ndarray, shown: np.ndarray | None = None) -> bytes:
+    """A grey image as a PNG file; with ``shown`` it gets an alpha channel."""
 
     def chunk(kind: bytes, data: bytes) -> bytes:
         return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
     h, w = grey.shape
-    lines = np.concatenate([np.zeros((h, 1), np.uint8), grey.astype(np.uint8)], axis=1)  # a filter byte before each row
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+    values = grey.astype(np.uint8) if shown is None else np.stack([grey.astype(np.uint8), np.where(shown, 255, 0).astype(np.uint8)], axis=2).reshape(h, -1)
+    lines = np.concatenate([np.zeros((h, 1), np.uint8), values], axis=1)  # a filter byte before each row
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0 if shown is None else 4, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
 
 
 def signed(items: DataFrame, token: str) -> DataFrame:

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from threading import Lock
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 from tidewake.sources.registry import ship_type_label
+from tidewake.streaming import feed
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 MESSAGES = (
     "MessageType string, error string, MetaData struct<MMSI: long, ShipName: string, time_utc: string>, "
@@ -55,38 +59,98 @@ def routed(messages: DataFrame, bbox: list[float] | None = None) -> DataFrame:
     return out.where((F.col("kind") == "static") | on_map)
 
 
-def enriched(rows: DataFrame, watermark: str | None = None) -> DataFrame:
-    """Positions with the static data that was seen before them, held as state by vessel.
+_STATIC = ("vessel_name", "vessel_type", "length_m")
 
-    Late and repeated reports are kept, unless a watermark is asked for.
-    """
-    if watermark:
-        rows = rows.withWatermark("ts", watermark)
-    state_schema = "name string, type string, length double"
 
-    names = ("vessel_name", "vessel_type", "length_m")
+class StaticData(StatefulProcessor):
+    """Each vessel's last static message, as a value of the state store; positions get what came before them."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getValueState("static_data", "vessel_name string, vessel_type string, length_m double")
 
-    def update(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        known = state.get if state.exists else (None, None, None)
-        for frame in frames:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        held = tuple(self.known.get()) if self.known.exists() else (None, None, None)
+        changed = False
+        for frame in rows:
             static = (frame["kind"] == "static").to_numpy()
             # For each row the last static message before it in the frame; before the first one, the state.
             last = np.maximum.accumulate(np.where(static, np.arange(len(frame)), -1))
             own = frame["vessel_name"]
-            for c, held in zip(names, known, strict=True):
+            for c, before in zip(_STATIC, held, strict=True):
                 seen = frame[c].astype(object).to_numpy()
-                frame[c] = pd.Series(np.where(last >= 0, seen[last], held), index=frame.index, dtype=object)
+                frame[c] = pd.Series(np.where(last >= 0, seen[last], before), index=frame.index, dtype=object)
             frame["vessel_name"] = frame["vessel_name"].where(frame["vessel_name"].notna(), own)
             if static.any():
-                known = tuple(None if pd.isna(x) else x for x in frame.loc[frame.index[last[-1]], list(names)])
-            out = frame.loc[~static, ["mmsi", "ts", "lon", "lat", "sog", "cog", "heading", *names]]
+                held, changed = tuple(None if pd.isna(x) else x for x in frame.loc[frame.index[last[-1]], list(_STATIC)]), True
+            out = frame.loc[~static, ["mmsi", "ts", "lon", "lat", "sog", "cog", "heading", *_STATIC]]
             if len(out):
                 out = out.astype({c: "float64" for c in ("lon", "lat", "sog", "cog", "heading", "length_m")})
-                yield out.assign(**{c: out[c].where(out[c].notna(), None) for c in names[:2]})
-        if known != (None, None, None):
-            state.update(known)
+                yield out.assign(**{c: out[c].where(out[c].notna(), None) for c in _STATIC[:2]})
+        if changed:
+            self.known.update(held)
+
+    def close(self) -> None:
+        pass
+
+
+def enriched(rows: DataFrame, watermark: str | None = None) -> DataFrame:
+    """Positions with the static data that was seen before them, held as state by vessel in RocksDB.
+
+    Late and repeated reports are kept, unless a watermark is asked for.
+    """
+    if watermark:
+        rows = rows.withWatermark("ts", watermark)
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return rows.groupBy("mmsi").transformWithStateInPandas(StaticData(), POSITIONS, "append", "none")
+
+
+class Counters(StreamingQueryListener):
+    """Numbers of a running recording, added up from what its batches report.
+
+    Vessels are counted by sketches that can be merged, so neither the vessels
+    nor their positions are held.
+    """
 
-    return rows.groupBy("mmsi").applyInPandasWithState(update, POSITIONS, state_schema, "append", GroupStateTimeout.NoTimeout)
+    NAME = "recorded"
+
+    def __init__(self) -> None:
+        self.positions, self.batches = 0, 0
+        self.first = self.last = None
+        self.sketches: list[bytes] = []
+        self._lock = Lock()
+
+    @classmethod
+    def watching(cls, positions: DataFrame) -> DataFrame:
+        """``positions`` with what each batch reports."""
+        return positions.observe(cls.NAME, F.count(F.lit(1)).alias("positions"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.hll_sketch_agg("mmsi").alias("vessels"))
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        seen = event.progress.observedMetrics.get(self.NAME)
+        if seen is None or not seen["positions"]:
+            return
+        with self._lock:
+            self.batches += 1
+            self.positions += seen["positions"]
+            self.first = min(filter(None, (self.first, seen["first"])))
+            self.last = max(filter(None, (self.last, seen["last"])))
+            self.sketches.append(bytes(seen["vessels"]))
+
+    def read(self, spark: SparkSession) -> dict:
+        """The numbers so far."""
+        with self._lock:
+            held, out = list(self.sketches), {"positions": self.positions, "time_start": self.first, "time_end": self.last}
+        if not held:
+            return out | {"vessels": 0}
+        merged = spark.createDataFrame([(bytearray(x),) for x in held], "s binary").agg(F.hll_union_agg("s").alias("s")).select("s", F.hll_sketch_estimate("s").alias("n")).first()
+        with self._lock:  # one sketch instead of those that were merged
+            self.sketches = [bytes(merged["s"]), *self.sketches[len(held) :]]
+        return out | {"vessels": merged["n"]}
 
 
 def latest_static(messages: DataFrame) -> DataFrame:
@@ -103,16 +167,41 @@ def backfilled(positions: DataFrame, static: DataFrame) -> DataFrame:
     return out.select(*positions.columns)
 
 
-def record(spark: SparkSession, folder: str, out: str, checkpoint: str, minutes: float | None = None, bbox: list[float] | None = None) -> dict:
-    """Writes enriched positions as Parquet for so many minutes, or once through all files, and sums up."""
+def feed_messages(spark: SparkSession, url: str, journal: str, bbox: list[float] | None = None, key: str = "", **options: object) -> DataFrame:
+    """Messages of the live feed, parsed; the box is asked of the feed."""
+    feed.register(spark)
+    known = {"url": url, "journal": journal, "key": key} | ({"bbox": ",".join(map(str, bbox))} if bbox else {})
+    raw = spark.readStream.format("vessel_feed").options(**known, **options).load()
+    return raw.select(F.from_json("message", MESSAGES).alias("m")).select("m.*")
+
+
+def started(messages: DataFrame, out: str, checkpoint: str, bbox: list[float] | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """A running recording of enriched positions as Parquet."""
+    positions = Counters.watching(enriched(routed(messages, bbox)))
+    writer = positions.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def record(spark: SparkSession, folder: str, out: str, checkpoint: str, minutes: float | None = None, bbox: list[float] | None = None, counters: Counters | None = None, url: str | None = None, key: str = "") -> dict:
+    """Writes enriched positions as Parquet for so many minutes, or once through all files, and sums up.
+
+    Messages are JSON files of ``folder``; with ``url`` they come from the live
+    feed, whose journal is kept there.  ``counters`` can be read meanwhile.
+    """
     if minutes is not None and not 1 <= minutes <= 240:
         raise ValueError("minutes must lie in [1, 240]")
-    stream = enriched(routed(read_messages(spark, folder), bbox)).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
-    query = (stream.trigger(availableNow=True) if minutes is None else stream.trigger(processingTime="5 seconds")).start()
+    if url and minutes is None:
+        raise ValueError("a live feed has no end: give minutes")
+    messages = feed_messages(spark, url, folder, bbox, key) if url else read_messages(spark, folder)
+    if counters is not None:
+        spark.streams.addListener(counters)
+    query = started(messages, out, checkpoint, bbox, None if minutes is None else {"processingTime": "5 seconds"})
     try:
         query.awaitTermination(None if minutes is None else int(minutes * 60))
     finally:
         query.stop()
+        if counters is not None:
+            spark.streams.removeListener(counters)
     static = latest_static(spark.read.schema(MESSAGES).json(folder))
     positions = backfilled(spark.read.schema(POSITIONS).parquet(out), static)
     r = positions.agg(F.count("*").alias("positions"), F.countDistinct("mmsi").alias("vessels"), F.min("ts").alias("time_start"), F.max("ts").alias("time_end")).first()
