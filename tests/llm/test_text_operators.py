@@ -516,6 +516,37 @@ def test_scan_of_odd_tables(spark):
 # ---------------------------------------------------------------- quality
 
 
+FLOORS = np.array([0.08, 0.05, 0.15, 0.13]) * 65536
+
+
+def estimated(core):
+    return core.mean(axis=0), 1.487 * np.cov(core.T, bias=True).reshape(4, 4) + np.diag(FLOORS**2)
+
+
+def far(rows, mean, cov):
+    off = rows - mean
+    return (off * np.linalg.solve(cov, off.T).T).sum(axis=1)
+
+
+def from_every_start(m):
+    """(half the logarithm of the determinant, mean, covariance) that each start leads to."""
+    w = FLOORS / 64
+    middle = np.array([next(k for k in sorted(set(col)) if 2 * (col <= k).sum() >= len(col)) for col in np.floor(m / w).T])
+    off = ((m - (middle + 0.5) * w) / FLOORS) ** 2
+    found = []
+    for d2 in (off.sum(axis=1), far(m, *estimated(m)), off.max(axis=1)):
+        before = None
+        for _ in range(quality.MOST_STEPS):
+            cell = np.floor(np.log(1 + d2) * 256)
+            edge = next(k for k in sorted(set(cell)) if (cell <= k).sum() >= 0.75 * len(cell))
+            mean, cov = estimated(m[cell <= edge])
+            if before is not None and np.array_equal(before, cov):
+                break
+            before, d2 = cov, far(m, mean, cov)
+        found.append((np.linalg.slogdet(cov)[1] / 2, mean, cov))
+    return found
+
+
 def test_verdicts_against_numpy(spark, docs):
     """The estimates anew, in NumPy, from the counts."""
     many = docs.select("doc_id", "text", "lang", "source").unionByName(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id") + 5_000_000, "text", "lang", F.when(F.col("doc_id") % 3 > 0, "web").otherwise(F.col("source"))).toDF("doc_id", "text", "lang", "source"))
@@ -524,40 +555,78 @@ def test_verdicts_against_numpy(spark, docs):
     rows = [r for r in quality.judged(many).collect()]
     assert len(rows) == len(place)
     good = [r for r in rows if not r["base_failed"]]
-    floors = np.array([0.08, 0.05, 0.25, 0.20]) * 65536
     n, c, s, ln, dup, rep = (np.array([r[k] for r in good], float) for k in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"))
     x = np.floor(np.stack([np.log((c + 1) / (n + 1)), np.sqrt(s / (c + 1)), np.sqrt(dup / (ln + 1)), np.sqrt(rep / (n + 1))], 1) * 65536 + 0.5)
-    langs = [place[r["row"]][0] or "?" for r in good]
-    pairs = [(a, place[r["row"]][1] or "?") for a, r in zip(langs, good, strict=True)]
-    by_lang, by_pair = Counter(langs), Counter(pairs)
-
-    def distances(members):
-        m = x[members]
-        w = floors / 64
-        cells = np.floor(m / w)
-        middle = [next(k for k in sorted(set(col)) if 2 * (col <= k).sum() >= len(col)) for col in cells.T]
-        d2 = (((m - (np.array(middle) + 0.5) * w) / floors) ** 2).sum(axis=1)
-        for _ in range(quality.C_STEPS):
-            cell = np.floor(np.log(1 + d2) * 256)
-            edge = next(k for k in sorted(set(cell)) if (cell <= k).sum() >= 0.75 * len(cell))
-            core = m[cell <= edge]
-            cov = 1.487 * np.cov(core.T, bias=True) + np.diag(floors**2)
-            off = x - core.mean(axis=0)
-            every = (off * np.linalg.solve(cov, off.T).T).sum(axis=1)
-            d2 = every[members]
-        return every
+    pairs = [place[r["row"]] for r in good]
+    by_lang, by_pair = Counter(p[0] for p in pairs), Counter(pairs)
 
     judged_by = [("p", p) if by_pair[p] >= 100 else ("l", p[0]) if by_lang[p[0]] >= 100 else ("a",) for p in pairs]
     known = {}
     for who in set(judged_by):
         members = np.array([who[0] == "a" or (who[0] == "l" and who[1] == p[0]) or (who[0] == "p" and who[1] == p) for p in pairs])
-        known[who] = distances(members)
+        _, mean, cov = min(from_every_start(x[members]), key=lambda f: round(f[0], 9))
+        known[who] = far(x, mean, cov)
     for i, r in enumerate(good):
         want = known[judged_by[i]][i]
         assert r["distance2"] == pytest.approx(want, rel=1e-6, abs=1e-9) and r["kept"] == (want <= quality.CUTOFF)
     assert {w[0] for w in judged_by} >= {"p", "l"} and any(r["kept"] for r in good) and not all(r["kept"] for r in good)
 
 
+def test_the_least_determinant_stays(spark):
+    """Three clusters, from which the starts lead to different cores; each start is best somewhere or ties."""
+    rows, want = [], {}
+    for seed in (0, 2, 15, 18):
+        g = np.random.default_rng(seed)
+        n, a = 200, int(g.integers(90, 130))
+        b = (n - a) // 2
+        parts = [g.normal(0, 1, (a, 4)) * g.uniform(0.2, 3, 4)]
+        parts += [g.normal(0, 1, (k, 4)) * g.uniform(0.2, 3, 4) + g.normal(0, 8, 4) for k in (b, n - a - b)]
+        m = np.floor(np.concatenate(parts) * FLOORS)
+        found = from_every_start(m)
+        assert max(f[0] for f in found) - min(f[0] for f in found) > 0.05
+        want[f"s{seed}"] = min(found, key=lambda f: round(f[0], 9))[1]
+        rows += [(1000 * seed + i, f"s{seed}", *map(int, x)) for i, x in enumerate(m)]
+    got = quality._concentrated(spark.createDataFrame(rows, "__row long, stratum string, x1 long, x2 long, x3 long, x4 long"), F.broadcast).collect()
+    assert {r["stratum"] for r in got} == set(want)
+    for r in got:
+        assert [r[f"x{i}m"] for i in (1, 2, 3, 4)] == pytest.approx(want[r["stratum"]].tolist())
+
+
+def ordinary(draw, n=120):
+    return "\n".join(" ".join("".join(draw.choice("abcdefghij") for _ in range(draw.randrange(2, 9))) for _ in range(12)) for _ in range(n // 12))
+
+
+def test_every_coordinate_can_reject_alone(spark):
+    draw = random.Random(4)
+    rows = [(i, ordinary(draw), "en", "web") for i in range(150)]
+    line = ordinary(draw, 12)
+    half = ordinary(draw, 60)
+    planted = {
+        "x1": " ".join("k" * draw.randrange(24, 30) + str(i) for i in range(120)),
+        "x2": " ".join(w + "##%" for w in ordinary(draw).split()),
+        "x3": "\n".join([*["one two three"[: 3 + 4 * (i % 3)] for i in range(60)], *ordinary(draw, 240).split("\n")]),
+        "x4": " ".join([*half.split()[:28], *ordinary(draw, 60).split(), *half.split()[:28]]),
+    }
+    rows += [(1000 + i, t, "en", "web") for i, t in enumerate(planted.values())]
+    got = {r["doc_id"]: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert sum(got[i]["kept"] for i in range(150)) >= 148 and line
+    for i, name in enumerate(planted):
+        r = got[1000 + i]
+        assert not r["base_failed"] and not r["kept"], name
+
+
+def test_strata_of_odd_names_stay_apart(spark):
+    """Null is no name, and languages and sources don't run into each other."""
+    draw = random.Random(9)
+    names = [(None, None), ("?", "?"), ("x/y", "z"), ("x", "y/z"), ("", ""), ("none", "none"), ("all", None)]
+    rows = [(1000 * k + i, " ".join(w * (k + 1) for w in ordinary(draw).split()), lang, source) for k, (lang, source) in enumerate(names) for i in range(110)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    together = {r["doc_id"]: r["distance2"] for r in quality.judged(docs).collect()}
+    for k in range(len(names)):
+        alone = quality.judged(docs.where((F.col("doc_id") >= 1000 * k) & (F.col("doc_id") < 1000 * k + 1000))).collect()
+        assert all(together[r["doc_id"]] == pytest.approx(r["distance2"], rel=1e-9) for r in alone)
+
+
 def test_each_row_is_kept_or_rejected_by_itself(spark):
     fine = plain_text(3)
     rows = [(None, "too short"), (None, fine), (7, "too short"), (7, fine), (7, fine)]

@@ -58,12 +58,13 @@ def base_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # ---------------------------------------------------------------- verdicts
 
 #: Statistics of the distance: transformed vector, its unit (2**-16) and the
-#: least standard deviation that a coordinate is taken to have.
+#: least standard deviation that a coordinate is taken to have.  The last two
+#: are at most 1 and 0.71, so each may still reach the cutoff by itself.
 COORDINATES = {
     "x1": ("ln((word_chars + 1.0D) / (n_words + 1.0D))", 0.08),
     "x2": ("sqrt(n_symbols / (word_chars + 1.0D))", 0.05),
-    "x3": ("sqrt(n_dup_lines / (n_lines + 1.0D))", 0.25),
-    "x4": ("sqrt(n_repeat_words / (n_words + 1.0D))", 0.20),
+    "x3": ("sqrt(n_dup_lines / (n_lines + 1.0D))", 0.15),
+    "x4": ("sqrt(n_repeat_words / (n_words + 1.0D))", 0.13),
 }
 UNIT = 65536
 #: Part of a stratum whose covariance has the least determinant, and the factor
@@ -71,7 +72,11 @@ UNIT = 65536
 CORE, CONSISTENT = 0.75, 1.487
 #: 0.9999 quantile of chi-squared with four degrees of freedom.
 CUTOFF = 23.51
-C_STEPS = 4
+#: Concentration steps end when no estimate changes, or after so many.
+MOST_STEPS = 12
+#: Starts of the steps: 0 from the medians by the sum of squares, 1 from the mean
+#: and covariance of all rows, 2 from the medians by the largest coordinate.
+STARTS = (0, 1, 2)
 #: A language and source with fewer rows takes its language's estimate, and that all rows'.
 LEAST_ROWS = 100
 _NAMES = list(COORDINATES)
@@ -81,15 +86,12 @@ _PAIRS = [(a, b) for i, a in enumerate(_NAMES) for b in _NAMES[: i + 1]]
 def sql_vectors(source: str) -> str:
     """Transformed vectors in whole units, so that sums don't depend on their order."""
     xs = ", ".join(f"cast(round({e} * {UNIT}) as bigint) as {x}" for x, (e, _) in COORDINATES.items())
-    return f"""select *, {xs}, concat(coalesce(lang, '?'), '/', coalesce(source, '?')) as s3, coalesce(lang, '?') as s2 from {source}
+    # Lengths keep names apart whatever they hold; null is none of them.
+    lang = "coalesce(concat(length(lang), '=', lang), 'none')"
+    return f"""select *, {xs}, concat({lang}, '/', coalesce(concat('=', source), 'none')) as s3, {lang} as s2 from {source}
         where not base_failed"""
 
 
-def sql_strata(vectors: str) -> str:
-    return f"""select s3, case when n3 >= {LEAST_ROWS} then concat('source ', s3) when n2 >= {LEAST_ROWS} then concat('lang ', s2) else 'all' end as stratum
-        from (select s3, s2, n3, sum(n3) over (partition by s2) as n2 from (select s3, s2, count(*) as n3 from {vectors} group by s3, s2) a) b"""
-
-
 def sql_groups(vectors: str) -> str:
     """For each language and source, the stratum that judges it and all strata whose estimates its rows take part in.
 
@@ -109,9 +111,10 @@ MOST_BROADCAST = 100_000
 
 
 def sql_first_distance(vectors: str, centres: str) -> str:
-    """Distance from the middle of the densest cells, in least standard deviations."""
-    d = " + ".join(f"({x} - {x}m) / {sd * UNIT!r}D * (({x} - {x}m) / {sd * UNIT!r}D)" for x, (_, sd) in COORDINATES.items())
-    return f"select v.*, {d} as d2 from {vectors} v join {centres} c on v.stratum = c.stratum"
+    """Distance from the medians in least standard deviations, for the starts that begin there."""
+    squares = [f"({x} - {x}m) / {sd * UNIT!r}D * (({x} - {x}m) / {sd * UNIT!r}D)" for x, (_, sd) in COORDINATES.items()]
+    return f"""select v.*, case when start = {STARTS[0]} then {' + '.join(squares)} else greatest({', '.join(squares)}) end as d2
+        from {vectors} v join {centres} c on v.stratum = c.stratum"""
 
 
 def sql_centres(vectors: str) -> str:
@@ -161,14 +164,56 @@ def sql_distance(vectors: str, estimate: str) -> str:
     return f"select * except ({drop}), {' + '.join(f'z_{x} * z_{x}' for x in _NAMES)} as d2 from ({text}) k"
 
 
+#: What an estimate is: means and factor of the covariance.
+_ESTIMATE = [f"{x}m" for x in _NAMES] + [f"l_{a}_{b}" for a, b in _PAIRS]
+
+
+def _concentrated(members: DataFrame, small) -> DataFrame:
+    """(stratum, means, factor) of each stratum's core of least determinant among those that the starts lead to.
+
+    Every start of a stratum is a stratum of its own on the way, so all of them
+    take their steps together.
+    """
+    spark = members.sparkSession
+
+    def run(text: str, **frames: DataFrame) -> DataFrame:
+        return spark.sql(text, **frames)
+
+    def begun(frame: DataFrame, *starts: int) -> DataFrame:
+        out = frame.withColumn("start", F.explode(F.array(*map(F.lit, starts))))
+        return out.withColumn("stratum", F.concat("stratum", F.lit(" #"), F.col("start").cast("string")))
+
+    centres = settled(run(sql_centres("{v}"), v=members))
+    first = run(sql_first_distance("{v}", "{c}"), v=begun(members, STARTS[0], STARTS[2]), c=small(begun(centres, STARTS[0], STARTS[2]).drop("start")))
+    by_all = begun(members, STARTS[1])
+    everyone = run("select stratum, 0 as edge from {v} group by stratum", v=by_all)
+    whole = settled(run(sql_estimate("{d}", "{k}", "decimal(20, 0)"), d=by_all.withColumn("d2", F.lit(0.0)), k=small(everyone)))
+    kept = ["__row", "stratum", *_NAMES, "d2"]
+    d = first.select(*kept).unionByName(run(sql_distance("{v}", "{e}"), v=by_all, e=small(whole)).select(*kept))
+    vectors = begun(members, *STARTS).drop("start")
+    before = None
+    for _ in range(MOST_STEPS):
+        core = settled(run(sql_core("{d}"), d=d))
+        estimate = settled(run(sql_estimate("{d}", "{k}", "decimal(20, 0)"), d=d, k=small(core)))
+        if before is not None:
+            same = " and ".join(f"a.{c} = b.{c}" for c in _ESTIMATE)
+            if not run(f"select 1 from {{a}} a join {{b}} b on a.stratum = b.stratum where not ({same}) limit 1", a=estimate, b=before).count():
+                break
+        before = estimate
+        d = run(sql_distance("{v}", "{e}"), v=vectors, e=small(estimate))
+    size = " + ".join(f"ln(l_{x}_{x})" for x in _NAMES)  # half the logarithm of the determinant
+    best = run(f"select substring(stratum, 1, length(stratum) - 3) as stratum, min_by(struct({', '.join(_ESTIMATE)}), struct(round({size}, 12) as size, substring(stratum, -1) as start)) as e from {{e}} group by 1", e=estimate)
+    return best.select("stratum", "e.*")
+
+
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, id, n_words, counts, base_failed, distance2, kept) of every row of ``docs``.
 
     A row that fails the base rules is rejected.  For the others a regularised
     minimum-covariance-determinant estimate is made of each language and source
-    by concentration steps from the coordinates' medians: the nearest CORE of
-    the rows give mean and covariance, these the distances, and so on.  Rows
-    beyond CUTOFF are rejected.  A stratum of under LEAST_ROWS rows is judged
+    by concentration steps from three starts: the nearest CORE of the rows give
+    mean and covariance, these the distances, and so on until nothing changes.
+    The estimate of least determinant stays.  Rows beyond CUTOFF are rejected.  A stratum of under LEAST_ROWS rows is judged
     by the estimate of all its language's rows, or by that of all rows.
 
     Null language and source are strata like any other; null texts count as
@@ -196,12 +241,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         """One row a stratum: by broadcast a hot stratum stays where its rows are."""
         return F.broadcast(frame) if groups_small else frame
 
-    centres = settled(run(sql_centres("{v}"), v=members))
-    d = run(sql_first_distance("{v}", "{c}"), v=members, c=small(centres))
-    for _ in range(C_STEPS):
-        core = settled(run(sql_core("{d}"), d=d))
-        estimate = settled(run(sql_estimate("{d}", "{k}", "decimal(20, 0)"), d=d, k=small(core)))
-        d = run(sql_distance("{v}", "{e}"), v=members, e=small(estimate))
+    estimate = settled(_concentrated(members, small))
     verdict = run(sql_distance("{v}", "{e}"), v=vectors.drop("strata"), e=small(estimate)).select("__row", F.col("d2").alias("distance2"))
     out = stats.join(verdict, "__row", "left")
     kept = ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= CUTOFF)
