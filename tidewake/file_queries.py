@@ -24,7 +24,7 @@ def _folder(spark: SparkSession, kind: str) -> str:
 
 
 @query(f"""with px as (select l_orderkey // 100 as row, l_partkey % {_WIDE} as col, avg(l_quantity)::float as v from lineitem group by all), h as (select max(row) + 1 as h from px)
-    select (row // 2)::int as row, (col // 2)::int as col, round(sum(v::double) / 4, 3) as value from px, h where row // 2 < h // 2 group by row // 2, col // 2 having sum(v) <> 0""")
+    select (row // 2)::int as row, (col // 2)::int as col, round((sum(v::double) / 4)::float::double, 3) as value from px, h where row // 2 < h // 2 group by row // 2, col // 2 having sum(v) <> 0""")
 def scene_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as the pixels of a scene: written as GeoTIFF by the tasks, read again in tiles at half the size."""
     scene_files.register(spark)
@@ -33,7 +33,8 @@ def scene_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "scene") + "/image.tif"
     raster.tiled_to(raster.tiled(px, 64), height, _WIDE).write.format("geotiff").options(width=_WIDE, height=height, bounds="71.6,18.2,72.1,18.7").mode("overwrite").save(path)
     small = spark.read.format("scene").options(size=96, overlap=0, factor=2, bands=1).load(path)
-    return raster.pixels(small).where(~F.isnan("value")).select("row", "col", F.round(F.col("value").cast("double"), 3).alias("value"))
+    # The last tiles of an axis lie flush with the edge, over those before.
+    return raster.pixels(small).where(~F.isnan("value")).dropDuplicates(["row", "col"]).select("row", "col", F.round(F.col("value").cast("double"), 3).alias("value"))
 
 
 _ROWS, _COLS = 120, 160
@@ -52,18 +53,13 @@ _XY = [f"({d(float(m[0]))} * lon + {d(float(m[1]))} * lat + {d(float(m[2]))})" f
     t as (select r, c, {d(float(_WEST))} + (c + 0.5::double) * {d(_PIXEL)} as lon, {d(float(_NORTH))} - (r + 0.5::double) * {d(_PIXEL)} as lat from range({_TH}) a(r), range({_TW}) b(c)),
     s as (select r, c, {_XY[0]} as x, {_XY[1]} as y from t), i as (select *, floor(y - 0.5::double)::int as i, floor(x - 0.5::double)::int as j from s where x between 0 and {_COLS} and y between 0 and {_ROWS}),
     k as (select i.*, di, dj, (case when di = 1 then y - 0.5::double - i else 1 - (y - 0.5::double - i) end) * (case when dj = 1 then x - 0.5::double - j else 1 - (x - 0.5::double - j) end) as w from i, range(2) p(di), range(2) q(dj))
-    select r::int as row, c::int as col, round(sum(v * w) / sum(w), 2) as value from k join px on px.row = i + di and px.col = j + dj group by r, c having sum(w) > 1e-3""")
+    select r::int as row, c::int as col, round((sum(v * w) / sum(w))::float::double, 2) as value from k join px on px.row = i + di and px.col = j + dj group by r, c having sum(w) > 1e-6""")
 def warped_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A slanted scene with four control points on a north-up grid; source tiles meet target tiles by equality."""
     px = load(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % _ROWS).cast("int").alias("row"), (F.col("l_partkey") % _COLS).cast("int").alias("col")).agg(F.avg("l_quantity").alias("value")).withColumn("scene_id", F.lit("s"))
     gaps = raster.tiled_to(raster.tiled(px, 40), _ROWS, _COLS).withColumns({"pixels": F.transform("pixels", lambda v: F.when(v != 0, v).otherwise(F.lit(float("nan")))), "band": F.lit(1)})
     moved, _ = warp.north_up(gaps, _INFO, size=48, source_size=40)
-    weighed = raster.pixels(moved).where(~F.isnan("value"))
-    # The weight of the pixels with data around a place, as one more scene of ones.
-    ones = gaps.withColumn("pixels", F.transform("pixels", lambda v: F.when(F.isnan(v), F.lit(0.0)).otherwise(F.lit(1.0)).cast("float")))
-    share, _ = warp.north_up(ones, _INFO, size=48, source_size=40)
-    known = raster.pixels(share).where(F.col("value") > 1e-3).select("row", "col")
-    return weighed.join(known, ["row", "col"]).select("row", "col", F.round(F.col("value").cast("double"), 2).alias("value"))
+    return raster.pixels(moved).where(~F.isnan("value")).dropDuplicates(["row", "col"]).select("row", "col", F.round(F.col("value").cast("double"), 2).alias("value"))
 
 
 _NODES = f"""f0 as (select cast(floor(ts_epoch / 86400) as double) * 86400 as epoch, (k % 4)::double + 17 as lat, (k // 4 % 4) * 0.5::double + 70 as lon, avg(sog) as u_cur, avg(cog) / 100 as v_cur, avg(value) / 100 as u_wind, avg(k) / 10 as v_wind from ais group by all),

@@ -673,3 +673,14 @@ def land_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     islands = [[[(cx * 0.1, cy * 0.1), (cx * 0.1 + 0.04, cy * 0.1), (cx * 0.1, cy * 0.1 + 0.04), (cx * 0.1, cy * 0.1)]] for cx, cy in _LAND]
     rows = fixes(spark, sf_dir).select("seq", (F.col("lon") + 0.00131).alias("lon"), (F.col("lat") + 0.00071).alias("lat"))
     return land.land_distance(rows, land.pieces(spark, islands, 0.5), 3.0, 0.5).select("seq", r6("land_km").alias("land_km"))
+
+
+@query(f"""with {AIS}, {_LAND_SQL}, p as (select seq, lon + 0.00131::double as lon, lat + 0.00071::double as lat, 111.0::double * greatest(0.2::double, cos(radians(lat + 0.00071::double))) as kx from ais),
+    q as (select seq, (x1 - lon) * kx as ax, (y1 - lat) * 111.0::double as ay, (x2 - x1) * kx as dx, (y2 - y1) * 111.0::double as dy, ((y1 > lat) <> (y2 > lat)) and lon < (x2 - x1) * (lat - y1) / nullif(y2 - y1, 0) + x1 as hit from p, ed),
+    r as (select seq, min(sqrt(power(ax + greatest(0.0::double, least(1.0::double, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) * dx, 2) + power(ay + greatest(0.0::double, least(1.0::double, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) * dy, 2))) as km, coalesce(sum(hit::int), 0) % 2 = 1 as on_land from q group by seq)
+    select seq, round(case when on_land then 0.0::double else km end, 6) as land_km from r""")
+def nearest_island(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fix's distance to the nearest small island, however far."""
+    islands = [[[(cx * 0.1, cy * 0.1), (cx * 0.1 + 0.04, cy * 0.1), (cx * 0.1, cy * 0.1 + 0.04), (cx * 0.1, cy * 0.1)]] for cx, cy in _LAND]
+    rows = fixes(spark, sf_dir).select("seq", (F.col("lon") + 0.00131).alias("lon"), (F.col("lat") + 0.00071).alias("lat"))
+    return land.nearest_land(rows, land.pieces(spark, islands, 0.05), 0.05).select("seq", r6("land_km").alias("land_km"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.functions.geo import Ring, in_rings, inside
+from tidewake.session import settled
 
 CELL_DEG = 2.0
 PIECES = "cell_x int, cell_y int, piece_id long, rings array<array<struct<lon: double, lat: double>>>"
@@ -92,6 +93,27 @@ def on_land(points: DataFrame, land: DataFrame | None, cell: float = CELL_DEG) -
     return out.drop("__x", "__y", "__cx", "__cy", "__p", "__hit")
 
 
+def _edges_km(rings: Column, lon: Column, lat: Column, kx: Column, shift: Column | float = 0.0) -> Column:
+    """Least distance from a point to the edges of rings that are moved ``shift`` degrees east."""
+    ky = F.lit(111.0)
+
+    def edge_km(a: Column, b: Column) -> Column:
+        ax, ay = (a["lon"] + shift - lon) * kx, (a["lat"] - lat) * ky
+        dx, dy = (b["lon"] - a["lon"]) * kx, (b["lat"] - a["lat"]) * ky
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / F.greatest(dx * dx + dy * dy, F.lit(1e-18))))
+        return F.sqrt(F.pow(ax + t * dx, 2.0) + F.pow(ay + t * dy, 2.0))
+
+    def ring_km(ring: Column) -> Column:
+        n = F.size(ring)
+        return F.array_min(F.zip_with(F.slice(ring, F.lit(1), n - 1), F.slice(ring, F.lit(2), n - 1), edge_km))
+
+    return F.array_min(F.transform(rings, ring_km))
+
+
+def _km_per_degree(lat: Column) -> Column:
+    return 111.0 * F.greatest(F.lit(0.2), F.cos(F.radians(lat)))
+
+
 def land_distance(points: DataFrame, land: DataFrame, most_km: float = 50.0, cell: float = CELL_DEG) -> DataFrame:
     """``points`` with ``land_km``, the distance to the nearest land, 0 on land and ``most_km`` at most.
 
@@ -99,28 +121,62 @@ def land_distance(points: DataFrame, land: DataFrame, most_km: float = 50.0, cel
     beyond can't be nearer.  Distances to a piece's edges are part of the plan.
     """
     lon, lat = F.col("lon"), F.col("lat")
-    kx, ky = 111.0 * F.greatest(F.lit(0.2), F.cos(F.radians(lat))), F.lit(111.0)
-    placed = on_land(points, land, cell).withColumn("__p", F.monotonically_increasing_id())
+    kx, ky = _km_per_degree(lat), F.lit(111.0)
+    placed = settled(on_land(points, land, cell).withColumn("__p", F.monotonically_increasing_id()))
 
     def cells(x: Column, reach: Column) -> Column:
         return F.sequence(F.floor((x - reach) / cell).cast("int"), F.floor((x + reach) / cell).cast("int"))
 
-    def edge_km(a: Column, b: Column) -> Column:
-        ax, ay = (a["lon"] - lon) * kx, (a["lat"] - lat) * ky
-        dx, dy = (b["lon"] - a["lon"]) * kx, (b["lat"] - a["lat"]) * ky
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / F.greatest(dx * dx + dy * dy, F.lit(1e-18))))
-        return F.sqrt(F.pow(ax + t * dx, 2.0) + F.pow(ay + t * dy, 2.0))
-
-    def ring_km(ring: Column) -> Column:
-        n = F.size(ring)
-        return F.array_min(F.zip_with(F.slice(ring, F.lit(1), n - 1), F.slice(ring, F.lit(2), n - 1), edge_km))
-
     asked = placed.where(~F.col("on_land")).select("__p", "lon", "lat", F.explode(cells(lon, most_km / kx)).alias("cell_x")).select("*", F.explode(cells(lat, most_km / ky)).alias("cell_y"))
-    near = asked.join(land, ["cell_x", "cell_y"]).groupBy("__p").agg(F.min(F.array_min(F.transform("rings", ring_km))).alias("__km"))
+    near = asked.join(land, ["cell_x", "cell_y"]).groupBy("__p").agg(F.min(_edges_km(F.col("rings"), lon, lat, kx)).alias("__km"))
     km = F.when(F.col("on_land"), 0.0).otherwise(F.least(F.lit(float(most_km)), F.coalesce("__km", F.lit(float(most_km)))))
     return placed.join(near, "__p", "left").withColumn("land_km", km).drop("__p", "__km", "on_land")
 
 
+def nearest_land(points: DataFrame, land: DataFrame, cell: float = CELL_DEG) -> DataFrame:
+    """``points`` with ``land_km``, the distance to the nearest land however far, 0 on land, null without any land.
+
+    Squares of cells grow around the points: of twice the width each time, and
+    only around points whose nearest piece so far is farther away than the rim
+    of the cells asked.  Every step is an equality join; longitudes wrap if
+    whole cells go round.
+    """
+    placed = settled(on_land(points, land, cell).withColumn("__p", F.monotonically_increasing_id()))
+    around = round(360 / cell)
+    wraps = abs(around * cell - 360) < 1e-9
+    x = F.pmod(F.col("lon") + 180.0, F.lit(360.0)) - 180.0
+    y = F.greatest(F.lit(-90.0), F.least(F.lit(90.0), F.col("lat")))
+    left = placed.where(~F.col("on_land")).select("__p", x.alias("x"), y.alias("y"), F.floor(x / cell).cast("int").alias("cx"), F.floor(y / cell).cast("int").alias("cy"), F.lit(None).cast("double").alias("km"))
+    found: list[DataFrame] = []
+    inner, reach = -1, 0
+    any_land = land.limit(1).count() > 0
+    while any_land:
+        steps = F.sequence(F.lit(-reach), F.lit(reach))
+        ring = left.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps)).where(F.greatest(F.abs("dx"), F.abs("dy")) > inner)
+        far_x = F.col("cx") + F.col("dx")
+        own_x = F.pmod(far_x + around // 2, F.lit(around)) - around // 2 if wraps else far_x
+        asked = ring.select("__p", "x", "y", own_x.cast("int").alias("cell_x"), (F.col("cy") + F.col("dy")).alias("cell_y"), ((far_x - own_x) * cell).alias("shift"))
+        met = asked.join(land, ["cell_x", "cell_y"])
+        near = met.groupBy("__p").agg(F.min(_edges_km(F.col("rings"), F.col("x"), F.col("y"), _km_per_degree(F.col("y")), F.col("shift"))).alias("near"))
+        rim_x = F.least(F.col("x") - (F.col("cx") - reach) * cell, (F.col("cx") + reach + 1) * cell - F.col("x")) * _km_per_degree(F.col("y"))
+        # Beyond a pole there is nothing to come nearer.
+        down, up = (F.col("cy") - reach) * cell, (F.col("cy") + reach + 1) * cell
+        rim_y = F.least(F.when(down > -90, F.col("y") - down).otherwise(F.lit(1e9)), F.when(up < 90, up - F.col("y")).otherwise(F.lit(1e9))) * 111.0
+        rim = F.least(F.lit(1e9) if reach * cell >= 360 else rim_x, rim_y)
+        state = settled(left.join(near, "__p", "left").withColumn("km", F.least("km", "near")).withColumn("known", F.coalesce(F.col("km") <= rim, F.lit(False)) | F.lit(reach * cell >= 360)))
+        found.append(state.where("known").select("__p", "km"))
+        left = state.where("not known").drop("near", "known")
+        if not left.limit(1).count():
+            break
+        inner, reach = reach, 2 * reach + 1
+    if not found:
+        return placed.withColumn("land_km", F.lit(None).cast("double")).drop("__p", "on_land")
+    distances = found[0]
+    for more in found[1:]:
+        distances = distances.unionByName(more)
+    return placed.join(distances, "__p", "left").withColumn("land_km", F.when(F.col("on_land"), F.lit(0.0)).otherwise(F.col("km"))).drop("__p", "km", "on_land")
+
+
 class LandIndex:
     """Land pieces in memory, for tasks that move particles and for single points; ``land_distance`` serves tables.
 

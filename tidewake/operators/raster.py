@@ -52,9 +52,10 @@ def tiled(px: DataFrame, size: int = 256) -> DataFrame:
 
 def tiled_to(tiles: DataFrame, height: int, width: int) -> DataFrame:
     """Tiles cut to an image of ``height`` by ``width``; those that lie outside go."""
-    h, w = F.least(F.col("h"), height - F.col("r0")), F.least(F.col("w"), width - F.col("c0"))
-    rows = F.flatten(F.transform(F.sequence(F.lit(0), h - 1), lambda r: F.slice("pixels", r * F.col("w") + 1, w)))
-    return tiles.where((F.col("r0") < height) & (F.col("c0") < width)).select("scene_id", "r0", "c0", h.alias("h"), w.alias("w"), rows.alias("pixels"))
+    inside = tiles.where((F.col("r0") < height) & (F.col("c0") < width))
+    sized = inside.select("scene_id", "r0", "c0", F.least(F.col("h"), height - F.col("r0")).alias("h"), F.least(F.col("w"), width - F.col("c0")).alias("w"), F.col("w").alias("__whole"), "pixels")
+    rows = F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda r: F.slice("pixels", r * F.col("__whole") + 1, F.col("w")))
+    return sized.select("scene_id", "r0", "c0", "h", "w", F.flatten(rows).alias("pixels"))
 
 
 def tile_grid(scenes: DataFrame, size: int, overlap: int) -> DataFrame:
