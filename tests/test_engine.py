@@ -156,3 +156,28 @@ def test_a_case_from_files(spark, tmp_path):
     assert e.job(e.upload_scene(c, str(tmp_path / "none.tif")))["state"] == "failed"
     with pytest.raises(ValueError):
         e.upload_netcdf(c, "x.csv")
+
+
+def test_sweeps_other_tracks_and_live_counters(case, tmp_path):
+    e, c = case
+    slick = e.slicks(c)["features"][0]
+    swept = e.windage_sweep(c, slick["id"], [(0.0, 0.0), (0.03, 0.03)], "constant", hindcast_hours=3, ensemble_members=2, particle_count=50)
+    rows = {(r["scenario"], r["step"]): r for r in swept.collect()}
+    last = max(s for _, s in rows)
+    assert rows[0, 0]["particles"] == rows[1, last]["particles"] == 100 and rows[1, 5]["low"] == 0.03
+    assert abs(rows[0, 0]["lon"] - rows[1, 0]["lon"]) < 1e-3 < abs(rows[0, last]["lon"] - rows[1, last]["lon"])
+    with pytest.raises(ValueError):
+        e.windage_sweep(c, slick["id"], [(0.5, 0.1)])
+    named = {x["mmsi"] for x in e.attribution(c)["candidates"]}
+    others = {r["mmsi"] for r in e.other_tracks(c).collect()}
+    assert others and not others & named
+    done(e, e.forecast(c, slick["id"], 3, "constant", ensemble_members=2, particle_count=60))
+    steps = e.get_forecast(c, slick["id"])["steps"]
+    assert len(steps) == 4 and all(s["geometry"]["type"] in ("Polygon", "MultiPolygon") and s["geometry"]["coordinates"] for s in steps)
+    folder = tmp_path / "feed"
+    folder.mkdir()
+    (folder / "1.json").write_text('{"MessageType": "PositionReport", "MetaData": {"MMSI": 419000099, "time_utc": "2026-01-01 00:00:00"}, "Message": {"PositionReport": {"Latitude": 18.0, "Longitude": 72.0}}}')
+    got = done(e, e.record_live(c, str(folder), [71, 17, 73, 19]))
+    assert got and e.live_counters(c)["vessels"] == 1
+    with pytest.raises(config.NotFound):
+        e.live_counters("case_none")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewake.config import DEFAULTS, DriftParams
 from tidewake.functions.geo import Ring, convex_hull, geodesic_area_km2, inside
-from tidewake.operators.density import CONTROL, grid_of, histogram, mass_cells, region_area
+from tidewake.operators.density import CONTROL, grid_of, histogram, mass_cells, region_area, step_regions
 from tidewake.sources.fields import Grid
 
 PARTICLES = "member int, particle int, step int, epoch double, lon double, lat double, stranded boolean"
@@ -142,7 +142,7 @@ def space_time_cloud(particles: DataFrame, p: DriftParams, n: int = 300) -> tupl
 
 
 def forecast(particles: DataFrame, p: DriftParams, cells: int = DEFAULTS["hindcast"]["origin_window"]["density_grid_cells"]) -> dict:
-    """Hourly regions, the swept hull, the stranded share, and whether the coast is at risk."""
+    """Hourly regions with their outlines, the swept hull, the stranded share, and whether the coast is at risk."""
     ens = particles.where(F.col("member") != CONTROL).cache()
     grid = grid_of(ens, cells)
     hourly = max(1, round(60 / p.time_step_minutes))
@@ -151,7 +151,8 @@ def forecast(particles: DataFrame, p: DriftParams, cells: int = DEFAULTS["hindca
     steps = areas.join(at.groupBy("step").agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"), F.min("epoch").alias("epoch")), "step").orderBy("step")
     stranded = ens.agg(F.avg(F.col("stranded").cast("double"))).first()[0]
     hull = swept_hull(at.where((F.col("particle") + F.col("member")) % 7 == 0))
-    return {"steps": [r.asDict() for r in steps.collect()], "envelope": hull, "envelope_area_km2": geodesic_area_km2(hull) if len(hull) > 2 else 0.0, "stranded_fraction": stranded, "coastal_impact_risk": stranded > 0.02, "grid": grid}
+    outlines = {r["step"]: r["rings"] for r in step_regions(ens, grid, p.probability_mass, hourly)}
+    return {"steps": [r.asDict() | {"rings": outlines.get(r["step"], [])} for r in steps.collect()], "envelope": hull, "envelope_area_km2": geodesic_area_km2(hull) if len(hull) > 2 else 0.0, "stranded_fraction": stranded, "coastal_impact_risk": stranded > 0.02, "grid": grid}
 
 
 def swept_hull(points: DataFrame) -> Ring:

@@ -55,6 +55,7 @@ class Engine:
         self.spark, self.store, self.root, self.hourly = spark, Store(spark, root, background), root.rstrip("/"), hourly
         self.land = LandIndex(land) if land is not None else None
         self.catalogue, self.vessels, self.onnx_path = catalogue, vessels, onnx_path
+        self._live: dict[str, recorder.Counters] = {}
 
     # ------------------------------------------------------------ health
 
@@ -372,12 +373,28 @@ class Engine:
             _, field = self._field(case_id, environment_source, netcdf_env_id, [min(xs) - pad, min(ys) - pad, max(xs) + pad, max(ys) + pad], t0, t0 + hours * 3600)
             out = drift.forecast(drift.integrate(self.spark, ring, fields.Grid.of(field), t0, p, self.land), p)
             out["envelope"] = _polygon([out["envelope"]])
+            for step in out["steps"]:
+                step["geometry"] = _polygon(step.pop("rings"))
             self.spark.createDataFrame([(slick_id, dumps(out))], "slick_id string, detail string").write.mode("overwrite").parquet(f"{self.root}/forecasts/{slick_id}")
             self.store.audit(case_id, "forecast.run", {"slick": slick_id})
             return {"coastal_impact_risk": out["coastal_impact_risk"]}
 
         return self.store.run_job("forecast", case_id, work)
 
+    def windage_sweep(self, case_id: str, slick_id: str, ranges: list[tuple[float, float]], environment_source: str = "open_meteo", netcdf_env_id: str | None = None, **params: Any) -> DataFrame:
+        """Where the slick came from under each of several windage ranges, in one job: (scenario, low, high, step, epoch, lon, lat, particles)."""
+        if not ranges or any(not 0 <= low <= high <= 0.1 for low, high in ranges):
+            raise ValueError("windage ranges must lie in [0, 0.1]")
+        p = config.drift_params(params)
+        _, ring, t0 = self._slick(case_id, slick_id)
+        pad = drift.aoi_padding(p.hindcast_hours)
+        xs, ys = [a for a, _ in ring], [b for _, b in ring]
+        _, field = self._field(case_id, environment_source, netcdf_env_id, [min(xs) - pad, min(ys) - pad, max(xs) + pad, max(ys) + pad], t0 + p.n_steps * p.dt, t0)
+        particles = drift.windage_sweep(self.spark, ring, fields.Grid.of(field), t0, p, ranges, self.land).where(F.col("member") != density.CONTROL)
+        limits = F.array(*[F.struct(F.lit(float(a)).alias("low"), F.lit(float(b)).alias("high")) for a, b in ranges])[F.col("scenario")]
+        paths = particles.groupBy("scenario", "step").agg(F.min("epoch").alias("epoch"), F.avg("lon").alias("lon"), F.avg("lat").alias("lat"), F.count("*").alias("particles"))
+        return paths.select("scenario", limits["low"].alias("low"), limits["high"].alias("high"), "step", "epoch", "lon", "lat", "particles")
+
     def get_forecast(self, case_id: str, slick_id: str) -> dict[str, Any]:
         try:
             return loads(self.spark.read.parquet(f"{self.root}/forecasts/{slick_id}").first()["detail"])
@@ -408,13 +425,31 @@ class Engine:
         synthetic.traffic(self.spark, origin, release).coalesce(1).write.option("header", True).csv(path)
         return self.import_ais(case_id, path, "synthetic generator", "synthetic")
 
-    def record_live(self, case_id: str, folder: str, bbox: list[float], minutes: float | None = None) -> str:
+    def other_tracks(self, case_id: str, run_id: str | None = None) -> DataFrame:
+        """Decimated paths of the vessels that an attribution run doesn't name."""
+        run = self.store.get("attribution_runs", run_id) if run_id else self.store.latest("attribution_runs", case_id)
+        if not run:
+            raise config.NotFound("the case has no attribution")
+        scores = self.store.table("vessel_scores").where(F.col("attribution_run_id") == run["id"])
+        fixes = self.store.table("ais_positions").where(F.col("case_id") == case_id).withColumn("seq", F.xxhash64("import_id", "mmsi", "ts", "lon", "lat"))
+        return tracks.lines(tracks.other_tracks(fixes, scores))
+
+    def live_counters(self, case_id: str) -> dict[str, Any]:
+        """Positions, vessels and times of the recording that runs or ran last for a case."""
+        if case_id not in self._live:
+            raise config.NotFound(f"nothing was recorded for case {case_id}")
+        return self._live[case_id].read(self.spark)
+
+    def record_live(self, case_id: str, folder: str, bbox: list[float], minutes: float | None = None, url: str | None = None, key: str = "") -> str:
+        """Records JSON files of a folder, or the feed at ``url``, whose journal is then kept in the folder."""
         area = config.bbox(bbox)
+        api_key = key
 
         def work(job: Job) -> dict:
             key = new_id("ais")
             at = f"{self.root}/live/{key}"
-            got = recorder.record(self.spark, folder, f"{at}/positions", f"{at}/checkpoint", minutes, area)
+            self._live[case_id] = recorder.Counters()
+            got = recorder.record(self.spark, folder, f"{at}/positions", f"{at}/checkpoint", minutes, area, self._live[case_id], url, api_key)
             frame = got.pop("positions_frame")
             self.store.write("ais_positions", frame.select(F.lit(case_id).alias("case_id"), F.lit(key).alias("import_id"), "mmsi", "ts", (F.unix_micros("ts") / 1e6).alias("ts_epoch"), "lon", "lat", "sog", "cog", "heading", "vessel_name", "vessel_type", "length_m", F.lit("live feed").alias("source")))
             self.store.write("ais_imports", [{"id": key, "case_id": case_id, "source": "live feed", "data_mode": "real", "filename": f"live-{iso(now())}", "rows_total": got["positions"], "rows_valid": got["positions"], "rows_quarantined": 0, "quarantine_sample": "[]", "time_start": got["time_start"], "time_end": got["time_end"], "created_at": now()}])
