@@ -52,6 +52,8 @@ FEW_SEGMENTS = 8
 SMALL_GROUP = 4
 #: Sets of one block of a crowded key.
 BLOCK = 4096
+#: Bytes of a key.  Keys that agree by chance only cost a verification.
+KEY_BYTES = 6
 #: Members of a key's largest component that others are verified against in a turn.
 ANCHORS = 3
 #: Rows that a task works on at once.
@@ -185,7 +187,7 @@ def _band_keys(band: int, sets: list[np.ndarray], own: np.ndarray, bands: Bands,
     at = cell[less]
     keys = np.concatenate([subset[shown * m + segment] ^ place[segment], (subset[at] - tokens[less]) ^ place[at % m]]) * _MIX
     roles = np.concatenate([role[shown, segment], DELETED | np.where(own[at // m], 0, VISITING) | np.where(budget[at] > 1, ACTIVE, 0)])
-    return np.concatenate([shown, at // m]), keys ^ keys >> np.uint64(29), roles.astype(np.uint8)
+    return np.concatenate([shown, at // m]), (keys ^ keys >> np.uint64(29)) >> np.uint64(64 - 8 * KEY_BYTES), roles.astype(np.uint8)
 
 
 def set_keys(sets: list[np.ndarray], bands: Bands, frequency: np.ndarray, n_docs: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -254,7 +256,7 @@ def _key_batches(held, percent: int):
             packed = set_keys([sets[i] for i in live], bands, frequency, n_docs)
             sides = [
                 batch.column(0).take(pa.array(live, pa.int64())), pa.array([len(sets[i]) for i in live], pa.int32()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()),
-                pa.array([k.tobytes() for k, _ in packed], pa.binary()), pa.array([r.tobytes() for _, r in packed], pa.binary()),
+                pa.array([k.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes() for k, _ in packed], pa.binary()), pa.array([r.tobytes() for _, r in packed], pa.binary()),
             ]
             yield pa.record_batch(sides, names=["id", "n", "h1", "h2", "ks", "roles"])
 
@@ -263,7 +265,8 @@ def _key_batches(held, percent: int):
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _slices(batches):
-        k = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
+        packed = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, KEY_BYTES)
+        k = np.pad(packed, ((0, 0), (0, 8 - KEY_BYTES))).view(np.int64).ravel()
         roles = batch.column(3).to_pylist()
         times = [len(x) for x in roles]
         sid, n = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), times) for i in (0, 1))
