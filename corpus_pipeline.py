@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows of the stage before
 and returns a DataFrame, which is written as Parquet and read again as the next
-stage's ``docs``.  All but the last return the columns of ``documents``.
+stage's ``docs``.  All but the last return the columns of ``documents``.  An
+empty table passes all stages as one; columns besides are kept.
 """
 
 from __future__ import annotations
@@ -16,27 +17,48 @@ from tidewake.llm._shared import shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or lie far from their language and source go."""
+    """Documents that fail the base rules or lie far from their language and source go.
+
+    A null text counts as empty and goes; null languages and sources are strata
+    like any other.  Each row is judged by itself, so repeated rows and ids
+    share no verdict; texts are read whole.
+    """
     return quality.keep_good(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id stays.
+
+    A null text equals an empty one; a row without id goes before one with an
+    id.  Of rows of the same text and id one stays.
+    """
     return exact_dedup.keep_unique(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with near fingerprints the one with the smallest doc_id stays."""
+    """Of documents with near fingerprints the one with the smallest doc_id stays.
+
+    Wordless texts have fingerprint 0 and are near each other.  Rows without id
+    stay; rows that share their id with a dropped one go with it.
+    """
     return simhash.keep_one(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for every time that the mix takes a document, with the words it takes."""
+    """A row for every time that the mix takes a document, with the words it takes.
+
+    A null source is a source of its own, last in order.  Rows without words
+    are never taken; ties lie in seeded order, so reruns agree.
+    """
     return mixing.mixed(docs)
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where the words of every row of the mix lie in packed sequences."""
+    """Where the words of every row of the mix lie in packed sequences.
+
+    A row longer than the largest sequence is cut into several pieces.  Rows
+    without words have none.
+    """
     return packing.pack(docs).withColumnRenamed("id", "doc_id")
 
 
