@@ -135,7 +135,7 @@ def drift_params(user: dict[str, Any] | None = None, direction: str = "backward"
             raise ValueError(f"{name}: give two rising numbers from {low} to {high}; got {p[name]}")
         p[name] = pair
     if p["integrator"] not in ("rk4", "euler"):
-        raise ValueError("integrator must be rk4 or euler")
+        raise ValueError("the integrator is one of two: rk4, euler")
     if direction not in ("backward", "forward"):
         raise ValueError("direction must be backward or forward")
     p["probability_mass"] = min(0.99, max(0.3, float(p["probability_mass"])))

@@ -278,7 +278,7 @@ class Engine:
         if source == "constant":
             env_id = self._store_field(case_id, fields.provider("constant")(self.spark, bounds, t0, t1), "constant", "constant")
         elif source not in fields.PROVIDERS:
-            raise ValueError(f"unknown environment source {source}")
+            raise ValueError(f"no provider of fields is called {source}")
         elif source == "open_meteo" and env_id is None and self.hourly is not None:
             area = (F.col("lon").between(bounds[0] - 1, bounds[2] + 1)) & (F.col("lat").between(bounds[1] - 1, bounds[3] + 1))
             landed = fields.from_hourly_json(self.hourly).where(area & F.col("epoch").between(t0 - 3600, t1 + 3600))
@@ -286,11 +286,11 @@ class Engine:
         elif env_id is None:
             stored = self.store.latest("env_fields", case_id)
             if not stored:
-                raise fields.EnvironmentUnavailable("no field was uploaded for this case")
+                raise fields.NoField("no field was uploaded for this case")
             env_id = stored["id"]
         field = self.spark.read.parquet(self.store.get("env_fields", env_id)["artifact_uri"])
         if found := fields.problems(field, bounds, t0, t1):
-            raise fields.EnvironmentUnavailable("; ".join(found))
+            raise fields.NoField("; ".join(found))
         return env_id, field
 
     def _slick(self, case_id: str, slick_id: str) -> tuple[dict[str, Any], Ring, float]:

@@ -26,7 +26,7 @@ VARIABLES = {
 AXES = {"lat": ("latitude", "lat", "y"), "lon": ("longitude", "lon", "x"), "epoch": ("time", "t", "epoch")}
 
 
-class EnvironmentUnavailable(RuntimeError):
+class NoField(RuntimeError):
     """A provider that can't give the field."""
 
 
@@ -49,7 +49,7 @@ def from_table(table: DataFrame, units: dict[str, str] | None = None) -> DataFra
         for n in names:
             if n in present:
                 return F.col(present[n])
-        raise EnvironmentUnavailable(f"no {what} among {table.columns}")
+        raise NoField(f"no {what} among {table.columns}")
 
     axes = [pick(v, k).cast("double").alias(k) for k, v in AXES.items()]
     return table.select(*axes, *[(pick(v, k) * speed_factor((units or {}).get(k))).cast("double").alias(k) for k, v in VARIABLES.items()]).select("epoch", "lat", "lon", *PARTS)
@@ -81,7 +81,7 @@ def endpoint(t_end: float, now: float, cfg: dict = DEFAULTS["environment"]["open
 
 
 def _missing(spark: SparkSession, **_: object) -> DataFrame:
-    raise EnvironmentUnavailable("this provider needs a landed table: pass it to from_table or from_hourly_json")
+    raise NoField("this provider needs a landed table: pass it to from_table or from_hourly_json")
 
 
 def from_netcdf(spark: SparkSession, path: str, **options: object) -> DataFrame:
@@ -97,7 +97,7 @@ PROVIDERS = {"constant": constant, "netcdf_upload": from_netcdf, "open_meteo": _
 
 def provider(name: str):
     if name not in PROVIDERS:
-        raise ValueError(f"unknown environment provider {name!r}")
+        raise ValueError(f"no provider of fields is called {name!r}")
     return PROVIDERS[name]
 
 

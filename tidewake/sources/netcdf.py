@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from tidewake.sources.fields import AXES, PARTS, VARIABLES, EnvironmentUnavailable
+from tidewake.sources.fields import AXES, PARTS, VARIABLES, NoField
 from tidewake.sources.places import Bytes, Draft
 
 SCHEMA = "epoch double, lat double, lon double, " + ", ".join(f"{p} double" for p in PARTS)
@@ -55,7 +55,7 @@ class Header:
         self.source, self.at, self.held = source, 0, b""
         mark = self._take(4)
         if mark[:3] != b"CDF" or mark[3] not in (1, 2, 5):
-            raise EnvironmentUnavailable("only NetCDF files of the classic formats are read")
+            raise NoField("only NetCDF files of the classic formats are read")
         self.wide, self.far = mark[3] == 5, mark[3] != 1
         self.records = self._count()
         tag, n = self._list()
@@ -78,7 +78,7 @@ class Header:
         while len(self.held) < n:  # the header is read piece by piece
             more = self.source.at(self.at + len(self.held), min(1 << 16, self.source.size - self.at - len(self.held)))
             if not more:
-                raise EnvironmentUnavailable("the NetCDF header is cut off")
+                raise NoField("the NetCDF header is cut off")
             self.held += more
         out, self.held, self.at = self.held[:n], self.held[n:], self.at + n
         return out
@@ -137,7 +137,7 @@ def seconds(units: str) -> tuple[float, float]:
     """(seconds of a unit, epoch of its origin) of units like ``hours since 2024-01-01 00:00``."""
     found = re.fullmatch(r"\s*([a-z]+?)s?\s+since\s+(\d{1,4})-(\d{1,2})-(\d{1,2})(?:[t ]\s*(\d{1,2}):(\d{1,2})(?::(\d{1,2}(?:\.\d*)?))?)?\s*(z|utc|[+-]\d{1,2}:?\d{0,2})?\s*", units.lower())
     if not found or found[1] not in _SECONDS:
-        raise EnvironmentUnavailable(f"the time unit {units!r} is not known")
+        raise NoField(f"the time unit {units!r} is not known")
     year, month, day, hour, minute = (int(x or 0) for x in found.groups()[1:6])
     origin = datetime(year, month, day, hour, minute, tzinfo=timezone.utc).timestamp() + float(found[7] or 0)
     if (zone := found[8]) and zone[0] in "+-":
@@ -158,12 +158,12 @@ class Field:
         for axis, names in AXES.items():
             name = next((n for n in names if n in h.variables and n in dims), None)
             if name is None:
-                raise EnvironmentUnavailable(f"the file has no coordinate {' or '.join(names)}")
+                raise NoField(f"the file has no coordinate {' or '.join(names)}")
             v = h.variables[name]
             values = h.read(v, [(0, n) for n in h.shape(v)])
             if axis == "epoch":
                 if str(v.attributes.get("calendar", "standard")).lower() not in _CALENDARS:
-                    raise EnvironmentUnavailable("only the Gregorian calendar is read")
+                    raise NoField("only the Gregorian calendar is read")
                 unit, origin = seconds(str(v.attributes.get("units", "seconds since 1970-01-01")))
                 values = np.floor(values * unit + origin + 1e-6)
             self.axes[axis], self.dim[axis] = values, name
@@ -171,13 +171,13 @@ class Field:
         for part, names in VARIABLES.items():
             name = next((n for n in names if n in h.variables and n not in dims), None)
             if name is None:
-                raise EnvironmentUnavailable(f"the file has no variable for {part}; names that are known: {', '.join(names)}")
+                raise NoField(f"the file has no variable for {part}; names that are known: {', '.join(names)}")
             v = h.variables[name]
             if sorted(h.names(v)) != sorted(self.dim.values()):
-                raise EnvironmentUnavailable(f"{name} must lie on time, latitude and longitude")
+                raise NoField(f"{name} must lie on time, latitude and longitude")
             units = str(v.attributes.get("units", "m/s")).lower()
             if units not in SPEED_UNITS:
-                raise EnvironmentUnavailable(f"{name} must be in metres a second, not in {units}")
+                raise NoField(f"{name} must be in metres a second, not in {units}")
             self.parts[part] = v
 
     @property
