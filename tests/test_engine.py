@@ -145,14 +145,14 @@ def test_a_case_from_files(spark, tmp_path):
     assert mosaic(spark.read.format("scene").load(str(tmp_path / "analysis.tif")).collect(), (info.height, info.width)).shape == (info.height, info.width)
 
     dims, variables, _ = planted(("time", "latitude", "longitude"), 2)
-    for k, v in {"time": np.arange(4) * 1.0, "latitude": np.array([19.5, 18.5, 17.5]), "longitude": np.array([70.5, 71.5, 72.5, 73.5])}.items():
+    for k, v in {"time": np.arange(4) * 1.0, "latitude": np.array([19.5, 18.5, 17.5]), "longitude": np.array([70.5, 71.5, 72.0, 72.5, 73.5])}.items():
         variables[k] = ([k], v, {"units": "hours since 2026-01-01 05:00:00"} if k == "time" else {})
     cdf(str(tmp_path / "field.nc"), dims, variables, 2)
     env = e.upload_netcdf(c, str(tmp_path / "field.nc"))
-    run = done(e, e.hindcast(c, slick["id"], "netcdf_upload", netcdf_env_id=env, hindcast_hours=2, ensemble_members=2, particle_count=40))
+    run = done(e, e.hindcast(c, slick["id"], "netcdf_upload", netcdf_env_id=env, hindcast_hours=2, ensemble_members=2, particle_count=60))
     assert run and e.hindcast_run(c)["status"] == "completed"
     e.export_field(env, str(tmp_path / "again.nc"))
-    assert spark.read.format("netcdf_field").load(str(tmp_path / "again.nc")).count() == 48
+    assert spark.read.format("netcdf_field").load(str(tmp_path / "again.nc")).count() == 60
     assert e.job(e.upload_scene(c, str(tmp_path / "none.tif")))["state"] == "failed"
     with pytest.raises(ValueError):
         e.upload_netcdf(c, "x.csv")
