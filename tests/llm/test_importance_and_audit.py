@@ -81,6 +81,15 @@ def test_resampling_of_empty_tables(spark, docs):
     assert few and all(r["n_features"] >= 0 for r in few)
 
 
+def test_no_row_of_the_matrix_holds_more_than_a_document(spark, docs, tmp_path):
+    """Rows of whole blocks are added up by Parquet writers and readers, a partition's blocks at a time."""
+    matrix = importance.write_matrix(docs, str(tmp_path / "matrix"))
+    assert matrix.count() == docs.count()
+    assert matrix.selectExpr("max(size(indices))").first()[0] <= importance.BUCKETS
+    assert list(importance._cut([b"x" * importance.BLOCK_BYTES, b"y", b"z"])) == [(0, 1), (1, 3)]
+    assert list(importance._cut([b""] * (importance.BLOCK_ROWS + 1))) == [(0, importance.BLOCK_ROWS), (importance.BLOCK_ROWS, importance.BLOCK_ROWS + 1)]
+
+
 def test_ranks_follow_one_order_over_partitions(spark):
     n = 5000
     frame = spark.range(n).select((F.col("id") * 7919 % 1000).alias("score"), "id")

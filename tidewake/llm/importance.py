@@ -1,9 +1,9 @@
 """Resampling by importance: documents drawn by how much likelier the target's distribution makes them.
 
 Features are runs of words hashed to buckets.  The sparse matrix of documents
-by buckets is written once as CSR blocks; its column sums are the
-distribution of all documents, and its product with the gains of the buckets
-gives every document's weight.  A seeded Gumbel draw turns weights into a
+by buckets is written once, a row a document, and worked on as CSR blocks; its
+column sums are the distribution of all documents, and its product with the
+gains of the buckets gives every document's weight.  A seeded Gumbel draw turns weights into a
 sample without replacement, ranked by a range sort.
 """
 
@@ -25,14 +25,15 @@ MAX_RUN = 1
 LEAST_WORDS = 20
 PERCENT = 10
 SEED = 2024
-#: Rows of a CSR block at most.
-BLOCK_ROWS = 4096
+#: Rows of a CSR block at most, and bytes of their texts.
+BLOCK_ROWS, BLOCK_BYTES = 4096, 1 << 24
 
 #: Bytes between words: ASCII that is neither letter nor digit.
 _APART = np.ones(256, bool)
 _APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
-_BLOCKS = "ids array<long>, words array<long>, features array<long>, indptr array<int>, indices array<int>, counts array<int>"
+#: A row of the matrix; the lists of a batch of rows, laid end to end, are a CSR block.
+_ROWS = "id long, words long, features long, indices array<int>, counts array<int>"
 
 
 def csr_of(texts: list[memoryview], buckets: int = BUCKETS, max_run: int = MAX_RUN):
@@ -68,27 +69,40 @@ def csr_of(texts: list[memoryview], buckets: int = BUCKETS, max_run: int = MAX_R
     return n_words, n_features, indptr, key % buckets, counts
 
 
-def _lists(values: np.ndarray, cuts: list[int], kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, kind))
+def _cut(texts: list[memoryview]) -> Iterator[tuple[int, int]]:
+    """Ranges of at most BLOCK_ROWS texts that hold at most BLOCK_BYTES, or one longer text."""
+    at, size = 0, 0
+    for i, text in enumerate(texts):
+        if i > at and (i - at == BLOCK_ROWS or size + len(text) > BLOCK_BYTES):
+            yield at, i
+            at, size = i, 0
+        size += len(text)
+    if at < len(texts):
+        yield at, len(texts)
 
 
-def _block_batches(buckets: int, max_run: int):
+def _matrix_batches(buckets: int, max_run: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, BLOCK_ROWS):
-                batch = whole.slice(at, BLOCK_ROWS)
-                words, features, indptr, indices, counts = csr_of(vectext.text_bytes(batch.column(1)), buckets, max_run)
-                ids = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), batch.column(0))
-                sides = [_lists(v, [0, len(v)], k) for v, k in ((words, pa.int64()), (features, pa.int64()), (indptr, pa.int32()), (indices, pa.int32()), (counts, pa.int32()))]
-                yield pa.record_batch([ids, *sides], names=["ids", "words", "features", "indptr", "indices", "counts"])
+        for batch in batches:
+            texts = vectext.text_bytes(batch.column(1))
+            for start, end in _cut(texts):
+                words, features, indptr, indices, counts = csr_of(texts[start:end], buckets, max_run)
+                ends = pa.array(indptr, pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(v, pa.int32())) for v in (indices, counts)]
+                yield pa.record_batch([batch.column(0).slice(start, end - start), pa.array(words), pa.array(features), *lists], names=["id", "words", "features", "indices", "counts"])
 
     return run
 
 
 def write_matrix(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, max_run: int = MAX_RUN) -> DataFrame:
-    """The CSR blocks of ``docs``, written to ``path`` and read back; a block is at most BLOCK_ROWS rows."""
+    """The matrix of ``docs``, written to ``path`` and read back.
+
+    A Parquet row is one row of the matrix, ``buckets`` numbers at most.  Readers
+    and writers hold some thousand rows at once and look at their size only
+    between rows, so rows that held whole blocks would add up by the partition.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows.mapInArrow(_block_batches(buckets, max_run), _BLOCKS).write.parquet(path)
+    rows.mapInArrow(_matrix_batches(buckets, max_run), _ROWS).write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
@@ -129,12 +143,11 @@ def _product_batches(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gain = held.value
         for batch in batches:
-            columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            for i in range(batch.num_rows):
-                indptr, indices, counts = (columns[c][i].values.to_numpy(zero_copy_only=False) for c in ("indptr", "indices", "counts"))
-                upto = np.concatenate([[0], np.cumsum(gain[indices] * counts.astype(np.int64))])
-                weight = upto[indptr[1:]] - upto[indptr[:-1]]
-                yield pa.record_batch([*(columns[c][i].values for c in ("ids", "words", "features")), pa.array(weight)], names=["id", "n_words", "n_features", "weight"])
+            indptr = batch.column(3).offsets.to_numpy().astype(np.int64)
+            indices, counts = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (3, 4))
+            upto = np.concatenate([[0], np.cumsum(gain[indices] * counts.astype(np.int64))])
+            weight = upto[indptr[1:] - indptr[0]] - upto[indptr[:-1] - indptr[0]]
+            yield pa.record_batch([*(batch.column(i) for i in range(3)), pa.array(weight)], names=["id", "n_words", "n_features", "weight"])
 
     return run
 
