@@ -41,6 +41,15 @@ def test_missing_columns_and_too_many_rows(spark, tmp_path):
         ais_csv.read_csv(spark, str(path), max_rows=1)
 
 
+def test_the_limit_of_rows_is_one_of_uploads(spark, tmp_path):
+    """What Spark wrote itself is read whole; an uploaded file still has its limit."""
+    path = tmp_path / "c.csv"
+    spark.range(2_000_001).selectExpr("419000001 as mmsi", "'2026-01-01T00:00:00Z' as time", "72 as lon", "18 as lat").write.option("header", True).csv(str(path))
+    assert ais_csv.read_csv(spark, str(path)).count() == 2_000_001
+    with pytest.raises(ValueError, match="more than 2000000"):
+        ais_csv.load(spark, str(path), "c", "i", "label", "imported")
+
+
 def test_type_priors(spark):
     names = ["tanker", " Crude Oil Tanker ", "LNG tanker", "85", "72", "30", "99", None, "yacht", "bulk carrier x"]
     frame = spark.createDataFrame([(n,) for n in names], "t string")

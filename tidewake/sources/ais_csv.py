@@ -43,16 +43,18 @@ def sniff_separator(first_line: str) -> str:
     return max(",;\t|", key=first_line.count)
 
 
-def read_csv(spark: SparkSession, path: str, max_rows: int = DEFAULTS["ais"]["csv"]["max_rows"]) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
     """Canonical string columns and ``row``, the line in the file counted from 2 for the first record.
 
+    More than ``max_rows`` rows are an error.  Uploads have that limit (``load``); tables that Spark wrote have none.
+
     Rows get their number from their place in the file, which holds for one
     file; a folder of files numbers each by itself in ``_metadata`` order.
     """
     first = spark.read.text(path).limit(1).collect()
     sep = sniff_separator(first[0][0]) if first else ","
     raw = spark.read.option("header", True).option("inferSchema", False).option("sep", sep).option("quote", '"').option("escape", '"').csv(path)
-    if raw.limit(max_rows + 1).count() > max_rows:
+    if max_rows is not None and raw.limit(max_rows + 1).count() > max_rows:
         raise ValueError(f"more than {max_rows} rows")
     header = resolve_header(raw.columns)
     quoted = {k: F.col("`" + v.replace("`", "``") + "`") for k, v in header.items()}
