@@ -77,3 +77,14 @@ def test_times_from_names_and_tags(spark):
     assert [r["l"] for r in got] == ["sentinel1_filename", "filename_timestamp", "tiff_tag:TIFFTAG_DATETIME", "analyst", "assumed_now"]
     assert [r["t"] for r in got][:4] == ["2026-09-06T01:02:37Z", "2026-01-02T03:04:05Z", "2026-05-06T07:08:09Z", "2026-01-01T00:00:00Z"]
     assert [r["p"] for r in got] == [None, "VV", "VH", None, None]
+
+
+def test_a_plan_parses_each_time_once_and_only_what_looks_like_one(spark):
+    """As many parsers as formats; every pattern lets through all that its format reads."""
+    frame = spark.createDataFrame([("plain.png", {"datetime": "2026-01-02 03:04:05"}, None)], "name string, tags map<string,string>, given timestamp")
+    plan = frame.select(text.scene_time_found(F.col("given"), F.col("tags"), F.col("name")).alias("f"))._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("gettimestamp(") <= len(text.TIME_FORMATS) + 1
+    odd = ["2026-01-02t03:04:05z", "2026-01-02T03:04:05.1Z", "2026-01-02T03:04:05.123456Z", "2026-01-02T03:04:05.123", "+12026-01-02 03:04:05", "12026-01-02 03:04:05", " 2026-01-02 03:04:05", "2026-13-02 03:04:05", "2026:01:02 03:04:05", "20260102030405", "", "x", None]
+    for form in (*text.TIME_FORMATS, "yyyyMMddHHmmss"):
+        got = spark.createDataFrame([(o,) for o in odd], "s string").select(text._time(F.col("s"), form).cast("string").alias("a"), F.try_to_timestamp("s", F.lit(form)).cast("string").alias("b")).collect()
+        assert [r["a"] for r in got] == [r["b"] for r in got], form

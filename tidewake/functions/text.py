@@ -13,31 +13,66 @@ TIME_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'
 POLARISATION_TAGS = ("POLARISATION", "POLARIZATION", "polarization")
 
 
+#: What a part of a format can look like; letters of any case, years of any length.
+_PARTS = (("yyyy", r"\+?\d{4,}"), ("SSSSSS", r"\d+"), ("SSS", r"\d+"), ("MM", r"\d\d"), ("dd", r"\d\d"), ("HH", r"\d\d"), ("mm", r"\d\d"), ("ss", r"\d\d"), (".", r"\."), ("'", ""))
+
+
+def _shape(form: str) -> str:
+    """A pattern that every text of the format matches: what doesn't is not parsed, as a failed parse costs an exception."""
+    out = ""
+    while form:
+        part, shape = next(((p, s) for p, s in _PARTS if form.startswith(p)), (form[0], form[0]))
+        out, form = out + shape, form[len(part) :]
+    return f"(?i)^{out}$"
+
+
 def _time(text: Column, form: str) -> Column:
-    return F.try_to_timestamp(text, F.lit(form))
+    return F.when(text.rlike(_shape(form)), F.try_to_timestamp(text, F.lit(form)))
+
+
+def _first(values: Column, forms: tuple[str, ...]) -> Column:
+    """(t, label) of the first of an array of (text, label) that any of the formats reads, null if none; each is parsed once."""
+    times = F.transform(values, lambda v: F.struct(F.coalesce(*[_time(v["text"], f) for f in forms]).alias("t"), v["label"].alias("label")))
+    return F.get(F.filter(times, lambda x: x["t"].isNotNull()), F.lit(0))
+
+
+def _in_name(name: Column) -> Column:
+    product = F.regexp_replace(F.regexp_extract(name, PRODUCT_NAME, 1), "T", "")
+    generic = F.concat(F.regexp_extract(name, GENERIC_TIME, 1), F.regexp_extract(name, GENERIC_TIME, 2))
+    both = ((product, "sentinel1_filename"), (generic, "filename_timestamp"))
+    return _first(F.array(*[F.struct(text.alias("text"), F.lit(label).alias("label")) for text, label in both]), ("yyyyMMddHHmmss",))
+
+
+def _in_tags(tags: Column) -> Column:
+    values = F.array(*[F.struct(F.try_element_at(tags, F.lit(tag)).alias("text"), F.lit(f"tiff_tag:{tag}").alias("label")) for tag in TIME_TAGS])
+    return _first(F.filter(values, lambda v: v["text"] != ""), TIME_FORMATS)
 
 
 def filename_time(name: Column) -> tuple[Column, Column]:
     """(time, what it came from); null if the name has no time."""
-    product = _time(F.regexp_replace(F.nullif(F.regexp_extract(name, PRODUCT_NAME, 1), F.lit("")), "T", ""), "yyyyMMddHHmmss")
-    generic = _time(F.concat(F.nullif(F.regexp_extract(name, GENERIC_TIME, 1), F.lit("")), F.regexp_extract(name, GENERIC_TIME, 2)), "yyyyMMddHHmmss")
-    label = F.when(product.isNotNull(), "sentinel1_filename").when(generic.isNotNull(), "filename_timestamp")
-    return F.coalesce(product, generic), label
+    found = _in_name(name)
+    return found["t"], found["label"]
 
 
 def tag_time(tags: Column) -> tuple[Column, Column]:
     """First tag, in order, that any format reads; ``tags`` is a map."""
-    times = [(tag, F.coalesce(*[_time(F.nullif(F.try_element_at(tags, F.lit(tag)), F.lit("")), f) for f in TIME_FORMATS])) for tag in TIME_TAGS]
-    label = F.coalesce(*[F.when(t.isNotNull(), f"tiff_tag:{tag}") for tag, t in times])
-    return F.coalesce(*[t for _, t in times]), label
+    found = _in_tags(tags)
+    return found["t"], found["label"]
+
+
+def scene_time_found(given: Column, tags: Column, name: Column) -> Column:
+    """(t, label): the analyst's time, else the tags', else the name's, else now; a column of its own is worked out once a row."""
+
+    def labelled(t: Column, label: str) -> Column:
+        return F.struct(t.alias("t"), F.lit(label).alias("label"))
+
+    return F.coalesce(F.when(given.isNotNull(), labelled(given, "analyst")), _in_tags(tags), _in_name(name), labelled(F.current_timestamp(), "assumed_now"))
 
 
 def scene_time(given: Column, tags: Column, name: Column) -> tuple[Column, Column]:
     """The analyst's time, else the tags', else the name's, else now."""
-    tagged, tag_label = tag_time(tags)
-    named, name_label = filename_time(name)
-    label = F.when(given.isNotNull(), "analyst").when(tagged.isNotNull(), tag_label).when(named.isNotNull(), name_label).otherwise("assumed_now")
-    return F.coalesce(given, tagged, named, F.current_timestamp()), label
+    found = scene_time_found(given, tags, name)
+    return found["t"], found["label"]
 
 
 def polarisation(tags: Column, name: Column) -> Column:

@@ -156,8 +156,9 @@ def scene_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = F.when(i % 3 == 0, F.create_map(F.lit("ACQUISITION_TIME"), text.iso(ts), F.lit("POLARISATION"), F.lit("vv"))).when(i % 3 == 1, F.create_map(F.lit("TIFFTAG_DATETIME"), F.date_format(ts, "yyyy:MM:dd HH:mm:ss"))).otherwise(F.create_map().cast("map<string,string>"))
     name = F.when(i % 2 == 0, F.concat(F.lit("s_"), F.date_format(ts, "yyyyMMdd_HHmmss"), F.lit("_hh.tif"))).otherwise(F.lit("plain.png"))
     rows = load(spark, sf_dir, "events").select(i, F.when(i % 5 == 0, F.date_trunc("second", ts)).alias("given"), tags.alias("tags"), name.alias("name"))
-    t, label = text.scene_time(F.col("given"), F.col("tags"), F.col("name"))
-    return rows.select("event_id", label.alias("label"), F.when(label != "assumed_now", F.unix_seconds(t)).alias("t"), text.polarisation(F.col("tags"), F.col("name")).alias("polarisation"))
+    found = rows.select("event_id", text.scene_time_found(F.col("given"), F.col("tags"), F.col("name")).alias("found"), text.polarisation(F.col("tags"), F.col("name")).alias("polarisation"))
+    t, label = F.col("found.t"), F.col("found.label")
+    return found.select("event_id", label.alias("label"), F.when(label != "assumed_now", F.unix_seconds(t)).alias("t"), "polarisation")
 
 
 @query("select event_id as row, nullif(trim(case when event_id % 3 = 0 then '  ' else ' V ' || user_id || ' ' end), '') as vessel_name, nullif(trim(lower(upper(event_type))), '') as vessel_type, case when event_id % 4 = 0 then 'analyst' else 'feed' end as source from events")
