@@ -58,3 +58,19 @@ def test_points_near_land_ask_few_cells(spark, monkeypatch):
     assert near == 2 < len(steps)
     none = land.nearest_land(spark.createDataFrame([(1.0, 2.0)], "lon double, lat double"), pieces.where("false"))
     assert none.first()["land_km"] is None
+
+
+def test_points_of_one_cell_stay_in_their_partitions(spark):
+    """Distances within a radius against all pairs; a crowded cell is not brought to one task by a shuffle."""
+    draw = random.Random(7)
+    islands = [[[(x, y), (x + 0.4, y), (x, y + 0.4), (x, y)]] for x, y in ((draw.uniform(-12, 12), draw.uniform(55, 79)) for _ in range(60))]
+    pieces = land.pieces(spark, islands)
+    table = spark.createDataFrame([(draw.uniform(-13, 13), draw.uniform(54, 80)) for _ in range(300)] + [(None, 60.0)], "lon double, lat double")
+    got = land.land_distance(table, pieces, 150.0)
+    rows = got.collect()
+    assert len(rows) == 301 and sum(r["land_km"] < 150 for r in rows) > 50
+    for r in rows:
+        want = 150.0 if r["lon"] is None else min(150.0, plain_km(r["lon"], r["lat"], islands))
+        assert r["land_km"] == pytest.approx(want, rel=1e-9, abs=1e-6)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2

@@ -76,21 +76,68 @@ def read_shapefile(data: bytes) -> list[list[Ring]]:
     return out
 
 
+#: Land of up to so many vertices goes to every task.
+MOST_BROADCAST = 1_000_000
+
+
+def _vertices(land: DataFrame) -> int:
+    return land.agg(F.sum(F.aggregate("rings", F.lit(0), lambda n, r: n + F.size(r)))).first()[0] or 0
+
+
+def _small(land: DataFrame) -> bool:
+    """Whether land is the side of a join that goes to the points.
+
+    Points crowd in few cells, so a shuffle on the cell would bring them to few
+    tasks; the optimiser doesn't broadcast a side that it sees fill few
+    partitions.  Larger land leaves the choice to it.
+    """
+    return _vertices(land) <= MOST_BROADCAST
+
+
+def _listed(land: DataFrame) -> DataFrame:
+    """(cell_x, cell_y, pieces): all pieces of a cell in one row, with their bounds."""
+    lon, lat = (F.flatten(F.transform("rings", lambda r: r[axis])) for axis in ("lon", "lat"))
+    piece = F.struct("rings", F.array_min(lon).alias("west"), F.array_max(lon).alias("east"), F.array_min(lat).alias("south"), F.array_max(lat).alias("north"))
+    return land.groupBy("cell_x", "cell_y").agg(F.collect_list(piece).alias("pieces"))
+
+
+def _reaching(land: DataFrame, most_km: float, cell: float) -> DataFrame:
+    """``land`` by the cells of the points that may lie within ``most_km`` of a piece, not by its own."""
+    slack = 1e-9
+    lon, lat = (F.flatten(F.transform("rings", lambda r: r[axis])) for axis in ("lon", "lat"))
+    ry = most_km / 111.0 + slack
+    far = F.greatest(F.abs(F.col("cell_y") * cell), F.abs((F.col("cell_y") + 1) * cell))
+    rx = most_km / _km_per_degree(F.least(far, F.lit(90.0))) + slack
+
+    def cells(low: Column, high: Column) -> Column:
+        return F.explode(F.sequence(F.floor(low / cell).cast("int"), F.floor(high / cell).cast("int")))
+
+    rows = land.select("rings", F.array_min(lon).alias("w"), F.array_max(lon).alias("e"), F.array_min(lat).alias("s"), F.array_max(lat).alias("n"))
+    rows = rows.withColumn("cell_y", cells(F.col("s") - ry, F.col("n") + ry))
+    return rows.withColumn("cell_x", cells(F.col("w") - rx, F.col("e") + rx)).select("cell_x", "cell_y", "rings")
+
+
+def _met(points: DataFrame, land: DataFrame, x: Column, y: Column, cell: float) -> DataFrame:
+    """``points`` with ``__pieces`` of the cell of (x, y), null if it has none; no row is shuffled."""
+    listed = _listed(land).select(F.col("cell_x").alias("__cell_x"), F.col("cell_y").alias("__cell_y"), F.col("pieces").alias("__pieces"))
+    keyed = points.withColumn("__cx", F.floor(x / cell).cast("int")).withColumn("__cy", F.floor(y / cell).cast("int"))
+    out = keyed.join(F.broadcast(listed) if _small(land) else listed, (F.col("__cx") == F.col("__cell_x")) & (F.col("__cy") == F.col("__cell_y")), "left")
+    return out.drop("__cx", "__cy", "__cell_x", "__cell_y")
+
+
 def on_land(points: DataFrame, land: DataFrame | None, cell: float = CELL_DEG) -> DataFrame:
     """``points`` with ``on_land``; no land table means sea everywhere.
 
     Longitudes wrap and latitudes are clipped.  Points meet the pieces of their
-    own cell by equality; the pieces are a fixed reference table, so the smaller
-    side is for the optimiser to broadcast.
+    own cell, which are one row, by equality.
     """
     if land is None:
         return points.withColumn("on_land", F.lit(False))
     x = F.pmod(F.col("lon") + 180.0, F.lit(360.0)) - 180.0
     y = F.greatest(F.lit(-90.0), F.least(F.lit(90.0), F.col("lat")))
-    keyed = points.withColumn("__x", x).withColumn("__y", y).withColumn("__cx", F.floor(x / cell).cast("int")).withColumn("__cy", F.floor(y / cell).cast("int")).withColumn("__p", F.monotonically_increasing_id())
-    hits = keyed.join(land, (F.col("__cx") == F.col("cell_x")) & (F.col("__cy") == F.col("cell_y"))).where(in_rings(F.col("__x"), F.col("__y"), F.col("rings"))).select(F.col("__p").alias("__hit")).distinct()
-    out = keyed.join(hits, F.col("__p") == F.col("__hit"), "left").withColumn("on_land", F.col("__hit").isNotNull())
-    return out.drop("__x", "__y", "__cx", "__cy", "__p", "__hit")
+    met = _met(points.withColumn("__x", x).withColumn("__y", y), land, F.col("__x"), F.col("__y"), cell)
+    inside = F.exists("__pieces", lambda p: in_rings(F.col("__x"), F.col("__y"), p["rings"]))
+    return met.withColumn("on_land", F.coalesce(inside, F.lit(False))).drop("__x", "__y", "__pieces")
 
 
 def _edges_km(rings: Column, lon: Column, lat: Column, kx: Column, shift: Column | float = 0.0) -> Column:
@@ -117,20 +164,16 @@ def _km_per_degree(lat: Column) -> Column:
 def land_distance(points: DataFrame, land: DataFrame, most_km: float = 50.0, cell: float = CELL_DEG) -> DataFrame:
     """``points`` with ``land_km``, the distance to the nearest land, 0 on land and ``most_km`` at most.
 
-    A point asks the few cells that lie within ``most_km``, by equality; pieces
-    beyond can't be nearer.  Distances to a piece's edges are part of the plan.
+    Pieces are listed in every cell from which they can be reached, so a point
+    asks its own cell only; pieces beyond can't be nearer.
     """
-    lon, lat = F.col("lon"), F.col("lat")
-    kx, ky = _km_per_degree(lat), F.lit(111.0)
-    placed = settled(on_land(points, land, cell).withColumn("__p", F.monotonically_increasing_id()))
-
-    def cells(x: Column, reach: Column) -> Column:
-        return F.sequence(F.floor((x - reach) / cell).cast("int"), F.floor((x + reach) / cell).cast("int"))
-
-    asked = placed.where(~F.col("on_land")).select("__p", "lon", "lat", F.explode(cells(lon, most_km / kx)).alias("cell_x")).select("*", F.explode(cells(lat, most_km / ky)).alias("cell_y"))
-    near = asked.join(land, ["cell_x", "cell_y"]).groupBy("__p").agg(F.min(_edges_km(F.col("rings"), lon, lat, kx)).alias("__km"))
-    km = F.when(F.col("on_land"), 0.0).otherwise(F.least(F.lit(float(most_km)), F.coalesce("__km", F.lit(float(most_km)))))
-    return placed.join(near, "__p", "left").withColumn("land_km", km).drop("__p", "__km", "on_land")
+    lon, lat, most = F.col("lon"), F.col("lat"), F.lit(float(most_km))
+    placed = on_land(points, land, cell).withColumn("__kx", _km_per_degree(lat))
+    met = _met(placed, _reaching(land, most_km, cell), lon, lat, cell)
+    rx, ry = most / F.col("__kx") + 1e-9, most_km / 111.0 + 1e-9
+    near = F.filter("__pieces", lambda p: (lon >= p["west"] - rx) & (lon <= p["east"] + rx) & (lat >= p["south"] - ry) & (lat <= p["north"] + ry))
+    km = F.array_min(F.transform(near, lambda p: _edges_km(p["rings"], lon, lat, F.col("__kx"))))
+    return met.withColumn("land_km", F.when(F.col("on_land"), 0.0).otherwise(F.least(most, F.coalesce(km, most)))).drop("__kx", "__pieces", "on_land")
 
 
 def nearest_land(points: DataFrame, land: DataFrame, cell: float = CELL_DEG) -> DataFrame:
@@ -150,13 +193,14 @@ def nearest_land(points: DataFrame, land: DataFrame, cell: float = CELL_DEG) ->
     found: list[DataFrame] = []
     inner, reach = -1, 0
     any_land = land.limit(1).count() > 0
+    beside = F.broadcast(land) if _small(land) else land
     while any_land:
         steps = F.sequence(F.lit(-reach), F.lit(reach))
         ring = left.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps)).where(F.greatest(F.abs("dx"), F.abs("dy")) > inner)
         far_x = F.col("cx") + F.col("dx")
         own_x = F.pmod(far_x + around // 2, F.lit(around)) - around // 2 if wraps else far_x
         asked = ring.select("__p", "x", "y", own_x.cast("int").alias("cell_x"), (F.col("cy") + F.col("dy")).alias("cell_y"), ((far_x - own_x) * cell).alias("shift"))
-        met = asked.join(land, ["cell_x", "cell_y"])
+        met = asked.join(beside, ["cell_x", "cell_y"])
         near = met.groupBy("__p").agg(F.min(_edges_km(F.col("rings"), F.col("x"), F.col("y"), _km_per_degree(F.col("y")), F.col("shift"))).alias("near"))
         rim_x = F.least(F.col("x") - (F.col("cx") - reach) * cell, (F.col("cx") + reach + 1) * cell - F.col("x")) * _km_per_degree(F.col("y"))
         # Beyond a pole there is nothing to come nearer.
@@ -185,7 +229,7 @@ class LandIndex:
     """
 
     def __init__(self, land: DataFrame, cell: float = CELL_DEG, most_vertices: int = 4_000_000):
-        held = land.agg(F.sum(F.aggregate("rings", F.lit(0), lambda n, r: n + F.size(r)))).first()[0] or 0
+        held = _vertices(land)
         if held > most_vertices:
             raise ValueError(f"{held} vertices of land: cut the table to the area, {most_vertices} at most")
         self.cell, self.by_cell = cell, defaultdict(list)
