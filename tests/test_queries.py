@@ -48,3 +48,23 @@ def test_no_nested_loops_where_keys_exist(spark):
     for name in ("asof_interp", "land_join", "field_trilinear", "nearest_step", "case_assembly"):
         plan = text_of(queries.QUERIES[name](spark, DATA))
         assert "NestedLoop" not in plan and "CartesianProduct" not in plan, name
+
+
+def test_a_fix_meets_the_cloud_as_one_row(spark):
+    """A step's particles are one row beside the fixes; nothing is grouped by fix again, and twins keep their rows."""
+    from tidewake.operators import tracks
+
+    cloud = spark.range(3 * 11).selectExpr("cast(id / 11 as int) as step", "cast(id % 11 as int) as k", "72 + id % 11 * 0.01D as lon", "18 + cast(id / 11 as int) * 0.01D as lat")
+    fixes = spark.createDataFrame([(1, float(t), 72.0, 18.0, t) for t in (-5, 0, 1, 50, 100, 150, 200, 201)] + [(2, 60.0, 72.1, 18.01, 9)] * 2, "mmsi long, ts_epoch double, lon double, lat double, seq int")
+    got = tracks.with_cloud(fixes, cloud, 0.0, 200.0, 100.0)
+    assert got.columns == [*fixes.columns, "st_km"]
+    rows = got.collect()
+    assert len(rows) == 10 and [r["st_km"] is None for r in sorted(rows, key=lambda r: r["ts_epoch"])] == [True] + 8 * [False] + [True]
+    from tidewake.functions.geo import metres_per_degree_at
+
+    for r in (r for r in rows if r["st_km"] is not None):
+        mx, my = metres_per_degree_at(18.0 if r["mmsi"] == 1 else 18.01)
+        away = sorted((((72 + k * 0.01 - r["lon"]) * mx) ** 2 + ((18 + r["ts_epoch"] / 100 * 0.01 - r["lat"]) * my) ** 2) ** 0.5 / 1000 for k in range(11))
+        assert abs(r["st_km"] - away[1]) < 1e-6
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "keys=[__a" in plan and "keys=[mmsi" not in plan

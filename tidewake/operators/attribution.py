@@ -83,12 +83,11 @@ def attribute(positions: DataFrame, hindcast: Hindcast, slick_centroid: tuple[fl
     w = weights(user_weights, config)
 
     found = tracks.in_box(positions, bbox, t0, t1)
-    steps = tracks.with_steps(tracks.region_flags(found, {"core": hindcast.core, "org": hindcast.origin, "out": hindcast.outer}))
     if hindcast.cloud is not None:
-        near = tracks.asof_cloud(found, hindcast.cloud, hindcast.cloud_first, hindcast.cloud_last, hindcast.cloud_step)
-        steps = steps.join(near, ["mmsi", "ts_epoch", "seq"], "left")
+        found = tracks.with_cloud(found, hindcast.cloud, hindcast.cloud_first, hindcast.cloud_last, hindcast.cloud_step)
     else:
-        steps = steps.withColumn("st_km", F.lit(None).cast("double"))
+        found = found.withColumn("st_km", F.lit(None).cast("double"))
+    steps = tracks.with_steps(tracks.region_flags(found, {"core": hindcast.core, "org": hindcast.origin, "out": hindcast.outer}))
     steps = tracks.neighbour_bearing(steps).cache()
 
     t = F.col("ts_epoch")

@@ -132,25 +132,40 @@ def lines(fixes: DataFrame, most: int = 500) -> DataFrame:
     return kept.groupBy("mmsi").agg(F.sort_array(F.collect_list(F.struct("ts_epoch", "seq", F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"), F.round("sog", 1).alias("sog")))).alias("path"))
 
 
-def asof_cloud(fixes: DataFrame, cloud: DataFrame, t_first: float, t_last: float, dt: float, share: float = 0.1) -> DataFrame:
-    """(fix columns, st_km): distance to the nearer tenth of a particle cloud at each fix's time.
+def with_cloud(fixes: DataFrame, cloud: DataFrame, t_first: float, t_last: float, dt: float, share: float = 0.1) -> DataFrame:
+    """``fixes`` with st_km: distance to the nearer tenth of a particle cloud at each fix's time, null outside the cloud's time.
 
     ``cloud`` is (step, k, lon, lat) at t_first + step * dt.  The step before a
     fix is arithmetic, so the join is an equality on it; positions are lerped
-    between that step and the next.
+    between that step and the next.  A step's particles, whose number is a
+    parameter, are one row, so each fix stays one row where it lies.
     """
     t = F.col("ts_epoch")
-    inside = fixes.where(t.between(t_first, t_last))
+    inside = t.between(t_first, t_last)
     last = int(round((t_last - t_first) / dt))
-    j1 = F.least(F.ceil((t - t_first) / dt), F.lit(last)).cast("int")
-    keyed = inside.withColumn("j1", j1).withColumn("j0", F.greatest(F.col("j1") - 1, F.lit(0))).withColumn("w", F.when(F.col("j1") == F.col("j0"), 0.0).otherwise((t - t_first - F.col("j0") * dt) / dt))
-    a = cloud.select(F.col("step").alias("j0"), F.col("k"), F.col("lon").alias("lon_a"), F.col("lat").alias("lat_a"))
-    b = cloud.select(F.col("step").alias("j1"), F.col("k").alias("kb"), F.col("lon").alias("lon_b"), F.col("lat").alias("lat_b"))
-    pairs = a.join(b, (F.col("k") == F.col("kb")) & ((F.col("j1") == F.col("j0") + 1) | ((F.col("j1") == 0) & (F.col("j0") == 0))))
-    mid = F.avg("lat").over(Window.partitionBy("mmsi"))
-    mx, my = metres_per_degree(F.col("mid_lat"))
-    plon = F.col("lon_a") * (1 - F.col("w")) + F.col("lon_b") * F.col("w")
-    plat = F.col("lat_a") * (1 - F.col("w")) + F.col("lat_b") * F.col("w")
-    d = F.sqrt(F.pow((plon - F.col("lon")) * mx, 2.0) + F.pow((plat - F.col("lat")) * my, 2.0)) / 1000.0
-    near = keyed.withColumn("mid_lat", mid).join(pairs, ["j0", "j1"]).groupBy("mmsi", "ts_epoch", "seq").agg(F.percentile(d, share).alias("st_km"))
-    return near
+    keyed = fixes.withColumn("__mid", F.avg(F.when(inside, F.col("lat"))).over(Window.partitionBy("mmsi")))
+    keyed = keyed.withColumn("__j1", F.when(inside, F.least(F.ceil((t - t_first) / dt), F.lit(last)).cast("int"))).withColumn("__j0", F.greatest(F.col("__j1") - 1, F.lit(0)))
+    keyed = keyed.withColumn("__w", F.when(F.col("__j1") == F.col("__j0"), 0.0).otherwise((t - t_first - F.col("__j0") * dt) / dt))
+    a = cloud.select(F.col("step").alias("__a"), F.col("k"), F.col("lon").alias("lon_a"), F.col("lat").alias("lat_a"))
+    b = cloud.select(F.col("step").alias("__b"), F.col("k").alias("kb"), F.col("lon").alias("lon_b"), F.col("lat").alias("lat_b"))
+    pairs = a.join(b, (F.col("k") == F.col("kb")) & ((F.col("__b") == F.col("__a") + 1) | ((F.col("__b") == 0) & (F.col("__a") == 0))))
+    steps = pairs.groupBy("__a", "__b").agg(F.collect_list(F.struct("lon_a", "lat_a", "lon_b", "lat_b")).alias("__cloud"))
+    met = keyed.join(F.broadcast(steps), (F.col("__j0") == F.col("__a")) & (F.col("__j1") == F.col("__b")), "left")
+    mx, my = metres_per_degree(F.col("__mid"))
+    w = F.col("__w")
+
+    def km(p: Column) -> Column:
+        lon, lat = (p[f"{c}_a"] * (1 - w) + p[f"{c}_b"] * w for c in ("lon", "lat"))
+        return F.sqrt(F.pow((lon - F.col("lon")) * F.col("__mx"), 2.0) + F.pow((lat - F.col("lat")) * F.col("__my"), 2.0)) / 1000.0
+
+    found = met.withColumns({"__mx": mx, "__my": my}).withColumn("__km", F.sort_array(F.array_compact(F.transform("__cloud", km))))
+    # The same interpolation as F.percentile.
+    place = (F.size("__km") - 1) * F.lit(share)
+    low, high = F.get("__km", F.floor(place).cast("int")), F.get("__km", F.ceil(place).cast("int"))
+    out = found.withColumn("st_km", F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high))
+    return out.drop("__mid", "__j0", "__j1", "__w", "__a", "__b", "__cloud", "__mx", "__my", "__km")
+
+
+def asof_cloud(fixes: DataFrame, cloud: DataFrame, t_first: float, t_last: float, dt: float, share: float = 0.1) -> DataFrame:
+    """(fix, st_km) of the fixes in the cloud's time, as ``with_cloud`` has it."""
+    return with_cloud(fixes, cloud, t_first, t_last, dt, share).where("st_km is not null").select("mmsi", "ts_epoch", "seq", "st_km")
