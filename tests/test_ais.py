@@ -150,3 +150,17 @@ def test_recorder_replay(spark, tmp_path):
     assert (got["positions"], got["vessels"], got["static_vessels"]) == (2, 1, 1)
     assert rows[0]["sog"] is None and rows[0]["cog"] is None and rows[0]["heading"] is None and rows[1]["sog"] == 9.0
     assert [r["vessel_type"] for r in rows] == ["tanker", "tanker"] and rows[1]["vessel_name"] == "ONE" and rows[0]["length_m"] == 150
+
+
+def test_all_files_are_one_batch_in_their_order(spark, tmp_path):
+    """Every batch visits the state of its vessels, so files don't each make one; positions still get what came before them."""
+    feed, out = tmp_path / "feed", tmp_path / "out"
+    feed.mkdir()
+    place = {"Latitude": 1.0, "Longitude": 2.0}
+    for i, name in enumerate((None, "A", None, "B", None)):
+        text = message("ShipStaticData", 5, Name=name, Type=80) if name else message("PositionReport", 5, **place | {"Latitude": float(i)})
+        (feed / f"{9 - i}.json").write_text(text.replace("META ", ""))
+        os.utime(feed / f"{9 - i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
+    recorder.record(spark, str(feed), str(out), str(tmp_path / "cp"))
+    assert {r["lat"]: r["vessel_name"] for r in spark.read.parquet(str(out)).collect()} == {0.0: None, 2.0: "A", 4.0: "B"}
+    assert len(list((tmp_path / "cp" / "commits").glob("[0-9]*"))) == 1

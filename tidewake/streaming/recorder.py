@@ -7,7 +7,7 @@ from threading import Lock
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
@@ -25,9 +25,22 @@ ROUTED = "mmsi long, kind string, ts timestamp, lon double, lat double, sog doub
 POSITIONS = "mmsi long, ts timestamp, lon double, lat double, sog double, cog double, heading double, vessel_name string, vessel_type string, length_m double"
 
 
-def read_messages(spark: SparkSession, folder: str, max_files: int = 1) -> DataFrame:
-    """JSON lines that a bridge from the live feed drops into a folder."""
-    return spark.readStream.schema(MESSAGES).option("maxFilesPerTrigger", max_files).json(folder)
+def arrived() -> Column:
+    """When and where in its folder a message was dropped; sorts in the order of arrival."""
+    at, block = (F.lpad(c.cast("string"), 18, "0") for c in (F.unix_micros("_metadata.file_modification_time"), F.col("_metadata.file_block_start")))
+    return F.concat_ws(" ", at, "_metadata.file_name", block)
+
+
+def read_messages(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
+    """JSON lines that a bridge from the live feed drops into a folder, with their order of arrival.
+
+    A batch takes all files that are there, unless ``max_files`` is given:
+    every batch costs a visit to the state of every vessel in it.
+    """
+    reader = spark.readStream.schema(MESSAGES)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.json(folder).withColumn("arrived", arrived())
 
 
 def routed(messages: DataFrame, bbox: list[float] | None = None) -> DataFrame:
@@ -47,11 +60,12 @@ def routed(messages: DataFrame, bbox: list[float] | None = None) -> DataFrame:
     def below(x, limit: float):
         return F.when(x < limit, x)
 
+    order = [F.col("arrived")] if "arrived" in messages.columns else []
     out = checked.where((F.col("MetaData.MMSI") != 0) & F.col("MessageType").isin("ShipStaticData", "PositionReport")).select(
         F.col("MetaData.MMSI").alias("mmsi"), F.when(static, "static").otherwise("position").alias("kind"), ts.alias("ts"), F.when(~static, lon).alias("lon"), F.when(~static, lat).alias("lat"),
         below(p["Sog"], 102.3).alias("sog"), below(p["Cog"], 360).alias("cog"), below(p["TrueHeading"], 360).alias("heading"),
         F.when(static, F.coalesce(F.nullif(F.trim(s["Name"]), F.lit("")), name)).otherwise(name).alias("vessel_name"), ship_type_label(s["Type"]).alias("vessel_type"),
-        F.nullif(F.coalesce(s["Dimension"]["A"], F.lit(0.0)) + F.coalesce(s["Dimension"]["B"], F.lit(0.0)), F.lit(0.0)).alias("length_m"),
+        F.nullif(F.coalesce(s["Dimension"]["A"], F.lit(0.0)) + F.coalesce(s["Dimension"]["B"], F.lit(0.0)), F.lit(0.0)).alias("length_m"), *order,
     )
     on_map = F.col("lon").between(-180, 180) & F.col("lat").between(-90, 90) & ~((F.col("lon") == 0) & (F.col("lat") == 0))
     if bbox:
@@ -62,6 +76,23 @@ def routed(messages: DataFrame, bbox: list[float] | None = None) -> DataFrame:
 _STATIC = ("vessel_name", "vessel_type", "length_m")
 
 
+def in_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A vessel's messages of a batch as they arrived, if that is known.
+
+    Only where static messages are among them does order matter; then the
+    vessel's messages of the batch are sorted together.
+    """
+    first = next(frames, None)
+    if first is None or "arrived" not in first.columns:
+        yield from () if first is None else (first,)
+        yield from frames
+        return
+    held = [first, *frames]
+    if any((f["kind"] == "static").any() for f in held):
+        held = [pd.concat(held).sort_values("arrived", kind="stable", ignore_index=True)]
+    yield from held
+
+
 class StaticData(StatefulProcessor):
     """Each vessel's last static message, as a value of the state store; positions get what came before them."""
 
@@ -71,7 +102,7 @@ class StaticData(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         held = tuple(self.known.get()) if self.known.exists() else (None, None, None)
         changed = False
-        for frame in rows:
+        for frame in in_order(iter(rows)):
             static = (frame["kind"] == "static").to_numpy()
             # For each row the last static message before it in the frame; before the first one, the state.
             last = np.maximum.accumulate(np.where(static, np.arange(len(frame)), -1))
